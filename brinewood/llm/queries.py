@@ -1,10 +1,14 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from brinewood.llm import mixing, secrets, sharding
+from brinewood.llm import langid, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_shard_documents": sharding.op3_shard_documents,
+    "op4_pack_sequences": packing.op4_pack_sequences,
+    "op5_language_id": langid.op5_language_id,
+    "op7_quality": quality.op7_quality,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
 }
 ORACLES = {"op1_secret_scan": secrets.ORACLE}
