@@ -180,7 +180,7 @@ def words_of(text: str) -> list[bytes]:
 def train(rows: DataFrame, *, text_col: str = "text", label_col: str = "lang", docs_per_label: int = DOCS_PER_LANGUAGE, words_per_label: int = WORDS_PER_LANGUAGE, seed: int = SEED) -> BiGru | None:
     """A network for the labels of rows, from a bounded sample of whole texts; None if no row has label and text."""
     rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("text").rlike(r"\p{L}") & F.col("label").isNotNull())
-    sample = labelled_sample(rows, "label", docs_per_label, seed)
+    sample, _ = labelled_sample(rows, "label", docs_per_label, seed)
     labels = sorted(set(sample["label"]))
     if not labels:
         return None

@@ -27,6 +27,7 @@ GRAMS = (2, 4)  # shortest and longest character n-grams of a word between its m
 LONGEST = 40  # bytes of a word that n-grams are taken of at a time; longer words are cut into such parts
 DOCS_PER_CLASS = 1500  # bound of the labelled sample
 EPOCHS, BATCH, RATE = 8, 16, 40.0
+STEPS = 1000  # least number of batches; small samples are gone through more often
 CACHED_WORDS = 500_000
 SEED = 7
 THRESHOLD = 0.7
@@ -135,13 +136,17 @@ def train(rows: DataFrame, *, text_col: str = "text", label_col: str = "quality"
     Classes weigh as in the rows: rows of a class that was drawn from more thinly count accordingly, by a shift of the bias.
     """
     rows = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    sample = labelled_sample(rows, "label", docs_per_class, seed)
+    sample, counts = labelled_sample(rows, "label", docs_per_class, seed)
     labels = sorted(set(sample["label"]))
     if not labels:
         return None
     model, seen = Embeddings(labels, seed=seed), {}
     docs = [model.features(t, seen) for t in sample["text"]]
-    model.fit(docs, sample["label"].map(labels.index).to_numpy(), seed=seed)
+    y = sample["label"].map(labels.index).to_numpy()
+    model.fit(docs, y, max(EPOCHS, -(-STEPS * BATCH // len(docs))), seed=seed)
+    drawn = np.bincount(y, minlength=len(labels))
+    model.bias += np.log([counts[k] / n for k, n in zip(labels, drawn, strict=True)]).astype(np.float32)
+    model.bias -= model.bias.mean()
     return model
 
 
