@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from brinewood.llm import langid, mixing, ngram_join, packing, quality, secrets, sharding
+from brinewood.llm import ann, langid, media, mixing, ngram_join, packing, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -8,7 +8,9 @@ QUERIES = {
     "op3_shard_documents": sharding.op3_shard_documents,
     "op4_pack_sequences": packing.op4_pack_sequences,
     "op5_language_id": langid.op5_language_id,
+    "op6_media_columns": media.op6_media_columns,
     "op7_quality": quality.op7_quality,
     "op8_ngram_join": ngram_join.op8_ngram_join,
+    "op9_nearest": ann.op9_nearest,
 }
 ORACLES = {"op1_secret_scan": secrets.ORACLE}
