@@ -12,22 +12,25 @@ from pyspark.sql import functions as F
 from brinewood.llm.common import process_cache
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> tuple[pd.DataFrame, dict]:
-    """About per_label rows (text, label) of each label, drawn by hash of the text, and the counts of all labels.
+def drawn_labels(rows: DataFrame, key: str, label: str, per_label: int, seed: int) -> tuple[DataFrame, dict]:
+    """(rows drawn by a hash of the key, the counts of all labels): about per_label rows of each label, all of rarer ones."""
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    kind = rows.schema[label].dataType.simpleString()
+    share = rows.sparkSession.createDataFrame([(k, min(1.0, per_label / n)) for k, n in counts.items()], f"_label {kind}, _share double")
+    draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) / float(1 << 20)
+    return rows.join(F.broadcast(share), F.col(label) == F.col("_label")).where(draw < F.col("_share")).drop("_label", "_share"), counts
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> pd.DataFrame:
+    """About per_label rows (text, label) of each label, drawn by a hash of the text; all rows of rarer labels.
 
-    Of rarer labels all rows are drawn.
     Labels are counted over all rows; the draw keeps a share of each label, so one pass over the texts gathers
-    at most per_label rows a label, give or take the luck of the draw.
+    per_label rows a label, give or take the luck of the draw.
     """
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    if not counts:
-        return pd.DataFrame({"text": [], label: []}), {}
-    share = rows.sparkSession.createDataFrame([(k, min(1.0, per_label / n)) for k, n in counts.items()], f"_label {rows.schema[label].dataType.simpleString()}, _share double")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.join(F.broadcast(share), F.col(label) == F.col("_label")).where(draw < F.col("_share")).select("text", label)
-    out = pd.DataFrame([r.asDict() for r in drawn.collect()], columns=["text", label])
+    drawn, _ = drawn_labels(rows, "text", label, per_label, seed)
+    out = pd.DataFrame([r.asDict() for r in drawn.select("text", label).collect()], columns=["text", label])
     # the order of collected rows depends on the partitions: sort, so that reruns learn the same
-    return out.sort_values([label, "text"], kind="stable", ignore_index=True), counts
+    return out.sort_values([label, "text"], kind="stable", ignore_index=True)
 
 
 class WordTable:

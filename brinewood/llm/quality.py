@@ -14,17 +14,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.llm.common import crc_share, small_batches, table
-from brinewood.llm.learned import WordTable, labelled_sample
+from brinewood.llm.learned import WordTable, drawn_labels
 
 DIM = 8
 BUCKETS = 1 << 17
 GRAMS = (2, 4)  # shortest and longest character n-grams of a word between its marks < and >
-LONGEST = 40  # bytes of a word that n-grams are taken of at a time; longer words are cut into such parts
 DOCS_PER_CLASS = 1500  # bound of the labelled sample
 EPOCHS, BATCH, RATE = 8, 16, 40.0
 STEPS = 1000  # least number of batches; small samples are gone through more often
@@ -46,18 +46,23 @@ def word_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-def grams(word: bytes, low: int = GRAMS[0], high: int = GRAMS[1]) -> np.ndarray:
-    """Hashes of the word's character n-grams (over bytes)."""
-    out = []
-    for a in range(0, max(1, len(word)), LONGEST):
-        codes = np.frombuffer(b"<" + word[a : a + LONGEST] + b">", np.uint8).astype(np.uint64) + np.uint64(1)
-        run = np.zeros(len(codes), np.uint64)
-        for n in range(1, min(high, len(codes)) + 1):
-            with np.errstate(over="ignore"):
-                run = run[: len(codes) - n + 1] * np.uint64(1099511628211) + codes[n - 1 :]
-            if n >= low:
-                out.append(_mixed(run + np.uint64(n)))
-    return np.concatenate(out)
+def grams(words: list[bytes], low: int = GRAMS[0], high: int = GRAMS[1]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of all words' character n-grams (over bytes), with marks < and > around each word."""
+    codes = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64) + np.uint64(1)
+    size = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))  # bytes of the word from here on
+    run, owners, hashes = codes, [], []
+    for n in range(2, high + 1):
+        with np.errstate(over="ignore"):
+            run = run[:-1] * np.uint64(1099511628211) + codes[n - 1 :]
+        if not len(run):
+            break
+        if n >= low:
+            whole = left[: len(run)] >= n
+            owners.append(owner[: len(run)][whole])
+            hashes.append(_mixed(run[whole] + np.uint64(n)))
+    return np.concatenate(owners), np.concatenate(hashes)
 
 
 def pairs(hashes: np.ndarray) -> np.ndarray:
@@ -85,10 +90,16 @@ class Embeddings:
     def features(self, text: str | None, seen: dict) -> tuple[np.ndarray, np.ndarray]:
         """Distinct buckets of a text and their shares in its mean."""
         words = words_of(text)
-        for w in set(words).difference(seen):
-            seen[w] = (word_hash(w), np.concatenate([[word_hash(w)], grams(w)]).astype(np.uint64))
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
+        new = sorted(set(words).difference(seen))
+        if new:
+            owner, found = grams(new)
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(1, len(new)))
+            for w, own in zip(new, np.split(found[order], ends), strict=True):
+                h = word_hash(w)
+                seen[w] = (h, np.concatenate([np.array([h], np.uint64), own]))
         own = np.array([seen[w][0] for w in words], np.uint64)
         every = np.concatenate([*(seen[w][1] for w in words), pairs(own)]) % np.uint64(self.buckets)
         at, n = np.unique(every.astype(np.int64), return_counts=True)
@@ -130,22 +141,26 @@ class Embeddings:
         return hashlib.sha256(self.vectors.tobytes() + self.out.tobytes() + self.bias.tobytes()).hexdigest()
 
 
-def train(rows: DataFrame, *, text_col: str = "text", label_col: str = "quality", docs_per_class: int = DOCS_PER_CLASS, seed: int = SEED) -> Embeddings | None:
-    """Vectors for the labels of rows, from a bounded sample of whole texts; None if no row has a label.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_class: int = DOCS_PER_CLASS, seed: int = SEED) -> Embeddings | None:
+    """Vectors for the labels, from a bounded sample of labelled whole texts; None if no row has a label.
 
-    Classes weigh as in the rows: rows of a class that was drawn from more thinly count accordingly, by a shift of the bias.
+    Labels are counted over all rows of `labels`, and so many of each are drawn by a hash of the id; only their texts
+    are fetched. The bias makes up for classes that were drawn more thinly.
     """
-    rows = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).alias("label")).where(F.col("label").isNotNull())
-    sample, counts = labelled_sample(rows, "label", docs_per_class, seed)
-    labels = sorted(set(sample["label"]))
-    if not labels:
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    drawn, counts = drawn_labels(rows, "id", "label", docs_per_class, seed)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sample = pd.DataFrame([r.asDict() for r in texts.join(F.broadcast(drawn), "id").select("text", "label").collect()], columns=["text", "label"])
+    sample = sample.sort_values(["label", "text"], kind="stable", ignore_index=True)
+    found = sorted(set(sample["label"]))
+    if not found:
         return None
-    model, seen = Embeddings(labels, seed=seed), {}
-    docs = [model.features(t, seen) for t in sample["text"]]
-    y = sample["label"].map(labels.index).to_numpy()
-    model.fit(docs, y, max(EPOCHS, -(-STEPS * BATCH // len(docs))), seed=seed)
-    drawn = np.bincount(y, minlength=len(labels))
-    model.bias += np.log([counts[k] / n for k, n in zip(labels, drawn, strict=True)]).astype(np.float32)
+    model, seen = Embeddings(found, seed=seed), {}
+    parts = [model.features(t, seen) for t in sample["text"]]
+    y = sample["label"].map(found.index).to_numpy()
+    model.fit(parts, y, max(EPOCHS, -(-STEPS * BATCH // len(parts))), seed=seed)
+    n = np.bincount(y, minlength=len(found))
+    model.bias += np.log([counts[k] / m for k, m in zip(found, n, strict=True)]).astype(np.float32)
     model.bias -= model.bias.mean()
     return model
 
@@ -162,13 +177,12 @@ def predict(docs: DataFrame, model: Embeddings | None, positive, *, text_col: st
 
     def share(words: list[bytes]) -> np.ndarray:
         # class scores of the word and its n-grams, their number, and the word's hash in two exact halves
-        out = np.zeros((len(words), k + 3))
-        for i, w in enumerate(words):
-            h = word_hash(w)
-            found = np.concatenate([np.array([h], np.uint64), grams(w)]) % np.uint64(len(scores))
-            out[i, :k] = scores[found.astype(np.int64)].sum(0)
-            out[i, k:] = len(found), h >> 32, h & 0xFFFFFFFF
-        return out
+        own = np.array([word_hash(w) for w in words], np.uint64)
+        owner, found = grams(words)
+        owner, found = np.concatenate([np.arange(len(words)), owner]), np.concatenate([own, found])
+        at = (found % np.uint64(len(scores))).astype(np.int64)
+        sums = [np.bincount(owner, scores[at, c], len(words)) for c in range(k)]
+        return np.stack([*sums, np.bincount(owner, minlength=len(words)), own >> np.uint64(32), own & np.uint64(0xFFFFFFFF)], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordTable(key, share, k + 3, CACHED_WORDS, np.float64)
@@ -193,7 +207,7 @@ def predict(docs: DataFrame, model: Embeddings | None, positive, *, text_col: st
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_share(F.col("doc_id"), 4) == 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = train(docs.where(~F.col("held_out")).join(labels, "doc_id"))
-    scored = predict(docs.select("doc_id", "held_out", "text"), model, 1)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_share(F.col("doc_id"), 4) != 2)
+    model = train(docs.where(~F.col("held_out")), labels)
+    scored = predict(docs, model, 1)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
