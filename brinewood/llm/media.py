@@ -80,7 +80,7 @@ def cuts(files: list[bytes]) -> list[list[int]]:
 
 
 def chunks(files: list[bytes]) -> list[list[bytes]]:
-    return [[f[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] for f, ends in zip(files, cuts(files), strict=True)]
+    return [[f[a:b] for a, b in zip([0, *ends], ends, strict=False)] for f, ends in zip(files, cuts(files), strict=True)]
 
 
 def digest(chunk: bytes) -> bytes:
