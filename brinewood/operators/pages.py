@@ -61,8 +61,8 @@ def house_blocks(docs: DataFrame, doc: str, text: str) -> DataFrame:
         "doc",
         "block_no",
         first_match(F.col("block"), r"HBL\s*:\s*([A-Z0-9-]+)").alias("number"),
-        first_match(F.col("block"), r"CNEE\s*:\s*([^\n]+)").alias("consignee"),
-        first_match(F.col("block"), r"STC\s*:?\s*([^\n]+)").alias("description"),
+        first_match(F.col("block"), r"CNEE[ \t]*:[ \t]*([^\n]+)").alias("consignee"),
+        first_match(F.col("block"), r"STC[ \t]*:?[ \t]*([^\n]+)").alias("description"),
         m["packages"].alias("packages"),
         m["gross_kg"].alias("gross_kg"),
         m["volume_cbm"].alias("volume_cbm"),
