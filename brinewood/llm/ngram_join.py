@@ -3,8 +3,9 @@
 1. Shingles that many documents share are counted over the whole corpus; the most frequent make an order, rarest first.
 2. Two sets that reach the threshold share a token in their prefixes: the first tokens in that order, as many as the
    threshold allows to miss, plus one. Documents with the same prefix and size form one group and go on as one.
-3. Groups that share a prefix token are expanded to their members, and pairs are filtered by size and by the place of
-   the token. Members are first compared with one pivot per token; what that leaves unconnected is compared in full.
+3. Groups that share prefix tokens are expanded to their members. Tokens that the same members share are counted once,
+   with a weight, and pairs are filtered by size and by how many prefix tokens they share. Members of long lists are
+   first compared with a few pivots; only pairs that this leaves in different components are compared after that.
 4. Pairs are verified on whole sets, and links become components.
 
 Equal sets are one member throughout, so copies cost nothing. No token's list is ever paired in full while its
@@ -36,6 +37,8 @@ ORDERED = 1 << 17
 HOT = 1000
 #: Tokens counted at once by a task.
 COUNTED = 1 << 21
+#: Members of a posting group that are paired outright; larger groups meet pivots first, so many in so many rounds.
+PAIRED, PIVOTS, PIVOT_ROUNDS = 32, 12, 2
 #: Bits of the filter that picks the texts to verify.
 FILTER_BITS = 1 << 24
 CACHED_WORDS = 500_000
@@ -191,21 +194,27 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _fits(n1: str, p1: str, n2: str, p2: str, threshold: int):
-    """Sizes allow the threshold, and so do the tokens after this one, were it the first that both share."""
-    size = (F.col(n1) * 100 >= F.col(n2) * threshold) & (F.col(n2) * 100 >= F.col(n1) * threshold)
-    most = F.least(F.col(n1) - F.col(p1), F.col(n2) - F.col(p2))
-    return size & (most * (100 + threshold) >= (F.col(n1) + F.col(n2)) * threshold)
+def _bound(n1: str, n2: str, threshold: int):
+    """Least number of shared prefix tokens of two sets of these sizes that reach the threshold.
+
+    The prefix that ends first holds all shared tokens up to its end; beyond it one set has fewer than `threshold`
+    per cent of its size left. What the overlap needs more than that must be shared prefix tokens.
+    """
+    overlap = F.ceil((F.col(n1) + F.col(n2)) * float(threshold) / float(100 + threshold) - 1e-9)
+    beyond = F.ceil(F.greatest(F.col(n1), F.col(n2)) * threshold / 100.0 - 1e-9) - 1
+    return F.greatest(overlap - beyond, F.lit(1).cast("long"))
+
+
+def _like_size(n1: str, n2: str, threshold: int):
+    return (F.col(n1) * 100 >= F.col(n2) * threshold) & (F.col(n2) * 100 >= F.col(n1) * threshold)
 
 
-def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
-    """Of the pairs (a, b) of members those that reach the threshold, on whole sets made anew from the texts.
+def whole_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(member, tokens) of the wanted (member, place), made anew from the texts.
 
-    members(member, doc_id, ...) names one document each. A filter of fixed size picks the texts, an exact join follows.
+    A filter of fixed size picks the texts, an exact join follows.
     """
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).distinct()
-    wanted = materialize(wanted.join(members.select("member", "place"), "member"), "wanted")
     bits = wanted.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits"))
     bitmap = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
     for r in bits.collect():
@@ -213,21 +222,26 @@ def verify(pairs: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, t
     sent = spark.sparkContext.broadcast(bitmap.reshape(-1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bit = sent.value
+        bit, done = sent.value, set()
         for batch in batches:
             place = batch.column(0).to_numpy()
             batch = batch.filter(pa.array((bit[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for _, sets in _batches(iter([batch]), 1, words):
-                sets = [s for s in sets if len(s)]
-                hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["member", "tokens"])
+                found = {hashlib.blake2b(s.tobytes(), digest_size=16).digest(): s for s in sets if len(s)}
+                found = {k: s for k, s in found.items() if k not in done}
+                if len(done) < 1_000_000:
+                    done.update(found)
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["member", "tokens"])
 
     texts = docs.select(place_of(F.col(id_col)).alias("place"), F.col(text_col).alias("text"))
     found = texts.mapInArrow(run, "member binary, tokens array<long>").join(wanted.select("member"), "member", "left_semi")
-    # documents whose doc_id falls on a filtered place may repeat a member
-    found = materialize(found.dropDuplicates(["member"]), "sets")
-    one, two = found.toDF("a", "ta"), found.toDF("b", "tb")
-    both = pairs.join(one, "a").join(two, "b")
+    # texts whose doc_id falls on a filtered place may repeat a member
+    return materialize(found.dropDuplicates(["member"]), "sets")
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of the pairs (a, b) those whose whole sets reach the threshold."""
+    both = pairs.select("a", "b").join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     same = F.size(F.array_intersect("ta", "tb"))
     return both.where(same * 100 >= (F.size("ta") + F.size("tb") - same) * threshold).select("a", "b")
 
@@ -236,6 +250,73 @@ def place_of(doc_id):
     return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1))), F.lit(FILTER_BITS))
 
 
+def posting_groups(shared: DataFrame) -> DataFrame:
+    """shared(token, member, n) -> (grp, member, n, w, k, large, small): tokens that the same members share go on as one
+    group of weight w, with k members. large and small: a member's weight in groups above PAIRED members, and below.
+    """
+    lists = shared.groupBy("token").agg(F.expr("bit_xor(xxhash64(member))").alias("x"), F.count(F.lit(1)).alias("k"))
+    lists = lists.select("token", F.xxhash64("x", "k").alias("grp"), "k")
+    rows = shared.join(lists, "token").groupBy("grp", "member").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("k").alias("k"))
+    rows = materialize(rows, "groups")
+    load = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0))
+    loads = rows.groupBy(F.col("member").alias("m")).agg(load(F.col("k") > PAIRED).alias("large"), load(F.col("k") <= PAIRED).alias("small"))
+    return materialize(rows.join(loads, F.col("member") == F.col("m")).drop("m"), "groups")
+
+
+def pairs_of_small(rows: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of a group of up to PAIRED that may reach the threshold by the weight they share in such
+    groups, plus at most what both have in larger ones."""
+    names = ["member", "n", "w", "large", "small"]
+    a = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in names])
+    most = F.least(F.col("large_a") + F.col("small_a"), F.col("large_b") + F.col("small_b"))
+    test = (F.col("member_a") < F.col("member_b")) & _like_size("n_a", "n_b", threshold) & (most >= _bound("n_a", "n_b", threshold))
+    both = a.join(b, "grp").where(test).groupBy(F.col("member_a").alias("a"), F.col("member_b").alias("b"))
+    both = both.agg(F.sum("w_a").alias("w"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.first(F.least("large_a", "large_b")).alias("other"))
+    return both.where(F.col("w") + F.col("other") >= _bound("na", "nb", threshold)).select("a", "b")
+
+
+def pairs_of_large(rows: DataFrame, threshold: int) -> DataFrame:
+    """The same for members of larger groups that lie in different components.
+
+    Members of such groups share many of them. Each row carries all of its member's groups, so a pair is made once, in
+    the first group that both have, and only if what both share there and elsewhere is enough.
+    """
+    own = rows.groupBy(F.col("member").alias("m")).agg(F.array_sort(F.collect_list(F.struct("grp", "w"))).alias("own"))
+    rows = rows.join(own, F.col("member") == F.col("m")).withColumn("ids", F.transform("own", lambda x: x["grp"]))
+    names = ["member", "n", "large", "small", "root", "own", "ids"]
+    a = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in names])
+    most = F.least(F.col("large_a") + F.col("small_a"), F.col("large_b") + F.col("small_b"))
+    shared = F.aggregate(F.filter("own_a", lambda x: F.array_contains("ids_b", x["grp"])), F.least("small_a", "small_b"), lambda acc, x: acc + x["w"])
+    test = (F.col("member_a") < F.col("member_b")) & (F.col("root_a") != F.col("root_b")) & _like_size("n_a", "n_b", threshold)
+    test = test & (most >= _bound("n_a", "n_b", threshold)) & (F.array_min(F.array_intersect("ids_a", "ids_b")) == F.col("grp")) & (shared >= _bound("n_a", "n_b", threshold))
+    return a.join(b, "grp").where(test).select(F.col("member_a").alias("a"), F.col("member_b").alias("b"))
+
+
+def pivot_pairs(rows: DataFrame, seeds: range, threshold: int) -> DataFrame:
+    """Pairs of each member with a few pivots of its group, chosen by hash within bands of size, if they are of different
+    components and share at least half of what a link needs. They only find links early; missing one costs no result."""
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / threshold))).cast("int")
+    rows = rows.withColumn("band", band)
+    least = [F.min(F.struct(F.xxhash64(F.lit(s), "member").alias("h"), "member", "n", "root")).alias(f"p{s}") for s in seeds]
+    pivots = rows.groupBy("grp", "band").agg(*least)
+    pivots = pivots.select(F.col("grp").alias("pg"), "band", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in seeds]))).alias("p"))
+    pivots = pivots.select("pg", F.explode(F.array("band", F.col("band") + 1)).alias("pb"), F.col("p.member").alias("pm"), F.col("p.n").alias("pn"), F.col("p.root").alias("pr"))
+    met = rows.join(pivots, (F.col("grp") == F.col("pg")) & (F.col("band") == F.col("pb")))
+    met = met.where((F.col("root") != F.col("pr")) & _like_size("n", "pn", threshold))
+    met = met.groupBy(F.least("member", "pm").alias("a"), F.greatest("member", "pm").alias("b")).agg(F.sum("w").alias("w"), F.first("n").alias("na"), F.first("pn").alias("nb"))
+    return met.where(F.col("w") * 2 >= _bound("na", "nb", threshold)).select("a", "b")
+
+
+def still_open(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of groups whose members lie in several components, with root."""
+    placed = rows.drop("root").join(known.select(F.col("member").alias("m"), "root"), F.col("member") == F.col("m"), "left")
+    placed = placed.drop("m").withColumn("root", F.coalesce("root", "member"))
+    open_ = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("grp")
+    return materialize(placed.join(open_, "grp", "left_semi"), "open")
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, ordered: int = ORDERED) -> DataFrame:
     """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     spark = docs.sparkSession
@@ -247,37 +328,41 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     members = real.groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("grp").alias("grp"))
     members = materialize(members.withColumn("place", place_of(F.col("doc_id"))), "members")
 
-    listed = full.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = listed.select("token", "grp", "n", "pos").repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_shared, "token long, grp long, n long, pos int")
-    hot = full.where(F.size("hot") > 0).select("grp", "n", F.size("prefix").alias("before"), F.posexplode("hot").alias("at", "token"))
-    hot = hot.select("token", "grp", "n", (F.col("before") + F.col("at")).alias("pos"))
-    # groups that share a token, expanded to members; a group of several members shares a token of its own
-    shared = shared.unionByName(hot).distinct().join(members.select("grp", "member"), "grp").select("token", "member", "n", "pos")
+    # tokens that two groups or more share, expanded to the groups' members
+    listed = full.select("grp", F.explode("prefix").alias("token"))
+    shared = listed.select("token", "grp").repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_shared, "token long, grp long")
+    hot = full.where(F.size("hot") > 0).select(F.explode("hot").alias("token"), "grp")
+    shared = shared.unionByName(hot).distinct().join(members.select("grp", "member", "n"), "grp").select("token", "member", "n")
+    # a group of several members shares its whole prefix, whoever else has it
     several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    several = members.join(several, "grp", "left_semi").select(F.xxhash64(F.lit("group"), "grp").alias("token"), "member", "n", F.lit(0).alias("pos"))
-    shared = materialize(shared.unionByName(several), "shared")
-
-    # bands of size: sets that link lie in the same band or the next
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / threshold))).cast("int")
-    banded = shared.withColumn("band", band)
-    pivots = banded.groupBy("token", "band").agg(F.min(F.struct("member", "n", "pos")).alias("p"))
-    pivots = pivots.select(F.col("token").alias("pt"), F.explode(F.array("band", F.col("band") + 1)).alias("pb"), F.col("p.member").alias("pm"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"))
-    first = banded.join(pivots, (F.col("token") == F.col("pt")) & (F.col("band") == F.col("pb")))
-    first = first.where((F.col("member") != F.col("pm")) & _fits("n", "pos", "pn", "pp", threshold))
-    first = materialize(first.select(F.least("member", "pm").alias("a"), F.greatest("member", "pm").alias("b")).distinct(), "pairs")
-    links = materialize(verify(first, members, docs, id_col, text_col, words, threshold), "linked")
+    several = members.join(several, "grp", "left_semi")
+    prefix = F.sequence(F.lit(0).cast("long"), F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9))
+    several = several.select(F.explode(F.transform(prefix, lambda i: F.xxhash64(F.lit("group"), "grp", i))).alias("token"), "member", "n")
+    groups = posting_groups(materialize(shared.unionByName(several), "shared"))
+
+    # members of small groups are paired, those of large groups meet pivots first
+    pairs = materialize(pairs_of_small(groups.where(F.col("k") <= PAIRED), threshold), "pairs")
+    large = materialize(groups.where(F.col("k") > PAIRED), "large")
+    wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(large.select("member")).distinct()
+    wanted = materialize(members.select("member", "place").join(wanted, "member", "left_semi"), "wanted")
+    sets = whole_sets(wanted, docs, id_col, text_col, words)
+    links = materialize(verify(pairs, sets, threshold), "linked")
     known = components(links)
-
-    # what is left: pairs that share a token across components
-    placed = shared.join(known, "member", "left").withColumn("root", F.coalesce("root", "member"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-    placed = materialize(placed.join(open_, "token", "left_semi"), "open")
-    left, right = placed.toDF("token", "a", "na", "pa", "ra"), placed.toDF("token", "b", "nb", "pb", "rb")
-    rest = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _fits("na", "pa", "nb", "pb", threshold))
-    rest = materialize(rest.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    open_ = still_open(large, known)
+    for k in range(PIVOT_ROUNDS):
+        if open_.isEmpty():
+            break
+        more = materialize(verify(pivot_pairs(open_, range(k * PIVOTS, (k + 1) * PIVOTS), threshold), sets, threshold), "linked")
+        found = more.count()
+        if found:
+            links = links.union(more)
+            known = components(links)
+            open_ = still_open(open_, known)
+        if found * 20 < open_.count():
+            break
+    rest = materialize(pairs_of_large(open_, threshold), "pairs")
     if not rest.isEmpty():
-        more = materialize(verify(rest, members, docs, id_col, text_col, words, threshold), "linked")
-        known = components(links.union(more))
+        known = components(links.union(verify(rest, sets, threshold)))
 
     named = members.select("member", "doc_id").join(known, "member", "left").withColumn("root", F.coalesce("root", "member"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
