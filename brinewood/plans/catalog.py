@@ -112,7 +112,7 @@ def unpivot_charges(spark, sf_dir):
 @query("""
 SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_quantity, l_linenumber) FILTER (l_returnflag = 'A') AS cbm,
   string_agg(l_returnflag || '=' || (l_quantity::BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem
-WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1, l_linenumber HAVING false) OR (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1""")
+WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1""")
 def charge_groups(spark, sf_dir):
     """[AGG-09] Lines of each parent in order, with the first measure given."""
     lines = read(spark, sf_dir, "lineitem")
@@ -220,11 +220,11 @@ def normalize_text_len(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.length(text.normalize_text(F.col("text"))).cast("long").alias("n"))
 
 
-@query("""SELECT doc_id, nullif(trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g'), ' ,;:-'), '') AS cleaned,
-  nullif(regexp_replace(substr(text, 1, 4000), '[^0-9]', '', 'g'), '') AS digits FROM documents""")
+@query("""SELECT doc_id, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ,;:-'), '') AS cleaned,
+  nullif(regexp_replace(text, '[^0-9]', '', 'g'), '') AS digits FROM documents""")
 def clean_values(spark, sf_dir):
-    """[STR-02, STR-03] Cleaned heads and digits."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.clean_value(F.substring("text", 1, 60)).alias("cleaned"), text.digits(F.substring("text", 1, 4000)).alias("digits"))
+    """[STR-02, STR-03] Cleaned texts and their digits."""
+    return read(spark, sf_dir, "documents").select("doc_id", text.clean_value(F.col("text")).alias("cleaned"), text.digits(F.col("text")).alias("digits"))
 
 
 _WORDS = ["the", "license", "token", "public", "erest", "about"]
@@ -343,11 +343,11 @@ def chunk_pack(spark, sf_dir):
 
 
 @query("""
-WITH k AS (SELECT doc_id, nullif(translate(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9]+', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '') AS key FROM documents)
+WITH k AS (SELECT doc_id, md5(nullif(translate(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '')) AS key FROM documents)
 SELECT doc_id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS n FROM k) WHERE n = 1 OR key IS NULL""")
 def dedupe_first_by_key(spark, sf_dir):
     """[SET-01] The first row of each key, keyless rows kept."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", text.blank_to_null(text.alnum_upper(F.substring("text", 1, 40))).alias("key"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.md5(text.blank_to_null(text.alnum_upper(F.col("text")))).alias("key"))
     return dedup.keep_first(docs, F.col("key"), [F.col("doc_id")])
 
 
@@ -395,13 +395,15 @@ def duplicate_groups(spark, sf_dir):
 
 @query("""
 SELECT coalesce(o.o_orderkey, c.k) AS o_orderkey, coalesce(c.s, o.o_orderstatus) AS o_orderstatus, coalesce(c.p, o.o_totalprice) AS o_totalprice FROM orders o
-FULL JOIN (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey ELSE o_orderkey + 100000000 END AS k, CASE WHEN o_orderkey % 20 = 0 THEN 'X' END AS s, o_totalprice + 1 AS p FROM orders WHERE o_orderkey % 5 = 0) c ON o.o_orderkey = c.k""")
+FULL JOIN (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey ELSE o_orderkey + 100000000 END AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' END AS s, o_totalprice + 1 AS p FROM orders WHERE o_orderstatus = 'P') c ON o.o_orderkey = c.k""")
 def upsert_merge(spark, sf_dir):
     """[SET-08, SNK-01] Changes merged in: updates, null changes that keep, and inserts."""
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    changes = orders.where("o_orderkey % 5 = 0").select(
-        F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 100000000).alias("o_orderkey"), F.when(F.col("o_orderkey") % 20 == 0, "X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice")
+    orders = read(spark, sf_dir, "orders")
+    urgent, low = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"
+    changes = orders.where("o_orderstatus = 'P'").select(
+        F.when(~low, F.col("o_orderkey")).otherwise(F.col("o_orderkey") + 100000000).alias("o_orderkey"), F.when(urgent, "X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice")
     )
+    orders = orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
     return dedup.upsert(orders, changes, ["o_orderkey"])
 
 
@@ -410,10 +412,10 @@ def upsert_merge(spark, sf_dir):
 
 @query("""
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(d.lang, l.toxic::VARCHAR) AS lang, CASE WHEN l.doc_id IS NULL THEN 'primary' WHEN d.doc_id IS NULL THEN 'fallback' ELSE 'both' END AS source
-FROM (SELECT doc_id, nullif(lang, 'de') AS lang FROM documents WHERE doc_id % 4 <> 0) d FULL JOIN labels l ON d.doc_id = l.doc_id""")
+FROM (SELECT doc_id, nullif(lang, 'de') AS lang FROM documents WHERE lang <> 'es') d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def reconcile_full_outer(spark, sf_dir):
     """[JN-01] Two sources reconciled by key, gaps filled, origin told."""
-    docs = read(spark, sf_dir, "documents").where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("lang") != "de", F.col("lang")).alias("lang"), F.lit(0).alias("ord"))
+    docs = read(spark, sf_dir, "documents").where("lang <> 'es'").select("doc_id", F.when(F.col("lang") != "de", F.col("lang")).alias("lang"), F.lit(0).alias("ord"))
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("string").alias("lang"), F.lit(0).alias("ord"))
     return reconcile.reconcile_lists(docs, labels, "doc_id", "ord", ["lang"])
 
@@ -469,31 +471,30 @@ def levenshtein_pairs(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT o_orderkey AS id, 'V' || (o_custkey % 50) || 'W' AS voyage, 'C' || o_custkey AS container, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 20 = 0),
-o AS (SELECT o_orderkey AS id, 'V' || (o_custkey % 50) || 'W' AS voyage, 'C' || o_custkey AS container, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 20 = 1),
-s AS (SELECT p.id AS payload_id, o.id AS operation_id, (3 + CASE WHEN p.container = o.container THEN 4 ELSE 0 END + CASE WHEN p.d = o.d THEN 2 ELSE 0 END) AS score, p.container = o.container AS strong FROM p JOIN o ON p.voyage = o.voyage),
+WITH x AS (SELECT o_orderkey AS id, o_orderstatus AS st, 'V' || o_custkey || 'W' AS voyage, o_orderdate::DATE AS d FROM orders),
+s AS (SELECT p.id AS payload_id, o.id AS operation_id, 6 + CASE WHEN p.voyage = o.voyage OR (levenshtein(p.voyage, o.voyage) <= 2 AND levenshtein(p.voyage, o.voyage) / greatest(length(p.voyage), length(o.voyage))::DOUBLE < 0.3) THEN 3 ELSE 0 END AS score
+  FROM x p JOIN x o ON p.d = o.d AND p.st = 'P' AND o.st = 'F'),
 t AS (SELECT *, max(score) OVER (PARTITION BY payload_id) AS top FROM s), u AS (SELECT *, count(*) OVER (PARTITION BY payload_id) AS ties FROM t WHERE score = top)
-SELECT payload_id, operation_id, score::INT AS score FROM u WHERE strong AND score >= 6 AND ties = 1""")
+SELECT payload_id, operation_id, score::INT AS score FROM u WHERE ties = 1""")
 def evidence_link(spark, sf_dir):
-    """[JN-12, JN-18, JN-19] Parents found by evidence, ties rejected."""
+    """[JN-12, JN-18, JN-19] Parents found by evidence, ties rejected: here the day stands for a container and a date."""
     empty = F.array().cast("array<string>")
+    day = F.array(F.col("o_orderdate").cast("date").cast("string"))
     orders = read(spark, sf_dir, "orders")
-    side = lambda k: orders.where(F.col("o_orderkey") % 20 == k).select(
-        F.col("o_orderkey").alias("id"), F.lit("").alias("vessel"), F.concat(F.lit("V"), (F.col("o_custkey") % 50).cast("string"), F.lit("W")).alias("voyage"), F.lit("").alias("origin"), F.lit("").alias("destination"),
-        F.array(F.concat(F.lit("C"), F.col("o_custkey").cast("string"))).alias("containers"), empty.alias("seals"), F.array(F.col("o_orderdate").cast("date").cast("string")).alias("dates"), empty.alias("references"),
+    side = lambda status: orders.where(F.col("o_orderstatus") == status).select(
+        F.col("o_orderkey").alias("id"), F.lit("").alias("vessel"), F.concat(F.lit("V"), F.col("o_custkey").cast("string"), F.lit("W")).alias("voyage"), F.lit("").alias("origin"), F.lit("").alias("destination"),
+        day.alias("containers"), empty.alias("seals"), day.alias("dates"), empty.alias("references"),
     )
-    scored = link.score(side(0), side(1)).where(F.array_contains("reasons", "voyage") & F.col("score").isNotNull())
-    same = scored.join(side(0).select(F.col("id").alias("payload_id"), F.col("voyage").alias("v")), "payload_id").join(side(1).select(F.col("id").alias("operation_id"), F.col("voyage").alias("w")), "operation_id").where("v = w")
-    return link.best_link(same.drop("v", "w")).select("payload_id", "operation_id", "score")
+    return link.best_link(link.score(side("P"), side("F"))).select("payload_id", "operation_id", "score")
 
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey ELSE o_orderkey END AS parent, (l_linenumber % 2 = 1 AND o_orderkey IS NOT NULL) AS adopted
-FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) ON l_orderkey = o_orderkey""")
+FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey""")
 def orphan_adoption(spark, sf_dir):
     """[JN-14] Children without parent adopted by number."""
     children = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 0, F.col("l_orderkey")).alias("parent"))
-    masters = read(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("l_orderkey"))
+    masters = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("l_orderkey"))
     return link.adopt_orphans(children, masters, "l_orderkey", "parent").select("l_orderkey", "l_linenumber", "parent", "adopted")
 
 
@@ -583,8 +584,7 @@ def freight_rules(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT doc_id, (regexp_matches(upper(text), 'GENERAL\\s+PUBLIC')::INT * 2) AS a FROM documents)
-SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 886150001 WHEN doc_id % 5 = 1 THEN 886150000 END AS status FROM v""")
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 886150001 WHEN doc_id % 5 = 1 THEN 886150000 END AS status FROM documents""")
 def release_votes(spark, sf_dir):
     """[AGG-21] A vote of patterns and stated originals."""
     said = F.when(F.col("doc_id") % 5 == 0, "cargo on TELEX  RELEASE terms").when(F.col("doc_id") % 5 == 1, "THREE (3) ORIGINAL bills, telex release").otherwise("none")
