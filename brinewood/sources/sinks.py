@@ -50,17 +50,19 @@ def invoice_cargo(expected: DataFrame, existing: DataFrame, measures: list[str],
 
 def post_lines(lines: DataFrame, operations: DataFrame, existing: DataFrame, terms: DataFrame) -> DataFrame:
     """[SNK-10, JN-21] lines(invoice, child, master, term, unit_price, rate) to postings: the child's operation, else the
-    master's; the base price at the exchange rate; the term's id by equal label, else by containment; insert or update."""
+    master's; the base price at the exchange rate; the term's id by equal label, else by a label that it contains; insert or update."""
     o = operations.select(F.col("number").alias("_no"), F.col("id").alias("_id"))
     child, master = o.toDF("c_no", "c_id"), o.toDF("m_no", "m_id")
     placed = lines.join(child, F.col("child") == F.col("c_no"), "left").join(master, F.col("master") == F.col("m_no"), "left")
     placed = placed.withColumn("operation_id", F.coalesce("c_id", "m_id")).withColumn("base_price", F.bround(F.col("unit_price") / F.coalesce("rate", F.lit(1.0)), 2))
-    t = terms.select(F.col("term_id"), F.upper("label").alias("_label"))
-    name = F.upper("term")
-    fits = placed.join(F.broadcast(t), (name == F.col("_label")) | F.contains(name, F.col("_label")), "left")
-    rank = F.struct((name != F.col("_label")).alias("inexact"), F.col("term_id").alias("id"))
-    keys = [c for c in placed.columns]
-    best = fits.groupBy(*keys).agg(F.min_by("term_id", F.when(F.col("term_id").isNotNull(), rank)).alias("term_id"))
+    # each distinct term once: labels that it equals or contains share their first word with it
+    words = lambda x: F.regexp_extract_all(x, F.lit("([A-Z0-9]+)"), F.lit(1))
+    labels = terms.select("term_id", F.upper("label").alias("_label")).withColumn("_w", F.get(words(F.col("_label")), F.lit(0)))
+    names = placed.select(F.upper("term").alias("_name")).distinct().withColumn("_w", F.explode(F.array_distinct(words(F.col("_name")))))
+    met = names.join(labels, "_w").where(F.contains("_name", F.col("_label")))
+    rank = F.struct((F.col("_name") != F.col("_label")).alias("inexact"), F.col("term_id").alias("id"))
+    resolved = met.groupBy("_name").agg(F.min_by("term_id", rank).alias("term_id"))
+    best = placed.join(resolved, F.upper("term") == F.col("_name"), "left")
     done = existing.select("operation_id", "invoice", "term_id", F.lit(True).alias("_done")).distinct()
     out = best.join(done, ["operation_id", "invoice", "term_id"], "left")
     status = F.when(F.col("operation_id").isNull(), "no_operation").when(F.col("term_id").isNull(), "no_term").when(F.col("_done"), "update").otherwise("insert")
