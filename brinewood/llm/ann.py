@@ -21,9 +21,9 @@ from pyspark.sql.window import Window
 
 from brinewood.llm.common import materialize, table
 
-SHARD = 4096  # vectors of a shard, about
+SHARD = 8192  # vectors of a shard, about
 LINKS = 12  # links that a new vector makes; twice as many are kept on the lowest level
-BREADTH_BUILD, BREADTH_SEARCH = 64, 160
+BREADTH_BUILD, BREADTH_SEARCH = 64, 144
 BLOCK = 32_768  # queries that one search task holds
 SEED = 9
 
@@ -165,7 +165,7 @@ def descend(vectors: np.ndarray, levels: list[np.ndarray], queries: np.ndarray,
 
 def find(vectors: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, k: int) -> np.ndarray:
     """Indices of about k nearest of each query; -1 for none."""
-    x, top = lifted(vectors), int(np.argmax([sum((lv[i] >= 0).any() for lv in levels) for i in range(len(vectors))])) if len(vectors) > 1 else 0
+    x, top = lifted(vectors), int(sum((lv >= 0).any(1).astype(int) for lv in levels).argmax())
     q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
     out = []
     for s in range(0, len(q), 512):
