@@ -109,7 +109,7 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     `row` holds the columns `keep`. Only lengths and counts are gathered per source; documents are ranked within
     (source, size) in buckets, so that copies of one text may be any share of the rows.
     """
-    rows = materialize(docs.select(F.struct(*keep).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), *keep).alias("draw")), "mix")
+    rows = materialize(docs.select(F.struct(*keep).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), *keep).alias("draw"), F.monotonically_increasing_id().alias("rid")), "mix")
     hist = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
     per_source = {r["source"]: int(r["words"]) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
     plan = []
@@ -128,10 +128,12 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     # rows of a group come in any order: sort them, since the seeded order is one of places
     quota = hist.join(F.broadcast(plan_df), on_source).select("source", "size", "n", "rest")
     quota = quota.groupBy("source").applyInPandas(lambda pdf: knapsack(pdf.sort_values("size", ignore_index=True)), "q_source string, q_size long, picked long")
-    ranked = spread_rank(rows, ["source", "size"], F.col("draw"), "rank", rows.count())
+    # whole rows may hold texts: only their numbers are ranked
+    ranked = spread_rank(rows.select("rid", "source", "size", "draw"), ["source", "size"], F.col("draw"), "rank", rows.count())
     ranked = ranked.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size"))).join(F.broadcast(plan_df), on_source)
     copies = F.col("whole") + (F.col("rank") < F.col("picked")).cast("int")
-    return ranked.select("row", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"))
+    decided = ranked.select("rid", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"))
+    return rows.select("rid", "row", "size").join(decided, "rid").drop("rid")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,14 +101,16 @@ def scan(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source",
     outside the base spans.
     """
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    found = docs.select(F.struct(*kept).alias("row"), F.col(owner_col).alias("owner"), F.col(repo_col).cast("string").alias("repo"), find(F.col(text_col)).alias("spans"))
-    found = materialize(found.withColumn("rid", F.monotonically_increasing_id()), "secrets")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    maybe = text.rlike(ASSIGN) | text.contains("AKIA") | text.rlike(HEX) | text.rlike(MIXED)
     none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
-    without = found.where(F.size("spans") == 0).select("row", none.alias("spans"))
-
-    some = found.where(F.size("spans") > 0)
+    row = F.struct(*kept).alias("row")
+    # most rows hold no candidate: they go straight through, and only the others are written
+    without = docs.where(~maybe).select(row, none.alias("spans"))
+    some = docs.where(maybe).select(row, F.col(owner_col).alias("owner"), F.col(repo_col).cast("string").alias("repo"), find(text).alias("spans"))
+    some = materialize(some.withColumn("rid", F.monotonically_increasing_id()), "secrets")
     keys = some.select("rid", F.explode(F.array_distinct(F.transform("spans", lambda s: s["key"]))).alias("key"))
-    copied = ownership(found).where(F.col("n_owners") >= copied_owners).select("key")
+    copied = ownership(some).where(F.col("n_owners") >= copied_owners).select("key")
     # a key in many rows is the large side of a join that only keeps rows; collected per row, never per key
     bad = keys.join(copied, "key", "left_semi").groupBy("rid").agg(F.collect_set("key").alias("copied"))
     judged = some.join(bad, "rid", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))

@@ -34,10 +34,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keep = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
     named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
     repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    once = named.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
-    again = named.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi")
-    again = again.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    repeated = materialize(repeated, "repeated")
+    if not repeated.isEmpty():
+        same = F.col("doc_id") == F.col("_again")
+        again = named.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+        named = named.join(repeated, same, "left_anti").unionByName(again)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
