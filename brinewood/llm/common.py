@@ -43,16 +43,27 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     path = f"{shared_dir(spark)}/brinewood/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Remove the scratch tables of this application, once their results are no longer needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/brinewood/{spark.sparkContext.applicationId}")
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing still to run reads."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once no result that reads them is needed."""
+    _delete(spark, f"{shared_dir(spark)}/brinewood/{spark.sparkContext.applicationId}")
+
+
 def process_cache(name: str) -> dict:
     """A dict that lives as long as the worker process, so that tasks in it share learned words."""
     home = sys.modules.setdefault("_brinewood_process", types.ModuleType("_brinewood_process"))

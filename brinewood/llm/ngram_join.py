@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.llm.common import materialize, small_batches, table
+from brinewood.llm.common import discard, materialize, small_batches, table
 from brinewood.llm.learned import WordTable
 
 WORDS = 5
@@ -99,7 +99,14 @@ def frequent_tokens(docs: DataFrame, text_col: str, words: int, ordered: int) ->
         yield counted(lot)
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token long, n long")
-    top = found.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(ordered).collect()
+    found = materialize(found.groupBy("token").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * 8)), "tokens")
+    # whole levels of frequency from the top, as many as fit: no more than `ordered` rows reach the driver
+    level, taken = None, 0
+    for r in sorted(found.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        if taken + r["count"] > ordered:
+            break
+        level, taken = r["level"], taken + r["count"]
+    top = found.where(F.col("level") >= level).select("token", "n").collect() if taken else []
     tokens, n = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(tokens)
     return tokens[order], n[order]
@@ -260,7 +267,9 @@ def posting_groups(shared: DataFrame) -> DataFrame:
     rows = materialize(rows, "groups")
     load = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0))
     loads = rows.groupBy(F.col("member").alias("m")).agg(load(F.col("k") > PAIRED).alias("large"), load(F.col("k") <= PAIRED).alias("small"))
-    return materialize(rows.join(loads, F.col("member") == F.col("m")).drop("m"), "groups")
+    out = materialize(rows.join(loads, F.col("member") == F.col("m")).drop("m"), "groups")
+    discard(rows)
+    return out
 
 
 def pairs_of_small(rows: DataFrame, threshold: int) -> DataFrame:
@@ -338,7 +347,10 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     several = members.join(several, "grp", "left_semi")
     prefix = F.sequence(F.lit(0).cast("long"), F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9))
     several = several.select(F.explode(F.transform(prefix, lambda i: F.xxhash64(F.lit("group"), "grp", i))).alias("token"), "member", "n")
-    groups = posting_groups(materialize(shared.unionByName(several), "shared"))
+    shared = materialize(shared.unionByName(several), "shared")
+    discard(full)
+    groups = posting_groups(shared)
+    discard(shared)
 
     # members of small groups are paired, those of large groups meet pivots first
     pairs = materialize(pairs_of_small(groups.where(F.col("k") <= PAIRED), threshold), "pairs")
@@ -363,6 +375,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     rest = materialize(pairs_of_large(open_, threshold), "pairs")
     if not rest.isEmpty():
         known = components(links.union(verify(rest, sets, threshold)))
+    discard(sets, groups, large, pairs)
 
     named = members.select("member", "doc_id").join(known, "member", "left").withColumn("root", F.coalesce("root", "member"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
