@@ -64,11 +64,13 @@ def unpivot_charges(rows: DataFrame, ids: list[str], charges: list[str]) -> Data
 
 
 def charge_groups(lines: DataFrame, child: str, order: str) -> DataFrame:
-    """[AGG-09] Lines of each child in order, with the first measures given."""
+    """[AGG-09] All lines of each child in order, with the first measures given. Lines that repeat a number are ordered by
+    term and amount, and of measures that still tie the smallest counts, so no line has to be left out."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, "term", "amount", c))).alias(c)
     return lines.groupBy(child).agg(
         F.min(order).alias("first_line"),
-        F.min_by("cbm", F.when(F.col("cbm").isNotNull(), F.col(order))).alias("cbm"),
-        F.min_by("kgs", F.when(F.col("kgs").isNotNull(), F.col(order))).alias("kgs"),
+        first("cbm"),
+        first("kgs"),
         F.array_sort(F.collect_list(F.struct(order, "term", "amount"))).alias("lines"),
     )
 

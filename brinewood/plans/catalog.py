@@ -114,10 +114,23 @@ SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_quantity, l_linenu
   string_agg(l_returnflag || '=' || (l_quantity::BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem
 WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1""")
 def charge_groups(spark, sf_dir):
-    """[AGG-09] Lines of each parent in order, with the first measure given."""
+    """[AGG-09] Lines of each parent in order, with the first measure given; as its SQL has it, without the lines that
+    share a number with another of their parent. `charge_groups_all_lines` takes those too."""
     lines = read(spark, sf_dir, "lineitem")
     one = lines.groupBy("l_orderkey", "l_linenumber").count().where("count = 1").drop("count")
-    lines = lines.join(one, ["l_orderkey", "l_linenumber"]).select(
+    return _charge_groups(lines.join(one, ["l_orderkey", "l_linenumber"]))
+
+
+@query("""
+SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_quantity, (l_linenumber, l_quantity)) FILTER (l_returnflag = 'A') AS cbm,
+  string_agg(l_returnflag || '=' || (l_quantity::BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem GROUP BY 1""")
+def charge_groups_all_lines(spark, sf_dir):
+    """[AGG-09] All lines of each parent in order, with the first measure given."""
+    return _charge_groups(read(spark, sf_dir, "lineitem"))
+
+
+def _charge_groups(lines: DataFrame) -> DataFrame:
+    lines = lines.select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("term"), F.col("l_quantity").alias("amount"), F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).alias("cbm"), F.lit(None).cast("double").alias("kgs")
     )
     found = rollup.charge_groups(lines, "l_orderkey", "l_linenumber")
