@@ -2,7 +2,8 @@
 
 Documents longer than a sequence are cut; whole-length pieces are sequences by themselves. All other pieces are
 dealt into blocks of bounded size. A block is packed by best fit, longest first, and then its underfull bins trade:
-single moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, until bins empty.
+single moves, one-for-one and two-for-one exchanges that raise the sum of squared fills, until none is left or a lower
+bound on the bins is met.
 
 Cases: a null text counts as empty and is one piece of the end id alone; repeated rows are packed one by one;
 an empty table gives an empty result.
@@ -10,7 +11,9 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,8 +30,6 @@ END_ID = 2
 BLOCK = 8192
 #: Encoded words that a worker keeps, and their characters.
 CACHED_WORDS, CACHED_CHARS = 1_000_000, 16_000_000
-#: Effort of the local search in a block: sweeps over the underfull bins, and pairs of bins looked at in all.
-SWEEPS, PAIRS = 8, 20_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -115,7 +116,7 @@ def pieces_of(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def pack_block(sizes: list[int], capacity: int = LENGTH, sweeps: int = SWEEPS) -> list[list[int]]:
+def pack_block(sizes: list[int], capacity: int = LENGTH, sweeps: int | None = None) -> list[list[int]]:
     """Bins of indices into sizes: best fit, longest first, then local search."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -156,60 +157,98 @@ def least_bins(sizes: list[int], capacity: int) -> int:
     return int((count[capacity] - count[half] + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int, sweeps: int) -> list[list[int]]:
-    """Trade between underfull bins so that fuller ones fill up and the emptiest empty out.
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int, sweeps: int | None = None) -> list[list[int]]:
+    """Trade between underfull bins so that fuller ones fill up and the emptiest empty out, until no trade is left, or
+    `least` bins are, or after so many sweeps if given.
 
-    Words moved from a bin to one that is at least as full raise the sum of squared fills, so the search can't cycle.
+    A trade is a move, one for one, or two for one, to a bin that is at least as full as the giver. It raises the sum of
+    squared fills, so the search can't cycle. Givers are found by what they offer: for each total of one piece or two,
+    a heap of the bins that have it, emptiest first. A bin's entries lapse when it changes.
     """
+    bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
-    n_open, left = len(bins), PAIRS
-    for _ in range(sweeps):
-        changed = False
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        for at, giver in enumerate(under):
-            for taker in reversed(under[at + 1 :]):
-                left -= 1
-                if not bins[giver] or left < 0:
-                    break
-                while fill[taker] < capacity and bins[giver] and fill[taker] >= fill[giver]:
-                    trade = best_trade(bins[giver], bins[taker], sizes, capacity - fill[taker])
-                    if trade is None:
+    version = [0] * len(bins)
+    heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(capacity + 1)] for _ in range(2)]
+    masks = [0, 0]  # bit t: some bin may offer a total of t, by one piece or by two
+
+    def offer(b: int) -> None:
+        if not 0 < fill[b] < capacity:
+            return
+        own = Counter(sizes[i] for i in bins[b])
+        kinds = sorted(own)
+        pairs = {x + y for at, x in enumerate(kinds) for y in kinds[at:] if x != y or own[x] > 1}
+        for which, totals in enumerate((kinds, pairs)):
+            for total in totals:
+                heapq.heappush(heaps[which][total], (fill[b], b, version[b]))
+                masks[which] |= 1 << total
+
+    def giver(which: int, total: int, taker: int) -> int | None:
+        heap, own, found = heaps[which][total], None, None
+        while heap:
+            f, b, v = heap[0]
+            if version[b] != v:
+                heapq.heappop(heap)
+            elif b == taker:
+                own = heapq.heappop(heap)
+            else:
+                found = b if f <= fill[taker] else None
+                break
+        if own:
+            heapq.heappush(heap, own)
+        if not heap:
+            masks[which] &= ~(1 << total)
+        return found
+
+    def best_trade(taker: int) -> tuple[int, int, int, int] | None:
+        """(giver, one piece or two, total given, size taken) so that the taker gains most, up to its room."""
+        best, found, room = 0, None, capacity - fill[taker]
+        back = sorted({sizes[i] for i in bins[taker]})
+        for which, takes in ((0, [0, *back]), (1, back)):
+            for size in takes:
+                window = masks[which] & ((1 << min(size + room, capacity) + 1) - (1 << size + best + 1))
+                while window > 0:
+                    total = window.bit_length() - 1
+                    b = giver(which, total, taker)
+                    if b is not None:
+                        best, found = total - size, (b, which, total, size)
                         break
-                    gives, takes = trade
-                    gain = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
-                    bins[giver] = [i for i in bins[giver] if i not in gives] + list(takes)
-                    bins[taker] = [i for i in bins[taker] if i not in takes] + list(gives)
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    changed = True
-            if not bins[giver]:
-                n_open -= 1
-                if n_open <= least:
-                    return [b for b in bins if b]
-        if not changed or left < 0:
-            break
-    return [b for b in bins if b]
-
-
-def best_trade(giver: list[int], taker: list[int], sizes: list[int], room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What the giver gives and takes so that the taker gains most, up to its room: a move, one for one, or two for one."""
-    best, found = 0, None
-    singles = sorted(giver, key=lambda i: -sizes[i])
-    back: list[tuple[int, tuple[int, ...]]] = [(0, ())] + [(sizes[j], (j,)) for j in taker]
-    for i in singles:
-        for size, takes in back:
-            gain = sizes[i] - size
-            if best < gain <= room:
-                best, found = gain, ((i,), takes)
-    if best == room:
+                    window ^= 1 << total
+                if best == room:
+                    return found
         return found
-    for x, i in enumerate(singles):
-        for k in singles[x + 1 :]:
-            two = sizes[i] + sizes[k]
-            for size, takes in back[1:]:
-                if best < two - size <= room:
-                    best, found = two - size, ((i, k), takes)
-    return found
+
+    def pick(b: int, which: int, total: int) -> list[int]:
+        if not which:
+            return [next(i for i in bins[b] if sizes[i] == total)]
+        seen: dict[int, int] = {}
+        for i in bins[b]:
+            if total - sizes[i] in seen:
+                return [seen[total - sizes[i]], i]
+            seen[sizes[i]] = i
+        raise AssertionError("an offer that its bin can't keep")
+
+    for b in range(len(bins)):
+        offer(b)
+    n_open, changed = len(bins), True
+    while changed and n_open > least and (sweeps is None or sweeps > 0):
+        changed, sweeps = False, None if sweeps is None else sweeps - 1
+        for taker in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b]):
+            while 0 < fill[taker] < capacity and (trade := best_trade(taker)):
+                b, which, total, size = trade
+                gives, takes = pick(b, which, total), pick(taker, 0, size) if size else []
+                bins[b] = [i for i in bins[b] if i not in gives] + takes
+                bins[taker] = [i for i in bins[taker] if i not in takes] + gives
+                fill[b] -= total - size
+                fill[taker] += total - size
+                for x in (b, taker):
+                    version[x] += 1
+                    offer(x)
+                changed = True
+                if not bins[b]:
+                    n_open -= 1
+                    if n_open <= least:
+                        return [x for x in bins if x]
+    return [x for x in bins if x]
 
 
 def pack(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), path: str | None = None, length: int = LENGTH, end_id: int = END_ID, block: int = BLOCK) -> DataFrame:

@@ -1,5 +1,9 @@
 """Operators that have to do the whole job: rows that tie, names that only variants or containment meet."""
 
+import random
+from itertools import combinations
+
+from brinewood.llm import packing
 from brinewood.operators import rollup
 
 
@@ -10,3 +14,25 @@ def test_charge_groups_keep_lines_that_repeat_a_number(spark):
         r = rollup.charge_groups(lines, "p", "n").first()
         assert (r.first_line, r.cbm, r.kgs) == (1, 2.0, 3.0)
         assert [(x.n, x.term, x.amount) for x in r.lines] == [(1, "A", 2.0), (1, "A", 2.0), (1, "A", 7.0), (2, "B", 1.0)]
+
+
+def test_packing_trades_until_none_is_left_in_a_full_block():
+    rng = random.Random(6)
+    for draw, most in ((lambda: rng.choice([300, 400, 500, 520]), 1.05), (lambda: rng.randint(180, 300), 1.01)):
+        sizes = [draw() for _ in range(packing.BLOCK)]
+        bins = packing.pack_block(sizes)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        fill = [sum(sizes[i] for i in b) for b in bins]
+        least = packing.least_bins(sizes, packing.LENGTH)
+        assert max(fill) <= packing.LENGTH and least <= len(bins) <= least * most
+        if len(bins) == least:
+            continue
+        under = [(fill[b], sorted(sizes[i] for i in bins[b])) for b in range(len(bins)) if fill[b] < packing.LENGTH]
+        shapes = {(f, tuple(x)) for f, x in under}
+        for f, own in shapes:
+            for g, other in shapes:
+                if g < f:
+                    room = packing.LENGTH - f
+                    one = [x - y for x in other for y in (0, *own)]
+                    two = [sum(x) - y for x in combinations(other, 2) for y in own]
+                    assert not any(0 < gain <= room for gain in one + two)
