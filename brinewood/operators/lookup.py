@@ -39,22 +39,35 @@ def search_variants(name: Column, hints: dict[str, list[str]] | None = None) ->
     return F.filter(every, lambda v, i: F.array_position(keys, F.upper(F.trim(v))) == i + 1)
 
 
-def fuzzy_lookup(queries: DataFrame, dim: DataFrame, *, query_id: str, query_name: str, dim_id: str, dim_name: str, least: int = 60, block: int = 3) -> DataFrame:
-    """[JN-05, JN-08, JN-09] The best dimension row of each query: (query_id, dim_id, score), null id below `least`.
-
-    Candidates share a word of at least `block` characters, or the first `block` characters of the compacted name, so
-    the join is an equality join; a name contained in another without word boundary or common start isn't met. Ties go
-    to the smaller dimension id.
+def fuzzy_lookup(queries: DataFrame, dim: DataFrame, *, query_id: str, query_name: str, dim_id: str, dim_name: str, least: int = 60, variants: bool = True, hints: dict[str, list[str]] | None = None) -> DataFrame:
+    """[JN-05, JN-06, JN-08, JN-09] The best dimension row of each query: (query_id, dim_id, score), null id below `least`.
+
+    The first of the name's variants that reaches `least` decides; a variant of less than three characters has to be
+    equal. Without `variants` only the name itself is scored. Every pair that match_score gives more than 0 is met, by
+    equality joins: names that share a word of three characters, and names of which one holds the other, by the first
+    three characters (or all, of a shorter name) of the one among all runs of three, two or one of the other. Ties go to
+    the smaller dimension id.
     """
-    def keys(x: Column) -> Column:
-        words = F.regexp_extract_all(match_text(x), F.lit(f"([A-Z0-9]{{{block},}})"), F.lit(1))
-        return F.explode(F.array_distinct(F.concat(words, F.array(F.substring(alnum_upper(x), 1, block)))))
-
-    q = queries.select(F.col(query_id).alias("q"), F.col(query_name).alias("qn")).withColumn("k", keys(F.col("qn")))
-    d = dim.select(F.col(dim_id).alias("d"), F.col(dim_name).alias("dn")).withColumn("k", keys(F.col("dn")))
-    met = q.join(d, "k").select("q", "qn", "d", "dn").distinct().withColumn("score", match_score(F.col("qn"), F.col("dn")))
-    best = met.groupBy("q").agg(F.max_by(F.struct("d", "score"), F.struct("score", -F.col("d"))).alias("b"))
-    best = best.where(F.col("b.score") >= least)
+    def words(x: Column) -> Column:
+        return F.array_distinct(F.regexp_extract_all(match_text(x), F.lit("([A-Z0-9]{3,})"), F.lit(1)))
+
+    def runs(x: Column) -> Column:
+        whole = F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.array(*[F.substr(x, i, F.lit(n)) for n in (1, 2, 3)])))
+        return F.when(x != "", F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+
+    names = search_variants(F.col(query_name), hints) if variants else F.array(query_name)
+    q = queries.select(F.col(query_id).alias("q"), F.posexplode(names).alias("v", "qn")).withColumn("x", alnum_upper("qn"))
+    d = dim.select(F.col(dim_id).alias("d"), F.col(dim_name).alias("dn")).withColumn("y", alnum_upper("dn"))
+    q, d = q.where("x != ''"), d.where("y != ''")
+    start = lambda x: F.substring(x, 1, 3)
+    met = [
+        q.withColumn("k", F.explode(words(F.col("qn")))).join(d.withColumn("k", F.explode(words(F.col("dn")))), "k"),
+        q.withColumn("k", start("x")).join(d.withColumn("k", F.explode(runs(F.col("y")))), "k").where(F.contains("y", "x")),
+        q.withColumn("k", F.explode(runs(F.col("x")))).join(d.withColumn("k", start("y")), "k").where(F.contains("x", "y")),
+    ]
+    met = met[0].unionByName(met[1]).unionByName(met[2]).select("q", "v", "qn", "d", "dn", "x").distinct().withColumn("score", match_score(F.col("qn"), F.col("dn")))
+    met = met.where((F.col("score") >= least) & ((F.col("v") == 0) | (F.length("x") >= 3) | (F.col("score") == 100)))
+    best = met.groupBy("q").agg(F.max_by(F.struct("d", "score"), F.struct(-F.col("v"), "score", -F.col("d"))).alias("b"))
     out = queries.select(F.col(query_id).alias("q"))
     return out.join(best, "q", "left").select(F.col("q").alias(query_id), F.col("b.d").alias(dim_id), F.coalesce("b.score", F.lit(0)).alias("score"))
 

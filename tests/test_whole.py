@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 from brinewood.llm import packing
-from brinewood.operators import rollup
+from brinewood.operators import lookup, rollup
 
 
 def test_charge_groups_keep_lines_that_repeat_a_number(spark):
@@ -36,3 +36,17 @@ def test_packing_trades_until_none_is_left_in_a_full_block():
                     one = [x - y for x in other for y in (0, *own)]
                     two = [sum(x) - y for x in combinations(other, 2) for y in own]
                     assert not any(0 < gain <= room for gain in one + two)
+
+
+def test_fuzzy_lookup_meets_names_inside_others_and_variants(spark):
+    dim = spark.createDataFrame([(1, "Portsaid"), (2, "ABC Co"), (3, "Zeta Trading"), (4, "x9"), (5, None), (6, "--")], "id int, name string")
+    names = [(1, "SAID"), (2, "AB"), (3, "Foo Group"), (4, "Qx9q"), (5, None), (6, "nobody"), (7, "PORT SAID EAST"), (8, "."), (9, "Nobody (Zeta Trading)")]
+    q = spark.createDataFrame(names, "q int, n string")
+    names = {"query_id": "q", "query_name": "n", "dim_id": "id", "dim_name": "name"}
+    got = {r.q: (r.id, r.score) for r in lookup.fuzzy_lookup(q, dim, **names, hints={"foo": ["ZETA TRADING"]}).collect()}
+    assert got == {1: (1, 75), 2: (2, 90), 3: (3, 100), 4: (4, 75), 5: (None, 0), 6: (None, 0), 7: (1, 90), 8: (None, 0), 9: (3, 75)}
+    got = {r.q: r.id for r in lookup.fuzzy_lookup(q, dim, **names, variants=False).collect()}
+    assert (got[1], got[2], got[3]) == (1, 2, None)
+    pairs = q.crossJoin(dim).select("q", "id", lookup.match_score("n", "name").alias("s")).where("s > 0").groupBy("q").agg({"s": "max"}).collect()
+    got = {r.q: r.score for r in lookup.fuzzy_lookup(q, dim, **names, variants=False, least=1).where("score > 0").collect()}
+    assert got == {p[0]: p[1] for p in pairs}
