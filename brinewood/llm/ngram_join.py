@@ -112,7 +112,7 @@ def frequent_tokens(docs: DataFrame, text_col: str, words: int, ordered: int) ->
     return tokens[order], n[order]
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int, tokens, counts) -> DataFrame:
+def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int, tokens, counts, key_col: str | None = None) -> DataFrame:
     """(doc_id, n, member, grp, prefix, hot): the size, the set's own hash, the group's, and the prefix tokens in order.
 
     `hot` holds the prefix tokens that are frequent beyond doubt. A task gives the tokens of a group once.
@@ -151,11 +151,12 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
                 hot.append(first[len(first) - n_hot :])
             sizes = pa.array([len(s) for s in sets], pa.int64())
             longs = pa.list_(pa.int64())
-            columns = [batch.column(0), sizes, pa.array(member, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, longs), pa.array(hot, longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "member", "grp", "prefix", "hot"])
+            columns = [*(batch.column(i) for i in (0, *range(2, batch.num_columns))), sizes, pa.array(member, pa.binary()), pa.array(group, pa.int64()), pa.array(prefix, longs), pa.array(hot, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(["key"] if key_col else []), "n", "member", "grp", "prefix", "hot"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, member binary, grp long, prefix array<long>, hot array<long>")
+    own = [F.col(key_col).cast("binary").alias("key")] if key_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    return rows.mapInArrow(run, f"doc_id long, {'key binary, ' if key_col else ''}n long, member binary, grp long, prefix array<long>, hot array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,13 +327,17 @@ def still_open(rows: DataFrame, known: DataFrame) -> DataFrame:
     return materialize(placed.join(open_, "grp", "left_semi"), "open")
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, ordered: int = ORDERED) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, ordered: int = ORDERED, key_col: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links reach.
+
+    With key_col, a binary column of docs, also `key`, that column, and `component`, one value for each component, null
+    for rows without shingles.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     tokens, counts = (spark.sparkContext.broadcast(x) for x in frequent_tokens(docs, text_col, words, ordered))
-    full = materialize(prefixes(docs, id_col, text_col, words, threshold, tokens, counts), "prefixes")
-    rows = materialize(full.select("doc_id", "n", "member", "grp"), "rows")
+    full = materialize(prefixes(docs, id_col, text_col, words, threshold, tokens, counts, key_col), "prefixes")
+    rows = materialize(full.select("doc_id", *(["key"] if key_col else []), "n", "member", "grp"), "rows")
     real = rows.where("n > 0")
     members = real.groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("grp").alias("grp"))
     members = materialize(members.withColumn("place", place_of(F.col("doc_id"))), "members")
@@ -379,9 +384,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
     named = members.select("member", "doc_id").join(known, "member", "left").withColumn("root", F.coalesce("root", "member"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("member").alias("m"), "component_id")
+    named = named.join(least, "root").select(F.col("member").alias("m"), "component_id", F.col("root").alias("component"))
     out = rows.join(named, F.col("member") == F.col("m"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["key", "component"] if key_col else []))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,21 +25,24 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; of rows that repeat a doc_id, one.
+    """Keeps one row of each component, one with its smallest doc_id; rows without shingles are each their own.
 
-    Rows without doc_id can't be named by a component and stay.
+    A row is named by its doc_id and text, so rows that share a doc_id are judged by their texts, and of rows with equal
+    doc_id and text one stays. Rows without doc_id can't be named by a component and stay.
     """
-    docs = docs.select(*COLUMNS)
-    joined = ngram_join.join(docs)
-    keep = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    docs = docs.select(*COLUMNS).withColumn("_text", F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b"")))
+    joined = ngram_join.join(docs, key_col="_text").where(F.col("doc_id").isNotNull())
+    first = joined.where(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.*")
+    keep = first.unionByName(joined.where(F.col("component").isNull()).select("doc_id", "key")).distinct()
+    keep = materialize(keep.toDF("_keep", "_key"), "kept")
+    named = docs.where(F.col("doc_id").isNotNull()).join(keep, (F.col("doc_id") == F.col("_keep")) & (F.col("_text") == F.col("_key")), "left_semi")
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "_text").count().where("count > 1").select(F.col("doc_id").alias("_again"), F.col("_text").alias("_same"))
     repeated = materialize(repeated, "repeated")
     if not repeated.isEmpty():
-        same = F.col("doc_id") == F.col("_again")
-        again = named.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*")
+        same = (F.col("doc_id") == F.col("_again")) & (F.col("_text") == F.col("_same"))
+        again = named.join(repeated, same, "left_semi").groupBy("doc_id", "_text").agg(F.min(F.struct(*COLUMNS[1:])).alias("x")).select("doc_id", "x.*", "_text")
         named = named.join(repeated, same, "left_anti").unionByName(again)
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.unionByName(docs.where(F.col("doc_id").isNull())).drop("_text")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

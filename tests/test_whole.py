@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import corpus_pipeline
 from brinewood.llm import packing
 from brinewood.operators import lookup, rollup
 
@@ -50,3 +51,12 @@ def test_fuzzy_lookup_meets_names_inside_others_and_variants(spark):
     pairs = q.crossJoin(dim).select("q", "id", lookup.match_score("n", "name").alias("s")).where("s > 0").groupBy("q").agg({"s": "max"}).collect()
     got = {r.q: r.score for r in lookup.fuzzy_lookup(q, dim, **names, variants=False, least=1).where("score > 0").collect()}
     assert got == {p[0]: p[1] for p in pairs}
+
+
+def test_near_duplicates_judges_rows_not_ids(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("amber", "basil", "cedar"))
+    # 2 has a copy of 1 and a text of its own, 3 two texts of its own, 4 one row twice
+    given = [(1, one), (2, one), (2, two), (3, three), (3, three.upper() + " " + two.upper().replace("BASIL", "DUNE")), (4, "zinc yarrow"), (4, "zinc yarrow"), (5, ""), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted({x for x in given if x != (2, one)}, key=str)
