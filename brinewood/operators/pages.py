@@ -36,7 +36,7 @@ def multi_record_docs(pages: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """[RGX-11, RGX-19, SET-12] One record per page with a number; of pages that repeat a number the first; only for documents
+    """[RGX-11, SET-12] One record per page with a number; of pages that repeat a number the first; only for documents
     with two records or more."""
     found = pages.select("doc", "page", document_number(F.col("text")).alias("number"), measures(F.col("text")).alias("m")).where("number is not null")
     first = found.groupBy("doc", "number").agg(F.min("page").alias("page"), F.min_by("m", "page").alias("m"))
@@ -93,7 +93,7 @@ def consolidated(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def until_stop(lines: DataFrame, label: str, stop: str, most: int = 5) -> DataFrame:
-    """[WIN-18, RGX-17] Up to `most` lines after each label line, until one matches `stop`: (doc, label_no, lines)."""
+    """[WIN-18] Up to `most` lines after each label line, until one matches `stop`: (doc, label_no, lines)."""
     running = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     opens, ends = F.col("line").rlike(label), F.col("line").rlike(stop)
     marked = lines.withColumn("label_no", F.last(F.when(opens, F.col("line_no")), True).over(running))
