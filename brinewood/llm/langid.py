@@ -1,228 +1,246 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads each word (with the white space before it) in windows of bounded length, forwards and
-backwards, and labels every byte; a document's probabilities are the mean over all its bytes. It is trained in
-numpy by backpropagation through time. Words are labelled once per worker and looked up after that.
+The network runs along the whole text, forwards and backwards, and labels every byte; a document's probabilities are
+the mean over all its bytes. It is trained in numpy by backpropagation through time. So that many places are read at
+once, a text is cut into windows; each window reads some bytes before and after it first, so that every position is
+labelled by a state that comes from the text around it, other words included.
 
 Cases: a null text or one without a letter is `und` with score 0; without labelled rows nothing is learned and
-every text is `und`; equal texts get equal predictions; an empty table gives an empty result.
+every text is `und`; very long texts are read whole, window by window; equal texts get equal predictions; labels that
+tie go to the first in code order; columns of docs stay as they are, but for columns named lang_pred or score, which
+are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.llm.common import crc_share, small_batches, table
-from brinewood.llm.learned import WordTable, labelled_sample
-
-HIDDEN = 16
-WINDOW = 24  # bytes that the network reads at once; longer words are read in several windows
-DOCS_PER_LANGUAGE = 400  # bound of the labelled sample
-WORDS_PER_LANGUAGE = 12_000  # training words drawn from it
-EPOCHS, BATCH, RATE = 3, 256, 0.01
-CACHED_WORDS = 500_000
+from brinewood.llm.learned import labelled_sample
+
+HIDDEN = 8
+WINDOW, CONTEXT = 512, 32  # bytes that a window labels, and bytes that it reads on either side beforehand
+LEARNED = 128  # bytes of a training window
+DOCS_PER_LANGUAGE = 100  # bound of the labelled sample
+EPOCHS, BATCH, RATE = 2, 64, 0.02
+RUN = 1024  # windows that run at once
 SEED = 5
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+PAD = 256  # no byte: the update gate is shut, so the state stays
+SHUT = 1e30
+MOST = 60  # bound of a logit
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter (Unicode category L), as `letters` says for columns."""
+    return any(map(str.isalpha, text or ""))
+
+
+def letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def soft_sign(x: np.ndarray) -> None:
+    """x / (1 + |x|) in place; its slope is (1 - |result|) squared."""
+    x /= np.abs(x) + np.float32(1)
 
 
 class BiGru:
-    """Two gated recurrent layers over bytes, one from each end, and a softmax at every position."""
+    """Two gated recurrent layers over bytes, one from each end, and a softmax at every position.
+
+    Soft signs stand for tanh and, scaled to (0, 1), for the gates' sigmoid: they need no exponentials.
+    Arrays are (features, batch); gates are slices of rows, in the order update, reset, new state.
+    """
 
     def __init__(self, labels: list[str], hidden: int = HIDDEN, seed: int = SEED) -> None:
         draw = np.random.default_rng(seed)
         h, k = hidden, len(labels)
         self.labels, self.hidden = labels, h
-        self.w = {"out": draw.normal(0, 0.2, (2 * h, k)), "bias": np.zeros(k)}
+        self.w = {"out": draw.normal(0, 0.2, (k, 2 * h)), "bias": np.zeros((k, 1))}
         for side in "fb":
-            self.w |= {f"in_{side}": draw.normal(0, 0.3, (257, 3 * h)), f"rec_{side}": draw.normal(0, 0.3, (h, 3 * h)), f"rec_bias_{side}": np.zeros(3 * h)}
+            table_ = draw.normal(0, 0.3, (3 * h, PAD + 1))
+            table_[:, PAD] = np.where(np.arange(3 * h) < h, SHUT, 0)
+            self.w |= {f"in_{side}": table_, f"rec_{side}": draw.normal(0, 0.3, (3 * h, h)), f"rec_bias_{side}": np.zeros((3 * h, 1))}
         self.w = {n: v.astype(np.float32) for n, v in self.w.items()}
 
     def key(self) -> str:
         return hashlib.sha256(b"".join(self.w[n].tobytes() for n in sorted(self.w)) + repr(self.labels).encode()).hexdigest()
 
-    def _run(self, side: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """States after each step of x (steps, batch); where mask is 0 the state stays."""
+    def _run(self, side: str, x: np.ndarray, states: np.ndarray, tape: list | None = None) -> None:
+        """Fill states (steps, hidden, batch) along x (steps, batch), from the first step or, for side b, from the last."""
         h = self.hidden
         table_, rec, bias = self.w[f"in_{side}"], self.w[f"rec_{side}"], self.w[f"rec_bias_{side}"]
-        state = np.zeros((x.shape[1], h), np.float32)
-        states, tape = np.empty((*x.shape, h), np.float32), []
-        for t in range(len(x)):
-            a, u = table_[x[t]], state @ rec + bias
-            zr = sigmoid(a[:, : 2 * h] + u[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            new = np.tanh(a[:, 2 * h :] + r * u[:, 2 * h :])
-            step = (new + z * (state - new)) if mask is None else state + mask[t][:, None] * (1 - z) * (new - state)
-            if keep:
-                tape.append((state, z, r, new, u[:, 2 * h :]))
-            states[t] = state = step
-        return states, tape
-
-    def forward(self, x: np.ndarray, lengths: np.ndarray, keep: bool = False):
-        """Probabilities (steps, batch, labels) of words x (steps, batch), padded after `lengths`."""
-        steps, batch = x.shape
-        at = np.arange(steps)[:, None]
-        mask = (at < lengths[None]).astype(np.float32)
-        turn = np.where(at < lengths[None], lengths[None] - 1 - at, at)  # its own inverse
-        cols = np.arange(batch)[None]
-        forth, tape_f = self._run("f", x, mask, keep)
-        back, tape_b = self._run("b", x[turn, cols], mask, keep)
-        both = np.concatenate([forth, back[turn, cols]], 2)
-        logit = both @ self.w["out"] + self.w["bias"]
-        logit -= logit.max(2, keepdims=True)
-        p = np.exp(logit)
-        p /= p.sum(2, keepdims=True)
-        return p, (mask, turn, cols, both, tape_f, tape_b)
-
-    def _back(self, side: str, x: np.ndarray, mask: np.ndarray, tape: list, grad_states: np.ndarray, grads: dict) -> None:
+        state = np.zeros((h, x.shape[1]), rec.dtype)
+        half = np.float32(0.5)
+        a, u = np.empty((2, 3 * h, x.shape[1]), rec.dtype)
+        for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
+            if tape is not None:
+                a, u = np.empty((2, 3 * h, x.shape[1]), rec.dtype)
+            np.take(table_, x[t], axis=1, out=a, mode="clip")
+            np.dot(rec, state, out=u)
+            u += bias
+            zr, new, u_new = a[: 2 * h], a[2 * h :], u[2 * h :]
+            zr += u[: 2 * h]
+            soft_sign(zr)
+            zr *= half
+            zr += half
+            z, r = zr[:h], zr[h:]
+            new += r * u_new
+            soft_sign(new)
+            if tape is not None:
+                tape.append((t, state, z, r, new, u_new))
+            step = states[t]
+            np.subtract(state, new, out=step)
+            step *= z
+            step += new
+            state = step
+
+    def forward(self, x: np.ndarray, tapes: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities (steps, labels, batch) at all positions of x (steps, batch), and the states of both sides."""
+        h = self.hidden
+        both = np.empty((len(x), 2 * h, x.shape[1]), self.w["out"].dtype)
+        for i, side in enumerate("fb"):
+            self._run(side, x, both[:, i * h : (i + 1) * h], tapes and tapes[i])
+        p = np.matmul(self.w["out"], both)
+        p += self.w["bias"]
+        np.exp(np.clip(p, -MOST, MOST, out=p), out=p)
+        p /= p.sum(1, keepdims=True)
+        return p, both
+
+    def _back(self, side: str, x: np.ndarray, tape: list, grad_states: np.ndarray, grads: dict) -> None:
         h, rec = self.hidden, self.w[f"rec_{side}"]
-        g_in, g_rec, g_bias = np.zeros_like(self.w[f"in_{side}"]), np.zeros_like(rec), np.zeros(3 * h, np.float32)
-        carry = np.zeros((x.shape[1], h), np.float32)
-        for t in range(len(x) - 1, -1, -1):
-            state, z, r, new, u_new = tape[t]
+        g_rec, g_bias = np.zeros_like(rec), np.zeros((3 * h, 1), np.float32)
+        g_all = np.empty((len(x), 3 * h, x.shape[1]), np.float32)
+        carry = np.zeros((h, x.shape[1]), np.float32)
+        for t, state, z, r, new, u_new in reversed(tape):
             g = carry + grad_states[t]
-            m = mask[t][:, None]
-            gm = g * m
-            g_new = gm * (1 - z) * (1 - new * new)
-            g_z = gm * (state - new) * z * (1 - z)
-            g_r = g_new * u_new * r * (1 - r)
-            g_a = np.concatenate([g_z, g_r, g_new], 1)
-            g_u = np.concatenate([g_z, g_r, g_new * r], 1)
-            np.add.at(g_in, x[t], g_a)
-            g_rec += state.T @ g_u
-            g_bias += g_u.sum(0)
-            carry = g * (1 - m) + gm * z + g_u @ rec.T
-        grads |= {f"in_{side}": g_in, f"rec_{side}": g_rec, f"rec_bias_{side}": g_bias}
-
-    def gradients(self, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+            g_new = g * (1 - z) * np.square(1 - np.abs(new))
+            g_a = g_all[t]
+            g_a[:h] = g * (state - new) * np.square(1 - np.abs(2 * z - 1)) * np.float32(0.5)
+            g_a[h : 2 * h] = g_new * u_new * np.square(1 - np.abs(2 * r - 1)) * np.float32(0.5)
+            g_a[2 * h :] = g_new
+            g_u = g_a.copy()
+            g_u[2 * h :] *= r
+            g_rec += g_u @ state.T
+            g_bias += g_u.sum(1, keepdims=True)
+            carry = g * z + rec.T @ g_u
+        flat, rows = x.ravel(), g_all.transpose(0, 2, 1).reshape(-1, 3 * h)
+        order = np.argsort(flat, kind="stable")
+        found, first = np.unique(flat[order], return_index=True)
+        g_in = np.zeros((PAD + 1, 3 * h), np.float32)
+        g_in[found] = np.add.reduceat(rows[order], first)
+        g_in[PAD] = 0
+        grads |= {f"in_{side}": g_in.T, f"rec_{side}": g_rec, f"rec_bias_{side}": g_bias}
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Mean cross-entropy over all positions, and its gradients, back through time in both directions."""
-        p, (mask, turn, cols, both, tape_f, tape_b) = self.forward(x, lengths, keep=True)
-        n = mask.sum()
-        own = p[np.arange(len(x))[:, None], cols, y[None]]
-        loss = float(-(np.log(own + 1e-9) * mask).sum() / n)
-        g = p.copy()
-        g[np.arange(len(x))[:, None], cols, y[None]] -= 1
-        g *= mask[..., None] / n
-        k, h = p.shape[2], self.hidden
-        grads = {"out": both.reshape(-1, 2 * h).T @ g.reshape(-1, k), "bias": g.sum((0, 1))}
-        g_both = g @ self.w["out"].T
-        self._back("f", x, mask, tape_f, g_both[..., :h], grads)
-        self._back("b", x[turn, cols], mask, tape_b, g_both[..., h:][turn, cols], grads)
+        tapes: tuple[list, list] = ([], [])
+        p, both = self.forward(x, tapes)
+        real = (x != PAD)[:, None].astype(np.float32)
+        n = float(real.sum())
+        own = (np.arange(len(self.labels))[:, None] == y)[None]
+        loss = float(-(np.log(np.where(own, p, 1) + 1e-9) * real).sum() / n)
+        g = (p - own) * (real / np.float32(n))
+        h = self.hidden
+        grads = {"out": np.einsum("tkb,thb->kh", g, both, optimize=True), "bias": g.sum((0, 2))[:, None]}
+        g_both = np.matmul(self.w["out"].T, g)
+        self._back("f", x, tapes[0], g_both[:, :h], grads)
+        self._back("b", x, tapes[1], g_both[:, h:], grads)
         return loss, grads
 
-    def fit(self, words: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> float:
-        """Adam over batches of words of like length; the last mean loss."""
+    def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> float:
+        """Adam over batches of windows that cover the texts whole; the last mean loss."""
         draw = np.random.default_rng(seed)
+        windows = [(i, a) for i, t in enumerate(texts) for a in range(0, len(t), LEARNED)]
         first = {n: np.zeros_like(v) for n, v in self.w.items()}
         second = {n: np.zeros_like(v) for n, v in self.w.items()}
-        total = max(1, epochs * -(-len(words) // batch))
+        total = max(1, epochs * -(-len(windows) // batch))
         step, loss = 0, 0.0
-        lengths = np.array([len(w) for w in words])
         for _ in range(epochs):
-            order = np.lexsort((draw.random(len(words)), lengths))
-            starts = np.arange(0, len(words), batch)
-            draw.shuffle(starts)
-            for s in starts:
-                at = order[s : s + batch]
-                x, n = padded([words[i] for i in at])
-                loss, grads = self.gradients(x, n, y[at])
+            order = draw.permutation(len(windows))
+            for s in range(0, len(order), batch):
+                some = [windows[j] for j in order[s : s + batch]]
+                x = padded([texts[i][a : a + LEARNED] for i, a in some])
+                loss, grads = self.gradients(x, y[[i for i, _ in some]])
                 step += 1
-                now = rate * (1 - 0.9 * step / total)
+                now = rate * (1 - 0.95 * step / total)
                 for name, g in grads.items():
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.01 * (g * g - second[name])
                     self.w[name] -= (now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
         return loss
 
-    def label_words(self, words: list[bytes]) -> np.ndarray:
-        """Per word the sum of its positions' probabilities and their number. Windows of one length run together, unpadded."""
-        out = np.zeros((len(words), len(self.labels) + 1), np.float32)
-        by_length: dict[int, list[tuple[int, bytes]]] = {}
-        for i, w in enumerate(words):
-            for a in range(0, len(w), WINDOW):
-                part = w[a : a + WINDOW]
-                by_length.setdefault(len(part), []).append((i, part))
-        for n, parts in by_length.items():
-            for s in range(0, len(parts), 1024):
-                some = parts[s : s + 1024]
-                x = np.ascontiguousarray(np.frombuffer(b"".join(p for _, p in some), np.uint8).reshape(len(some), n).T)
-                both = np.concatenate([self._run("f", x, None, False)[0], self._run("b", x[::-1], None, False)[0][::-1]], 2)
-                p = np.exp(both @ self.w["out"] + self.w["bias"])
-                p /= p.sum(2, keepdims=True)
-                np.add.at(out, [i for i, _ in some], np.concatenate([p.sum(0), np.full((len(some), 1), n, np.float32)], 1))
-        return out
-
-
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, batch) of byte values, 256 after a word's end, and the lengths."""
-    n = np.array([len(w) for w in words])
-    x = np.full((len(words), int(n.max())), 256, np.int64)
-    x[np.arange(x.shape[1])[None] < n[:, None]] = np.frombuffer(b"".join(words), np.uint8)
-    return x.T.copy(), n
-
-
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
-
-
-def train(rows: DataFrame, *, text_col: str = "text", label_col: str = "lang", docs_per_label: int = DOCS_PER_LANGUAGE, words_per_label: int = WORDS_PER_LANGUAGE, seed: int = SEED) -> BiGru | None:
+    def label(self, texts: list[bytes], window: int = WINDOW, context: int = CONTEXT) -> np.ndarray:
+        """(texts, labels): mean probabilities over all positions of each text, every one of which is labelled once."""
+        size = np.array([len(t) for t in texts], np.int64)
+        flat = np.append(np.frombuffer(b"".join(texts), np.uint8), 0).astype(np.int16)
+        n = -(-size // window)
+        owner = np.repeat(np.arange(len(texts)), n)
+        begin = (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * window  # first byte to label
+        end = np.minimum(begin + window, size[owner])
+        low, high = np.maximum(begin - context, 0), np.minimum(end + context, size[owner])  # bytes to read
+        base = (np.cumsum(size) - size)[owner]
+        out = np.zeros((len(texts), len(self.labels)))
+        order = np.argsort(high - low, kind="stable")
+        for s in range(0, len(order), RUN):
+            w = order[s : s + RUN]
+            at = low[w] + np.arange((high - low)[w].max())[:, None]
+            x = np.where(at < high[w], flat[np.minimum(base[w] + at, len(flat) - 1)], PAD)
+            p, _ = self.forward(x)
+            p *= ((at >= begin[w]) & (at < end[w]))[:, None]
+            np.add.at(out, owner[w], p.sum(0).T.astype(np.float64))
+        return out / np.maximum(size, 1)[:, None]
+
+
+def padded(texts: list[bytes]) -> np.ndarray:
+    """(steps, batch) of byte values, PAD after a text's end."""
+    n = np.array([len(t) for t in texts])
+    x = np.full((len(texts), int(n.max())), PAD, np.int16)
+    x[np.arange(x.shape[1])[None] < n[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
+    return np.ascontiguousarray(x.T)
+
+
+def bytes_of(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
+def train(rows: DataFrame, *, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", docs_per_label: int = DOCS_PER_LANGUAGE, seed: int = SEED) -> BiGru | None:
     """A network for the labels of rows, from a bounded sample of whole texts; None if no row has label and text."""
-    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where(F.col("text").rlike(r"\p{L}") & F.col("label").isNotNull())
-    sample = labelled_sample(rows, "label", docs_per_label, seed)
+    rows = rows.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.xxhash64(F.lit(seed), id_col, text_col).alias("draw"))
+    sample = labelled_sample(rows.where(letters(F.col("text")) & F.col("label").isNotNull()), "label", docs_per_label)
     labels = sorted(set(sample["label"]))
     if not labels:
         return None
-    draw = np.random.default_rng(seed)
-    words: list[bytes] = []
-    y: list[int] = []
-    for k, label in enumerate(labels):
-        own = [b" " + w for t in sample.loc[sample["label"] == label, "text"] for w in words_of(t)]
-        at = np.sort(draw.choice(len(own), min(len(own), words_per_label), replace=False))
-        for w in (own[i] for i in at):
-            for a in range(0, len(w), WINDOW):
-                words.append(w[a : a + WINDOW])
-                y.append(k)
     model = BiGru(labels, seed=seed)
-    model.fit(words, np.array(y))
+    model.fit([bytes_of(t) for t in sample["text"]], sample["label"].map(labels.index).to_numpy())
     return model
 
 
 def predict(docs: DataFrame, model: BiGru | None, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    names = docs.columns
+    docs = docs.drop("lang_pred", "score")
     small_batches(docs.sparkSession)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    key, width = "langid" + model.key(), len(model.labels) + 1
-    at = names.index(text_col)
-
-    def label(words: list[bytes]) -> np.ndarray:
-        return model.label_words([b" " + w for w in words])
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordTable(key, label, width, CACHED_WORDS)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             found, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            real = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-            for lo in range(0, len(real), 200):
-                some = real[lo : lo + 200]
-                for i, rows in zip(some, known.look_up([words_of(texts[i]) for i in some]), strict=True):
-                    sums = rows.sum(0, dtype=np.float64)
-                    p = sums[:-1] / sums[-1]
-                    best = int(p.argmax())
+            place: dict[str, list[int]] = {}  # rows of each distinct text
+            for i, t in enumerate(texts):
+                if has_letter(t):
+                    place.setdefault(t, []).append(i)
+            for t, p in zip(place, model.label([bytes_of(t) for t in place]), strict=True):
+                best = int(p.argmax())
+                for i in place[t]:
                     found[i], score[i] = model.labels[best], min(1.0, round(float(p[best]), 6))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

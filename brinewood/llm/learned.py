@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brinewood.llm.common import process_cache
 
@@ -21,13 +22,15 @@ def drawn_labels(rows: DataFrame, key: str, label: str, per_label: int, seed: in
     return rows.join(F.broadcast(share), F.col(label) == F.col("_label")).where(draw < F.col("_share")).drop("_label", "_share"), counts
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> pd.DataFrame:
-    """About per_label rows (text, label) of each label, drawn by a hash of the text; all rows of rarer labels.
+def labelled_sample(rows: DataFrame, label: str, per_label: int) -> pd.DataFrame:
+    """The per_label rows (text, label) of each label that come first by `draw`, a hash of the row; all rows of rarer labels.
 
-    Labels are counted over all rows; the draw keeps a share of each label, so one pass over the texts gathers
-    per_label rows a label, give or take the luck of the draw.
+    Rows are drawn, not texts, so a text with many copies stands for as many rows as it holds, and no label sends the
+    driver more than per_label rows. A share of each label that should hold twice as many is drawn first.
     """
-    drawn, _ = drawn_labels(rows, "text", label, per_label, seed)
+    drawn, _ = drawn_labels(rows, "draw", label, 2 * per_label + 20, 0)
+    first = Window.partitionBy(label).orderBy("draw", "text")
+    drawn = drawn.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= per_label)
     out = pd.DataFrame([r.asDict() for r in drawn.select("text", label).collect()], columns=["text", label])
     # the order of collected rows depends on the partitions: sort, so that reruns learn the same
     return out.sort_values([label, "text"], kind="stable", ignore_index=True)

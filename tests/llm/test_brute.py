@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from brinewood.llm import ann, chat, langid, media, mixing, ngram_join, packing, quality, secrets, sharding
+from brinewood.llm import ann, chat, media, mixing, ngram_join, packing, quality, secrets, sharding
 
 
 def components_of(texts, threshold=75, words=5):
@@ -150,50 +150,10 @@ def test_encoder_agrees_with_the_tokenizer():
     assert own.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
-def test_network_gradients():
-    model = langid.BiGru(["a", "b", "c"], hidden=3, seed=2)
-    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    x, n = langid.padded([b"abca", b"b", b"cab"])
-    y = np.array([0, 1, 2])
-    _, grads = model.gradients(x, n, y)
-    rng = np.random.default_rng(0)
-    for name in model.w:
-        for _ in range(4):
-            at = tuple(rng.integers(0, s) for s in model.w[name].shape)
-            if name.startswith("in_"):
-                at = (int(x[0, 0]), at[1])
-            old = model.w[name][at]
-            losses = []
-            for d in (1e-2, -1e-2):
-                model.w[name][at] = old + d
-                losses.append(model.gradients(x, n, y)[0])
-            model.w[name][at] = old
-            assert grads[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-2, abs=2e-3)
-
-
-def test_windows_do_not_change_labels_of_short_words():
-    model = langid.BiGru(["a", "b"], seed=1)
-    words = [b" one", b" three", b" x"]
-    x, n = langid.padded(words)
-    p, _ = model.forward(x, n)
-    for i, row in enumerate(model.label_words(words)):
-        assert row[:-1] == pytest.approx(p[: n[i], i].sum(0), rel=1e-4) and row[-1] == n[i]
-
-
 def made_up(rng, endings, n):
     return " ".join(rng.choice("bdfgklmn") + rng.choice("aeiou") + rng.choice(endings) for _ in range(n))
 
 
-def test_languages_held_out(spark):
-    rng = random.Random(11)
-    kinds = {"xx": ["tion", "ing", "th"], "yy": ["eaux", "oux", "ée"], "zz": ["ung", "heit", "sch"]}
-    rows = [(made_up(rng, e, rng.randint(5, 60)), k) for k, e in kinds.items() for _ in range(80)]
-    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
-    test = [(made_up(rng, e, 12), k) for k, e in kinds.items() for _ in range(40)] + [("123", "und"), (None, "und")]
-    out = langid.predict(spark.createDataFrame(test, "text string, lang string"), model).collect()
-    assert sum(r.lang == r.lang_pred for r in out) >= 0.98 * len(out)
-
-
 def test_quality_held_out(spark):
     rng = random.Random(12)
 
