@@ -116,7 +116,7 @@ def pieces_of(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.Reco
     return run
 
 
-def pack_block(sizes: list[int], capacity: int = LENGTH, sweeps: int | None = None) -> list[list[int]]:
+def pack_block(sizes: list[int], capacity: int = LENGTH) -> list[list[int]]:
     """Bins of indices into sizes: best fit, longest first, then local search."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -139,7 +139,7 @@ def pack_block(sizes: list[int], capacity: int = LENGTH, sweeps: int | None = No
             free_mask |= 1 << free - size
     least = least_bins(sizes, capacity)
     if len(bins) > least:
-        bins = improve(bins, sizes, capacity, least, sweeps)
+        bins = improve(bins, sizes, capacity, least)
     return bins
 
 
@@ -157,32 +157,41 @@ def least_bins(sizes: list[int], capacity: int) -> int:
     return int((count[capacity] - count[half] + np.maximum(0, -(-(small - room) // capacity))).max())
 
 
-def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int, sweeps: int | None = None) -> list[list[int]]:
-    """Trade between underfull bins so that fuller ones fill up and the emptiest empty out, until no trade is left, or
-    `least` bins are, or after so many sweeps if given.
+def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int = 0) -> list[list[int]]:
+    """Trade between bins so that fuller ones fill up and the emptiest empty out, until no trade is left or `least` bins are.
 
-    A trade is a move, one for one, or two for one, to a bin that is at least as full as the giver. It raises the sum of
-    squared fills, so the search can't cycle. Givers are found by what they offer: for each total of one piece or two,
-    a heap of the bins that have it, emptiest first. A bin's entries lapse when it changes.
+    A trade moves one piece, or exchanges one for one, two for one or one for two, between two underfull bins, and raises
+    the sum of squared fills. Givers are found by what they offer: for each total of one piece or two, a heap of the bins
+    that have it, emptiest first; a bin's entries lapse when it changes. When no such trade is left, full bins open: two of
+    a full bin's pieces change places with one piece of the same size of an underfull bin, which then has more to offer.
+    That keeps all fills and moves a piece more into the underfull bins. Either raises (sum of squares, pieces in underfull
+    bins), so the search ends.
     """
     bins = [list(b) for b in bins]
     fill = [sum(sizes[i] for i in b) for b in bins]
     version = [0] * len(bins)
     heaps: list[list[list[tuple[int, int, int]]]] = [[[] for _ in range(capacity + 1)] for _ in range(2)]
-    masks = [0, 0]  # bit t: some bin may offer a total of t, by one piece or by two
+    masks = [0, 0]  # bit t: some underfull bin may offer a total of t, by one piece or by two
+    closed: dict[int, list[tuple[int, int]]] = {}  # full bins by what two of their pieces make
 
-    def offer(b: int) -> None:
-        if not 0 < fill[b] < capacity:
-            return
+    def totals(b: int) -> tuple[list[int], set[int]]:
         own = Counter(sizes[i] for i in bins[b])
         kinds = sorted(own)
-        pairs = {x + y for at, x in enumerate(kinds) for y in kinds[at:] if x != y or own[x] > 1}
-        for which, totals in enumerate((kinds, pairs)):
-            for total in totals:
-                heapq.heappush(heaps[which][total], (fill[b], b, version[b]))
-                masks[which] |= 1 << total
+        return kinds, {x + y for at, x in enumerate(kinds) for y in kinds[at:] if x != y or own[x] > 1}
 
-    def giver(which: int, total: int, taker: int) -> int | None:
+    def offer(b: int) -> None:
+        version[b] += 1
+        if fill[b] == capacity:
+            if len(bins[b]) > 2:
+                for total in totals(b)[1]:
+                    closed.setdefault(total, []).append((b, version[b]))
+        elif fill[b]:
+            for which, own in enumerate(totals(b)):
+                for total in own:
+                    heapq.heappush(heaps[which][total], (fill[b], b, version[b]))
+                    masks[which] |= 1 << total
+
+    def giver(which: int, total: int, taker: int, below: int) -> int | None:
         heap, own, found = heaps[which][total], None, None
         while heap:
             f, b, v = heap[0]
@@ -191,7 +200,7 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int,
             elif b == taker:
                 own = heapq.heappop(heap)
             else:
-                found = b if f <= fill[taker] else None
+                found = b if f < below else None
                 break
         if own:
             heapq.heappush(heap, own)
@@ -199,27 +208,27 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int,
             masks[which] &= ~(1 << total)
         return found
 
-    def best_trade(taker: int) -> tuple[int, int, int, int] | None:
-        """(giver, one piece or two, total given, size taken) so that the taker gains most, up to its room."""
+    def best_trade(taker: int) -> tuple[int, int, int, int, int] | None:
+        """(giver, one piece or two, total given, pieces taken, size taken) so that the taker gains most, up to its room."""
         best, found, room = 0, None, capacity - fill[taker]
-        back = sorted({sizes[i] for i in bins[taker]})
-        for which, takes in ((0, [0, *back]), (1, back)):
+        one, two = totals(taker)
+        for which, number, takes in ((0, 0, [0]), (0, 1, one), (1, 1, one), (0, 2, sorted(two))):
             for size in takes:
                 window = masks[which] & ((1 << min(size + room, capacity) + 1) - (1 << size + best + 1))
                 while window > 0:
                     total = window.bit_length() - 1
-                    b = giver(which, total, taker)
+                    b = giver(which, total, taker, fill[taker] + total - size)
                     if b is not None:
-                        best, found = total - size, (b, which, total, size)
+                        best, found = total - size, (b, which, total, number, size)
                         break
                     window ^= 1 << total
                 if best == room:
                     return found
         return found
 
-    def pick(b: int, which: int, total: int) -> list[int]:
-        if not which:
-            return [next(i for i in bins[b] if sizes[i] == total)]
+    def pick(b: int, number: int, total: int) -> list[int]:
+        if number < 2:
+            return [next(i for i in bins[b] if sizes[i] == total)] if number else []
         seen: dict[int, int] = {}
         for i in bins[b]:
             if total - sizes[i] in seen:
@@ -227,27 +236,45 @@ def improve(bins: list[list[int]], sizes: list[int], capacity: int, least: int,
             seen[sizes[i]] = i
         raise AssertionError("an offer that its bin can't keep")
 
+    def exchange(b: int, gives: list[int], taker: int, takes: list[int]) -> None:
+        bins[b] = [i for i in bins[b] if i not in gives] + takes
+        bins[taker] = [i for i in bins[taker] if i not in takes] + gives
+        gain = sum(sizes[i] for i in gives) - sum(sizes[i] for i in takes)
+        fill[b] -= gain
+        fill[taker] += gain
+        offer(b)
+        offer(taker)
+
+    def unlock() -> bool:
+        """Pieces of full bins for one of an underfull bin, wherever two of them make its size."""
+        any_ = False
+        for taker in range(len(bins)):
+            if 0 < fill[taker] < capacity:
+                for i in list(bins[taker]):
+                    found = closed.get(sizes[i], [])
+                    while found and version[found[-1][0]] != found[-1][1]:
+                        found.pop()
+                    if found:
+                        b, _ = found.pop()
+                        exchange(b, pick(b, 2, sizes[i]), taker, [i])
+                        any_ = True
+        return any_
+
     for b in range(len(bins)):
         offer(b)
-    n_open, changed = len(bins), True
-    while changed and n_open > least and (sweeps is None or sweeps > 0):
-        changed, sweeps = False, None if sweeps is None else sweeps - 1
+    n_open = len(bins)
+    while n_open > least:
+        changed = False
         for taker in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b]):
             while 0 < fill[taker] < capacity and (trade := best_trade(taker)):
-                b, which, total, size = trade
-                gives, takes = pick(b, which, total), pick(taker, 0, size) if size else []
-                bins[b] = [i for i in bins[b] if i not in gives] + takes
-                bins[taker] = [i for i in bins[taker] if i not in takes] + gives
-                fill[b] -= total - size
-                fill[taker] += total - size
-                for x in (b, taker):
-                    version[x] += 1
-                    offer(x)
+                b, which, total, number, size = trade
+                exchange(b, pick(b, which + 1, total), taker, pick(taker, number, size))
                 changed = True
-                if not bins[b]:
-                    n_open -= 1
-                    if n_open <= least:
-                        return [x for x in bins if x]
+                n_open -= not bins[b]
+                if n_open <= least:
+                    return [x for x in bins if x]
+        if not changed and not unlock():
+            break
     return [x for x in bins if x]
 
 

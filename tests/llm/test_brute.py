@@ -134,7 +134,7 @@ def test_packing_is_close_to_the_bound_and_loses_nothing():
 
 def test_swaps_empty_bins():
     sizes = [6, 5, 5, 4, 7, 3]
-    bins = packing.improve([[0], [1, 3], [2], [4], [5]], sizes, 10, 3, 8)
+    bins = packing.improve([[0], [1, 3], [2], [4], [5]], sizes, 10, 3)
     assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(6))
 
 
