@@ -2,18 +2,20 @@
 
 1. Shingles that many documents share are counted over the whole corpus; the most frequent make an order, rarest first.
 2. Two sets that reach the threshold share a token in their prefixes: the first tokens in that order, as many as the
-   threshold allows to miss, plus one. Documents with the same prefix and size form one group and go on as one.
-3. Groups that share prefix tokens are expanded to their members. Tokens that the same members share are counted once,
-   with a weight, and pairs are filtered by size and by how many prefix tokens they share. Members of long lists are
-   first compared with a few pivots; only pairs that this leaves in different components are compared after that.
-4. Pairs are verified on whole sets, and links become components.
+   threshold allows to miss, plus one. Documents with the same prefix and size form one group.
+3. Groups that share prefix tokens meet as groups: tokens that the same groups share are counted once, with a weight, and
+   pairs of groups are filtered by size and by how many prefix tokens they share. Groups of long lists meet a few pivots
+   first; only pairs that this leaves in different components are filtered after that, in cells of bounded size.
+4. Pairs of groups that are left, and groups of several members with themselves, are expanded to their members. These are
+   verified on whole sets, and links become components.
 
-Equal sets are one member throughout, so copies cost nothing. No token's list is ever paired in full while its
-members are known to be connected, and no list is gathered in one task.
+Equal sets are one member throughout, so copies cost nothing. No list is gathered in one task. The work on a list whose
+groups are truly unrelated, though they share enough prefix tokens to pass the filter, grows with the square of its length.
 
 Cases: null texts and texts without words have no set and are linked with nothing; fewer words than a shingle make
-one shingle; rows without doc_id take part, but a component is named by its smallest doc_id that is not null;
-repeated rows are members of one component; an empty table gives an empty result.
+one shingle; very long texts are read whole; rows without doc_id take part, but a component is named by its smallest
+doc_id that is not null; repeated rows are members of one component; only the named columns of docs are read, so others
+may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.llm.common import discard, materialize, small_batches, table
-from brinewood.llm.learned import WordTable
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -37,44 +38,89 @@ ORDERED = 1 << 17
 HOT = 1000
 #: Tokens counted at once by a task.
 COUNTED = 1 << 21
-#: Members of a posting group that are paired outright; larger groups meet pivots first, so many in so many rounds.
+#: Groups of a list that are paired outright; longer lists meet pivots first, so many in so many rounds.
 PAIRED, PIVOTS, PIVOT_ROUNDS = 32, 12, 2
+#: Rows of a longer list that one cell of its pairs holds on either side.
+CELL = 256
+#: Rows up to which the small side of a join on a key that may be hot is broadcast; beyond, Spark splits hot keys.
+SENT = 1 << 16
 #: Bits of the filter that picks the texts to verify.
 FILTER_BITS = 1 << 24
-CACHED_WORDS = 500_000
+#: Bytes of text that are hashed at once, or one text if it is longer.
+HASHED = 1 << 20
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words), "<u8")[:, None]
+STEP = 0x5851F42D4C957F2D
+SEPARATES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def shingle_set(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of so many words; of a shorter text, the one hash of all its words."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(0, np.int64)
-    k = min(n, words)
+def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        run = np.full(n - k + 1, k, np.uint64)
-        for j in range(k):
-            run = run * np.uint64(0x5851F42D4C957F2D) + hashes[j : n - k + 1 + j]
-        run ^= run >> np.uint64(32)
-        run *= np.uint64(0xD6E8FEB86659FD93)
-        run ^= run >> np.uint64(29)
-    return np.unique(run.view(np.int64))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(29))
 
 
-def _sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    known = WordTable("shingles", _word_hashes, 1, CACHED_WORDS, np.uint64)
-    docs = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    return [shingle_set(rows[:, 0], words) for rows in known.look_up(docs)]
+BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, in order, and the number of words of each text.
+
+    A word's hash is a polynomial over its bytes, cut out of one running sum over all texts.
+    """
+    flat = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    gap = SEPARATES[flat]
+    start, stop = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:])
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(len(flat), STEP, np.uint64))
+        total = np.cumsum(BYTES[flat] * power)
+        back = np.cumprod(np.full(len(flat), pow(STEP, -1, 1 << 64), np.uint64))
+        hashes = _mixed((total[stop] - total[start - 1]) * back[start] + (stop - start).astype(np.uint64))
+    begin = np.cumsum([1, *(len(t) + 1 for t in texts)])
+    return hashes, np.diff(np.searchsorted(start, begin))
+
+
+def shingle_hashes(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
+    n = len(hashes) - words + 1
+    with np.errstate(over="ignore"):
+        run = np.full(max(n, 0), words, np.uint64)
+        for j in range(words):
+            run = run * np.uint64(STEP) + hashes[j : n + j]
+    return _mixed(run).view(np.int64)
+
+
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of all its runs of so many words; of a shorter text, the one hash of all its words."""
+    out: list[np.ndarray] = []
+    lot: list[bytes] = []
+
+    def flush() -> None:
+        hashes, counts = word_hashes(lot)
+        runs, at = shingle_hashes(hashes, words), 0
+        for n in counts.tolist():
+            own = runs[at : at + n - words + 1] if n >= words else shingle_hashes(hashes[at : at + n], n) if n else runs[:0]
+            own = np.sort(own)
+            out.append(own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own)
+            at += n
+        lot.clear()
+
+    held = 0
+    for t in texts:
+        lot.append((t or "").encode("utf-8", "surrogatepass").lower())
+        held += len(lot[-1])
+        if held > HASHED:
+            flush()
+            held = 0
+    flush()
+    return out
 
 
 def _batches(batches: Iterator[pa.RecordBatch], text_at: int, words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             some = batch.slice(lo, 200)
-            yield some, _sets(some.column(text_at).to_pylist(), words)
+            yield some, shingle_sets(some.column(text_at).to_pylist(), words)
 
 
 def frequent_tokens(docs: DataFrame, text_col: str, words: int, ordered: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +131,9 @@ def frequent_tokens(docs: DataFrame, text_col: str, words: int, ordered: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(lot: list[np.ndarray]) -> pa.RecordBatch:
-            tokens, n = np.unique(np.concatenate(lot), return_counts=True) if lot else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            every = np.sort(np.concatenate([np.zeros(0, np.int64), *lot]))
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+            tokens, n = every[first], np.diff(np.r_[first, len(every)])
             return pa.RecordBatch.from_arrays([pa.array(tokens[n > 1]), pa.array(n[n > 1], pa.int64())], ["token", "n"])
 
         lot: list[np.ndarray] = []
@@ -202,7 +250,7 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
-def _bound(n1: str, n2: str, threshold: int):
+def _bound(n1, n2, threshold: int) -> Column:
     """Least number of shared prefix tokens of two sets of these sizes that reach the threshold.
 
     The prefix that ends first holds all shared tokens up to its end; beyond it one set has fewer than `threshold`
@@ -213,10 +261,20 @@ def _bound(n1: str, n2: str, threshold: int):
     return F.greatest(overlap - beyond, F.lit(1).cast("long"))
 
 
-def _like_size(n1: str, n2: str, threshold: int):
+def _like_size(n1: str, n2: str, threshold: int) -> Column:
     return (F.col(n1) * 100 >= F.col(n2) * threshold) & (F.col(n2) * 100 >= F.col(n1) * threshold)
 
 
+def attach(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """rows joined with a written table by a key that may hold any share of the rows: up to SENT rows it is broadcast, so
+    that rows stay where they are; beyond, it is an ordinary join, whose hot keys Spark splits."""
+    return rows.join(F.broadcast(small) if small.count() <= SENT else small, on, how)
+
+
+def place_of(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1))), F.lit(FILTER_BITS))
+
+
 def whole_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(member, tokens) of the wanted (member, place), made anew from the texts.
 
@@ -254,77 +312,104 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(same * 100 >= (F.size("ta") + F.size("tb") - same) * threshold).select("a", "b")
 
 
-def place_of(doc_id):
-    return F.pmod(F.xxhash64(F.coalesce(doc_id.cast("long"), F.lit(-1))), F.lit(FILTER_BITS))
-
-
-def posting_groups(shared: DataFrame) -> DataFrame:
-    """shared(token, member, n) -> (grp, member, n, w, k, large, small): tokens that the same members share go on as one
-    group of weight w, with k members. large and small: a member's weight in groups above PAIRED members, and below.
+def group_lists(shared: DataFrame) -> DataFrame:
+    """shared(token, grp, n) -> (lid, grp, n, w, k, large, small): tokens that the same groups share are one list of weight
+    w with k groups. large and small: a group's weight in lists above PAIRED groups, and below.
     """
-    lists = shared.groupBy("token").agg(F.expr("bit_xor(xxhash64(member))").alias("x"), F.count(F.lit(1)).alias("k"))
-    lists = lists.select("token", F.xxhash64("x", "k").alias("grp"), "k")
-    rows = shared.join(lists, "token").groupBy("grp", "member").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("k").alias("k"))
-    rows = materialize(rows, "groups")
+    lists = shared.groupBy("token").agg(F.expr("bit_xor(xxhash64(grp))").alias("x"), F.count(F.lit(1)).alias("k"))
+    lists = lists.select("token", F.xxhash64("x", "k").alias("lid"), "k")
+    rows = shared.join(lists, "token").groupBy("lid", "grp").agg(F.count(F.lit(1)).alias("w"), F.first("n").alias("n"), F.first("k").alias("k"))
+    rows = materialize(rows, "lists")
     load = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0))
-    loads = rows.groupBy(F.col("member").alias("m")).agg(load(F.col("k") > PAIRED).alias("large"), load(F.col("k") <= PAIRED).alias("small"))
-    out = materialize(rows.join(loads, F.col("member") == F.col("m")).drop("m"), "groups")
+    loads = rows.groupBy(F.col("grp").alias("g")).agg(load(F.col("k") > PAIRED).alias("large"), load(F.col("k") <= PAIRED).alias("small"))
+    out = materialize(rows.join(loads, F.col("grp") == F.col("g")).drop("g"), "lists")
     discard(rows)
     return out
 
 
 def pairs_of_small(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of members of a group of up to PAIRED that may reach the threshold by the weight they share in such
-    groups, plus at most what both have in larger ones."""
-    names = ["member", "n", "w", "large", "small"]
-    a = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in names])
+    """Pairs (a, b) of groups of a list of up to PAIRED that may reach the threshold by the weight they share in such
+    lists, plus at most what both have in longer ones."""
+    names = ["grp", "n", "w", "large", "small"]
+    a = rows.select("lid", *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select("lid", *[F.col(c).alias(f"{c}_b") for c in names])
     most = F.least(F.col("large_a") + F.col("small_a"), F.col("large_b") + F.col("small_b"))
-    test = (F.col("member_a") < F.col("member_b")) & _like_size("n_a", "n_b", threshold) & (most >= _bound("n_a", "n_b", threshold))
-    both = a.join(b, "grp").where(test).groupBy(F.col("member_a").alias("a"), F.col("member_b").alias("b"))
+    test = (F.col("grp_a") < F.col("grp_b")) & _like_size("n_a", "n_b", threshold) & (most >= _bound("n_a", "n_b", threshold))
+    both = a.join(b, "lid").where(test).groupBy(F.col("grp_a").alias("a"), F.col("grp_b").alias("b"))
     both = both.agg(F.sum("w_a").alias("w"), F.first("n_a").alias("na"), F.first("n_b").alias("nb"), F.first(F.least("large_a", "large_b")).alias("other"))
     return both.where(F.col("w") + F.col("other") >= _bound("na", "nb", threshold)).select("a", "b")
 
 
+def cells(rows: DataFrame, key: str, node: str, names: list[str]) -> DataFrame:
+    """All pairs of rows of one key, each once, with columns `names` as x_a and x_b: rows are dealt into blocks, and a cell
+    holds the pairs of two blocks, so that no task holds a key. Pairs within a block come in the order of `node`."""
+    last = F.ceil(F.col("k") / CELL) - 1
+    own = F.pmod(F.xxhash64(F.lit("cell"), node), last + 1)
+    rows = rows.withColumn("_block", own.cast("long"))
+    a = rows.select(key, F.col("_block").alias("i"), F.explode(F.sequence("_block", last.cast("long"))).alias("j"), *[F.col(c).alias(f"{c}_a") for c in names])
+    b = rows.select(key, F.explode(F.sequence(F.lit(0).cast("long"), "_block")).alias("i"), F.col("_block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in names])
+    return a.join(b, [key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"{node}_a") < F.col(f"{node}_b")))
+
+
 def pairs_of_large(rows: DataFrame, threshold: int) -> DataFrame:
-    """The same for members of larger groups that lie in different components.
+    """The same for groups of longer lists that are not of one component.
 
-    Members of such groups share many of them. Each row carries all of its member's groups, so a pair is made once, in
-    the first group that both have, and only if what both share there and elsewhere is enough.
+    Groups of such lists share many of them. Each row carries all of its group's lists, so a pair is made once, in the
+    first list that both have, and only if what both share there and elsewhere is enough.
     """
-    own = rows.groupBy(F.col("member").alias("m")).agg(F.array_sort(F.collect_list(F.struct("grp", "w"))).alias("own"))
-    rows = rows.join(own, F.col("member") == F.col("m")).withColumn("ids", F.transform("own", lambda x: x["grp"]))
-    names = ["member", "n", "large", "small", "root", "own", "ids"]
-    a = rows.select("grp", *[F.col(c).alias(f"{c}_a") for c in names])
-    b = rows.select("grp", *[F.col(c).alias(f"{c}_b") for c in names])
+    own = rows.groupBy(F.col("grp").alias("g")).agg(F.array_sort(F.collect_list(F.struct("lid", "w"))).alias("own"))
+    rows = rows.join(own, F.col("grp") == F.col("g")).withColumn("ids", F.transform("own", lambda x: x["lid"]))
+    both = cells(rows, "lid", "grp", ["grp", "n", "large", "small", "root", "own", "ids"])
     most = F.least(F.col("large_a") + F.col("small_a"), F.col("large_b") + F.col("small_b"))
-    shared = F.aggregate(F.filter("own_a", lambda x: F.array_contains("ids_b", x["grp"])), F.least("small_a", "small_b"), lambda acc, x: acc + x["w"])
-    test = (F.col("member_a") < F.col("member_b")) & (F.col("root_a") != F.col("root_b")) & _like_size("n_a", "n_b", threshold)
-    test = test & (most >= _bound("n_a", "n_b", threshold)) & (F.array_min(F.array_intersect("ids_a", "ids_b")) == F.col("grp")) & (shared >= _bound("n_a", "n_b", threshold))
-    return a.join(b, "grp").where(test).select(F.col("member_a").alias("a"), F.col("member_b").alias("b"))
+    shared = F.aggregate(F.filter("own_a", lambda x: F.array_contains("ids_b", x["lid"])), F.least("small_a", "small_b"), lambda acc, x: acc + x["w"])
+    test = ~F.col("root_a").eqNullSafe(F.col("root_b")) & _like_size("n_a", "n_b", threshold)
+    test = test & (most >= _bound("n_a", "n_b", threshold)) & (F.array_min(F.array_intersect("ids_a", "ids_b")) == F.col("lid")) & (shared >= _bound("n_a", "n_b", threshold))
+    return both.where(test).select(F.least("grp_a", "grp_b").alias("a"), F.greatest("grp_a", "grp_b").alias("b"))
 
 
 def pivot_pairs(rows: DataFrame, seeds: range, threshold: int) -> DataFrame:
-    """Pairs of each member with a few pivots of its group, chosen by hash within bands of size, if they are of different
+    """Pairs of each group with a few pivots of its list, chosen by hash within bands of size, if they are of different
     components and share at least half of what a link needs. They only find links early; missing one costs no result."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / threshold))).cast("int")
     rows = rows.withColumn("band", band)
-    least = [F.min(F.struct(F.xxhash64(F.lit(s), "member").alias("h"), "member", "n", "root")).alias(f"p{s}") for s in seeds]
-    pivots = rows.groupBy("grp", "band").agg(*least)
-    pivots = pivots.select(F.col("grp").alias("pg"), "band", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in seeds]))).alias("p"))
-    pivots = pivots.select("pg", F.explode(F.array("band", F.col("band") + 1)).alias("pb"), F.col("p.member").alias("pm"), F.col("p.n").alias("pn"), F.col("p.root").alias("pr"))
-    met = rows.join(pivots, (F.col("grp") == F.col("pg")) & (F.col("band") == F.col("pb")))
-    met = met.where((F.col("root") != F.col("pr")) & _like_size("n", "pn", threshold))
-    met = met.groupBy(F.least("member", "pm").alias("a"), F.greatest("member", "pm").alias("b")).agg(F.sum("w").alias("w"), F.first("n").alias("na"), F.first("pn").alias("nb"))
+    least = [F.min(F.struct(F.xxhash64(F.lit(s), "grp").alias("h"), "grp", "n", "root")).alias(f"p{s}") for s in seeds]
+    pivots = rows.groupBy("lid", "band").agg(*least)
+    pivots = pivots.select("lid", "band", F.explode(F.array_distinct(F.array(*[f"p{s}" for s in seeds]))).alias("p"))
+    pivots = pivots.select("lid", F.explode(F.array("band", F.col("band") + 1)).alias("band"), F.col("p.grp").alias("pg"), F.col("p.n").alias("pn"), F.col("p.root").alias("pr"))
+    met = attach(rows, materialize(pivots, "pivots"), ["lid", "band"])
+    met = met.where((F.col("grp") != F.col("pg")) & ~F.col("root").eqNullSafe(F.col("pr")) & _like_size("n", "pn", threshold))
+    met = met.groupBy(F.least("grp", "pg").alias("a"), F.greatest("grp", "pg").alias("b")).agg(F.sum("w").alias("w"), F.first("n").alias("na"), F.first("pn").alias("nb"))
     return met.where(F.col("w") * 2 >= _bound("na", "nb", threshold)).select("a", "b")
 
 
-def still_open(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of groups whose members lie in several components, with root."""
-    placed = rows.drop("root").join(known.select(F.col("member").alias("m"), "root"), F.col("member") == F.col("m"), "left")
-    placed = placed.drop("m").withColumn("root", F.coalesce("root", "member"))
-    open_ = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("grp")
-    return materialize(placed.join(open_, "grp", "left_semi"), "open")
+def rooted(members: DataFrame, known: DataFrame) -> DataFrame:
+    """members with root, the component so far."""
+    placed = members.join(known.select(F.col("member").alias("m"), "root"), F.col("member") == F.col("m"), "left").drop("m")
+    return placed.withColumn("root", F.coalesce("root", "member"))
+
+
+def still_open(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of lists whose groups lie in several components, with root; a group that does so itself has none."""
+    roots = placed.groupBy(F.col("grp").alias("g")).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    rows = rows.drop("root").join(roots.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("root")), F.col("grp") == F.col("g")).drop("g")
+    rows = materialize(rows, "rooted")
+    ends = rows.groupBy("lid").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.col("root").isNull()).alias("several"))
+    ends = materialize(ends.where(F.col("several") | (F.col("lo") != F.col("hi"))).select("lid"), "ends")
+    return materialize(attach(rows, ends, "lid", "left_semi"), "open")
+
+
+def expand(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of pairs of groups that are of different components."""
+    a = placed.select(F.col("grp").alias("a"), F.col("member").alias("ma"), F.col("root").alias("ra"))
+    b = placed.select(F.col("grp").alias("b"), F.col("member").alias("mb"), F.col("root").alias("rb"))
+    both = pairs.join(a, "a").join(b, "b").where("ra != rb")
+    return both.select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+
+
+def pairs_within(several: DataFrame) -> DataFrame:
+    """Pairs of members of one group that are of different components."""
+    both = cells(several, "grp", "member", ["member", "root"]).where("root_a != root_b")
+    return both.select(F.col("member_a").alias("a"), F.col("member_b").alias("b"))
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, ordered: int = ORDERED, key_col: str | None = None) -> DataFrame:
@@ -338,51 +423,78 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     tokens, counts = (spark.sparkContext.broadcast(x) for x in frequent_tokens(docs, text_col, words, ordered))
     full = materialize(prefixes(docs, id_col, text_col, words, threshold, tokens, counts, key_col), "prefixes")
     rows = materialize(full.select("doc_id", *(["key"] if key_col else []), "n", "member", "grp"), "rows")
-    real = rows.where("n > 0")
-    members = real.groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("grp").alias("grp"))
+    members = rows.where("n > 0").groupBy("member").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("grp").alias("grp"))
     members = materialize(members.withColumn("place", place_of(F.col("doc_id"))), "members")
+    nodes = materialize(members.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.min("member").alias("member"), F.min("n").alias("n")), "nodes")
 
-    # tokens that two groups or more share, expanded to the groups' members
+    # tokens that two groups or more share
     listed = full.select("grp", F.explode("prefix").alias("token"))
     shared = listed.select("token", "grp").repartition("token").sortWithinPartitions("token", "grp").mapInArrow(_shared, "token long, grp long")
     hot = full.where(F.size("hot") > 0).select(F.explode("hot").alias("token"), "grp")
-    shared = shared.unionByName(hot).distinct().join(members.select("grp", "member", "n"), "grp").select("token", "member", "n")
-    # a group of several members shares its whole prefix, whoever else has it
-    several = members.groupBy("grp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("grp")
-    several = members.join(several, "grp", "left_semi")
-    prefix = F.sequence(F.lit(0).cast("long"), F.col("n") - F.ceil(F.col("n") * threshold / 100.0 - 1e-9))
-    several = several.select(F.explode(F.transform(prefix, lambda i: F.xxhash64(F.lit("group"), "grp", i))).alias("token"), "member", "n")
-    shared = materialize(shared.unionByName(several), "shared")
+    shared = shared.unionByName(hot).distinct().join(nodes.select("grp", "n"), "grp").select("token", "grp", "n")
+    shared = materialize(shared, "shared")
     discard(full)
-    groups = posting_groups(shared)
+    lists = group_lists(shared)
     discard(shared)
-
-    # members of small groups are paired, those of large groups meet pivots first
-    pairs = materialize(pairs_of_small(groups.where(F.col("k") <= PAIRED), threshold), "pairs")
-    large = materialize(groups.where(F.col("k") > PAIRED), "large")
-    wanted = pairs.select(F.col("a").alias("member")).union(pairs.select("b")).union(large.select("member")).distinct()
-    wanted = materialize(members.select("member", "place").join(wanted, "member", "left_semi"), "wanted")
+    pairs = materialize(pairs_of_small(lists.where(F.col("k") <= PAIRED), threshold), "pairs")
+    large = materialize(lists.where(F.col("k") > PAIRED), "large")
+    discard(lists)
+    multiple = materialize(nodes.where("k > 1").select("grp", "k"), "multiple")
+    several = materialize(attach(members.select("grp", "member"), multiple, "grp"), "several")
+
+    met = pairs.select(F.col("a").alias("grp")).union(pairs.select("b")).union(large.select("grp")).union(multiple.select("grp")).distinct()
+    met = materialize(met, "met")
+    wanted = materialize(attach(members.select("member", "place", "grp"), met, "grp", "left_semi").select("member", "place"), "wanted")
     sets = whole_sets(wanted, docs, id_col, text_col, words)
-    links = materialize(verify(pairs, sets, threshold), "linked")
-    known = components(links)
-    open_ = still_open(large, known)
+    found: list[DataFrame] = []
+    known = materialize(members.select("member", F.col("member").alias("root")).limit(0), "known")
+
+    def link(candidates: DataFrame) -> int:
+        """Verify pairs of members and join components; the number of new links."""
+        nonlocal known
+        more = materialize(verify(candidates, sets, threshold), "linked")
+        if n := more.count():
+            found.append(more)
+            links = found[0]
+            for x in found[1:]:
+                links = links.union(x)
+            known = components(links)
+        return n
+
+    one, every = nodes.select("grp", "member"), members.select("grp", "member")
+    any_several = not multiple.isEmpty()
+
+    def meet(pairs: DataFrame) -> int:
+        """Pairs of groups: their first members, and then all members of the groups that have several."""
+        n = link(expand(pairs, rooted(one, known)))
+        if any_several:
+            of = lambda c: multiple.select(F.col("grp").alias(c), F.lit(True).alias(f"{c}_several"))
+            some = attach(attach(pairs, of("a"), "a", "left"), of("b"), "b", "left").where("a_several OR b_several").select("a", "b")
+            n += link(expand(some, rooted(every, known)))
+        return n
+
+    # members of one group: each meets the group's first, and then those of other components meet
+    if any_several:
+        first = materialize(nodes.where("k > 1").select("grp", F.col("member").alias("b")), "firsts")
+        link(attach(several.select("grp", F.col("member").alias("a")), first, "grp").where("a != b").select("a", "b"))
+        link(pairs_within(rooted(several, known)))
+    meet(pairs)
+
+    # groups of long lists meet pivots, and then what is left of other components
+    open_ = still_open(large, rooted(every, known))
     for k in range(PIVOT_ROUNDS):
         if open_.isEmpty():
             break
-        more = materialize(verify(pivot_pairs(open_, range(k * PIVOTS, (k + 1) * PIVOTS), threshold), sets, threshold), "linked")
-        found = more.count()
-        if found:
-            links = links.union(more)
-            known = components(links)
-            open_ = still_open(open_, known)
-        if found * 20 < open_.count():
+        n = link(expand(pivot_pairs(open_, range(k * PIVOTS, (k + 1) * PIVOTS), threshold), rooted(one, known)))
+        if n:
+            open_ = still_open(open_, rooted(every, known))
+        if n * 20 < open_.count():
             break
-    rest = materialize(pairs_of_large(open_, threshold), "pairs")
-    if not rest.isEmpty():
-        known = components(links.union(verify(rest, sets, threshold)))
-    discard(sets, groups, large, pairs)
+    if not open_.isEmpty():
+        meet(materialize(pairs_of_large(open_, threshold), "pairs"))
+    discard(sets, large, pairs, several)
 
-    named = members.select("member", "doc_id").join(known, "member", "left").withColumn("root", F.coalesce("root", "member"))
+    named = rooted(members.select("member", "doc_id"), known)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "root").select(F.col("member").alias("m"), "component_id", F.col("root").alias("component"))
     out = rows.join(named, F.col("member") == F.col("m"), "left")
