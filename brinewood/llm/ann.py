@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard.
 
 Vectors are dealt into shards of bounded size by a hash of their id. A shard's graph is built in numpy, level by
-level, and kept as flat neighbour arrays in one row. Queries go to every shard in blocks; the shards' results are
-merged by score. Scores are inner products in double precision of the vectors as given.
-
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than
-most. Of rows that repeat a query's id, one is the query. Fewer candidates than asked for are all returned; ties go to
-the smaller id; an empty table gives an empty result.
+level, and kept as flat neighbour arrays in one row. Queries go to every shard in blocks; each shard answers a query
+with one row, and the shards' rows are merged by score. Scores are inner products in double precision of the vectors as
+given. Every query has to meet every shard, so shards grow with the table, as a graph's search grows with the logarithm
+of its size: there are at most SHARDS of them until each holds LARGEST vectors.
+
+Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length
+than most candidates, whose inner product with the others is not defined. Of rows that repeat a query's id, one is the
+query. Fewer candidates than asked for are all returned; ties go to the smaller id; only the two named columns are read,
+so others may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from brinewood.llm.common import materialize, table
 
-SHARD = 8192  # vectors of a shard, about
+SHARD = 8192  # vectors of a shard, about, while there are at most SHARDS
+SHARDS, LARGEST = 8, 131_072  # shards up to which their number grows, and vectors from which it grows again
+SEEN = 1 << 26  # marks of visited nodes that a search holds at once: queries x vectors
 LINKS = 12  # links that a new vector makes; twice as many are kept on the lowest level
 BREADTH_BUILD, BREADTH_SEARCH = 64, 144
 BLOCK = 32_768  # queries that one search task holds
@@ -92,7 +96,7 @@ def connect(vectors: np.ndarray, nodes: np.ndarray, keep: int, enter) -> np.ndar
     links = np.full((len(vectors), width), -1, np.int64)
     done = 0
     while done < len(nodes):
-        new = nodes[done : done + max(1, min(1024, done))] if done else nodes[:256]
+        new = nodes[done : done + max(1, min(1024, done, SEEN // len(vectors) + 1))] if done else nodes[:256]
         score = vectors[new] @ vectors[new].T
         np.fill_diagonal(score, -np.inf)
         ids = np.broadcast_to(new, score.shape)
@@ -167,20 +171,28 @@ def find(vectors: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, k:
     """Indices of about k nearest of each query; -1 for none."""
     x, top = lifted(vectors), int(sum((lv >= 0).any(1).astype(int) for lv in levels).argmax())
     q = np.concatenate([queries, np.zeros((len(queries), 1))], 1).astype(np.float32)
-    out = []
-    for s in range(0, len(q), 512):
-        entry = descend(x, levels[:0:-1], q[s : s + 512], top)
-        out.append(beam(x, levels[0], q[s : s + 512], entry, max(BREADTH_SEARCH, k))[0][:, :k])
+    out, step = [], max(1, min(512, SEEN // len(x)))
+    for s in range(0, len(q), step):
+        entry = descend(x, levels[:0:-1], q[s : s + step], top)
+        out.append(beam(x, levels[0], q[s : s + step], entry, max(BREADTH_SEARCH, k))[0][:, :k])
     return np.concatenate(out)
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vector) of the rows that take part."""
+    """(id, vector) of the rows that take part, whatever their length."""
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull())
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.where(F.col("vector").isNotNull() & sound)
-    usual = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vector") == (usual["d"] if usual else 0))
+    return rows.where(F.col("vector").isNotNull() & sound)
+
+
+def usual_length(rows: DataFrame) -> int:
+    """The length of most vectors, the smaller of equals; 0 if there are none."""
+    found = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return found["d"] if found else 0
+
+
+def shard_count(n: int, shard_size: int = SHARD) -> int:
+    return max(1, min(SHARDS, -(-n // shard_size)), -(-n // LARGEST))
 
 
 def index(rows: DataFrame, shards: int) -> DataFrame:
@@ -199,10 +211,12 @@ def index(rows: DataFrame, shards: int) -> DataFrame:
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query among all vectors but its own."""
-    rows = materialize(usable(vectors, id_col, vec_col), "vectors")
-    shards = max(1, -(-rows.count() // shard_size))
+    every = materialize(usable(vectors, id_col, vec_col), "vectors")
+    length = usual_length(every)
+    rows = every.where(F.size("vector") == length)
+    shards = shard_count(rows.count(), shard_size)
     graphs = materialize(index(rows, shards), "graphs")
-    asked = usable(queries, id_col, vec_col).groupBy("id").agg(F.max("vector").alias("vector"))
+    asked = usable(queries, id_col, vec_col).where(F.size("vector") == length).groupBy("id").agg(F.max("vector").alias("vector"))
     asked = materialize(asked, "queries")
     blocks = max(1, -(-asked.count() // block))
     asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)))
@@ -211,22 +225,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec
 
     def answer(graph: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
         if not len(graph) or not len(part):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "near": pd.Series([], dtype="object")})
         g = graph.iloc[0]
         ids = np.frombuffer(g["ids"], np.int64)
         x = np.frombuffer(g["vectors"], np.float64).reshape(len(ids), -1)
         levels = list(np.frombuffer(g["links"], np.int32).reshape(g["levels"], len(ids), -1))
         q, q_ids = np.stack(part["vector"].to_numpy()), part["id"].to_numpy(np.int64)
         near = find(x, levels, q, min(k + 1, len(ids)))
-        row, col = np.nonzero(near >= 0)
-        at = near[row, col]
-        score = np.einsum("nd,nd->n", q[row], x[at])
-        other = ids[at] != q_ids[row]
-        return pd.DataFrame({"query_id": q_ids[row][other], "vec_id": ids[at][other], "score": score[other]})
-
-    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = []
+        for own, vector, at in zip(q_ids.tolist(), q, near, strict=True):
+            at = at[(at >= 0) & (ids[at] != own)]
+            out.append([{"loss": -score, "vec_id": i} for score, i in zip((x[at] * vector).sum(1).tolist(), ids[at].tolist(), strict=True)])
+        return pd.DataFrame({"query_id": q_ids, "near": out})
+
+    near = "array<struct<loss:double,vec_id:long>>"
+    found = graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(answer, f"query_id long, near {near}")
+    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return merged.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", (-F.col("x.loss")).alias("score"))
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
