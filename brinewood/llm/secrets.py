@@ -2,8 +2,10 @@
 
 Main path: DataFrame functions only; no row leaves the JVM.
 
-Cases: a null text counts as empty and has no spans; rows without owner share the owner null; repeated rows
-are scanned one by one but count once per owner and repository; an empty table gives an empty result.
+Cases: a null text counts as empty and has no spans; very long texts are scanned whole; rows without owner share the
+owner null; repeated rows are scanned one by one but count once per owner and repository; spans that start together come
+in the order of KINDS; columns of docs ride in the struct `row`, so their names can't clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ HEX = "[0-9a-f]{24,}"
 MIXED = "[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 SPAN = "array<struct<start:int,kind:int,end:int,key:bigint>>"
+JUDGED = "array<struct<start:int,kind:int,end:int,live:boolean,owners:bigint,repos:bigint>>"
 
 
 def _spans(text: Column, pattern: str, maybe: Column, kind: int, value, keep) -> Column:
@@ -93,32 +96,41 @@ def ownership(found: DataFrame) -> DataFrame:
     return per_owner.groupBy("key").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def scan(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = 3, keep_text: bool = False) -> DataFrame:
-    """Rows (row, spans): the input row and its spans (start, kind, end, live), by start, then kind.
+def scan(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", copied_owners: int = 3, copied_repos: int = 100, keep_text: bool = False) -> DataFrame:
+    """Rows (row, spans): the input row and its spans (start, kind, end, live, owners, repos), by start, then kind.
 
-    A candidate that at least `copied_owners` owners hold is a widely copied example, any other looks live.
-    Base spans stay either way; a mixed run becomes a span of kind `owned` only if it looks live and lies
-    outside the base spans.
+    A candidate that at least `copied_owners` owners hold, or two owners in at least `copied_repos` repositories, is a
+    widely copied example; any other looks live. Base spans stay either way; a mixed run becomes a span of kind `owned`
+    only if it looks live and lies outside the base spans.
+
+    Texts are scanned once, and written with their spans only if they have any; with keep_text, rows without candidates
+    are read anew instead of being written with their texts.
     """
     kept = [c for c in docs.columns if keep_text or c != text_col]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    maybe = text.rlike(ASSIGN) | text.contains("AKIA") | text.rlike(HEX) | text.rlike(MIXED)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")
     row = F.struct(*kept).alias("row")
-    # most rows hold no candidate: they go straight through, and only the others are written
-    without = docs.where(~maybe).select(row, none.alias("spans"))
-    some = docs.where(maybe).select(row, F.col(owner_col).alias("owner"), F.col(repo_col).cast("string").alias("repo"), find(text).alias("spans"))
-    some = materialize(some.withColumn("rid", F.monotonically_increasing_id()), "secrets")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    fields = [row, F.col(owner_col).alias("owner"), F.col(repo_col).cast("string").alias("repo"), find(text).alias("spans")]
+    if keep_text:
+        maybe = text.rlike(ASSIGN) | text.contains("AKIA") | text.rlike(HEX) | text.rlike(MIXED)
+        without = docs.where(~maybe).select(row, F.array().cast(JUDGED).alias("spans"))
+        some = materialize(docs.where(maybe).select(*fields).withColumn("rid", F.monotonically_increasing_id()), "secrets")
+    else:
+        found = materialize(docs.select(*fields).withColumn("rid", F.monotonically_increasing_id()), "secrets")
+        without = found.where(F.size("spans") == 0).select("row", F.array().cast(JUDGED).alias("spans"))
+        some = found.where(F.size("spans") > 0)
     keys = some.select("rid", F.explode(F.array_distinct(F.transform("spans", lambda s: s["key"]))).alias("key"))
-    copied = ownership(some).where(F.col("n_owners") >= copied_owners).select("key")
-    # a key in many rows is the large side of a join that only keeps rows; collected per row, never per key
-    bad = keys.join(copied, "key", "left_semi").groupBy("rid").agg(F.collect_set("key").alias("copied"))
-    judged = some.join(bad, "rid", "left").withColumn("copied", F.coalesce("copied", F.array().cast("array<bigint>")))
-    base = F.filter("spans", lambda s: s["kind"] < 3)
-    spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (~F.array_contains(F.col("copied"), s["key"])).alias("live")))
-    judged = judged.withColumn("base", base).withColumn("all", spans)
+    # a key in many rows is the large side of a join with one row a key; collected per row, never per key
+    told = keys.join(ownership(some), "key").groupBy("rid").agg(F.collect_list(F.struct("key", F.struct("n_owners", "n_repos").alias("n"))).alias("told"))
+    judged = some.join(told, "rid", "left").withColumn("told", F.map_from_entries(F.coalesce("told", F.array().cast("array<struct<key:bigint,n:struct<n_owners:bigint,n_repos:bigint>>>"))))
+
+    def judge(s: Column) -> Column:
+        owners, repos = F.col("told")[s["key"]]["n_owners"], F.col("told")[s["key"]]["n_repos"]
+        live = ~((owners >= copied_owners) | ((owners >= 2) & (repos >= copied_repos)))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), live.alias("live"), owners.alias("owners"), repos.alias("repos"))
+
+    judged = judged.withColumn("base", F.filter("spans", lambda s: s["kind"] < 3)).withColumn("all", F.transform("spans", judge))
     outside = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    judged = judged.select("row", F.filter("all", lambda s: (s["kind"] < 3) | (s["live"] & outside(s))).alias("spans"))
+    judged = judged.select("row", F.filter("all", lambda s: (s["kind"] < 3) | (s["live"] & outside(s))).cast(JUDGED).alias("spans"))
     return without.unionByName(judged)
 
 
@@ -173,6 +185,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans_text(F.col("spans")).alias("spans"),
         count(lambda s: s["live"]).alias("n_live"),
         count(lambda s: ~s["live"]).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["owners"])), F.lit(0).cast("long")).alias("most_owners"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["repos"])), F.lit(0).cast("long")).alias("most_repos"),
     )
 
 
@@ -198,17 +212,18 @@ def _oracle() -> str:
     return f"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 found AS ({" UNION ALL ".join(kinds)}),
-owners AS (SELECT v, count(DISTINCT coalesce('x' || source, '')) >= 3 AS copied FROM found GROUP BY v),
-judged AS (SELECT f.*, NOT copied AS live FROM found f JOIN owners USING (v)),
+owners AS (SELECT v, count(DISTINCT coalesce('x' || source, '')) AS owners, count(DISTINCT coalesce('x' || source, '') || chr(0) || coalesce('x' || doc_id, '')) AS repos FROM found GROUP BY v),
+judged AS (SELECT f.*, owners, repos, NOT (owners >= 3 OR owners >= 2 AND repos >= 100) AS live FROM found f JOIN owners USING (v)),
 kept AS (SELECT * FROM judged j WHERE kind < 3 OR live AND NOT EXISTS (
   SELECT 1 FROM judged b WHERE b.doc_id = j.doc_id AND b.kind < 3 AND b.s < j.e AND j.s < b.e)),
 per_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
     string_agg({names}, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg({names}, ',' ORDER BY s, kind) AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied, max(owners) AS most_owners, max(repos) AS most_repos
   FROM kept GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repos, 0) AS most_repos
 FROM docs LEFT JOIN per_doc USING (doc_id)"""
 
 
