@@ -5,8 +5,9 @@ subset-sum problem over the counts of each length, solved by bounded-knapsack dy
 documents of each length are drawn by seeded hash.
 
 Cases: null and empty texts have size 0 and nothing of them is taken; the null source is a source of its own,
-after all others; repeated rows are documents of their own; an empty table gives an empty result. The table of
-sources (one row each) is handled by the driver: weights are set per source.
+after all others; repeated rows are documents of their own and which of them is taken makes no difference; very long texts
+count like any other; the kept columns ride in the struct `row`, so their names can't clash; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from brinewood.llm.common import materialize, spread_rank, table, word_count
+from brinewood.llm.common import RANK_ROWS, materialize, spread_rank, table, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -27,26 +29,37 @@ SEED = 17
 WINDOW = 1 << 16
 
 
-def targets(sizes: dict, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> dict:
-    """Words that the mix should take of each source: shares of the total by weight, at most max_repeat times a source's size.
+def targets(sources: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """sources(source, words) with target, the words that the mix should take of each: shares of the total by weight, at
+    most max_repeat times a source's size. Weights go round by code point order, null last.
 
-    What a source can't give is shared among the others by weight until none is above its limit.
+    What a source can't give is shared among the others by weight until none is above its limit: each round is one
+    aggregate over the sources, so there may be any number of them.
     """
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, out, open_ = float(sum(sizes.values())), {}, list(order)
-    while open_:
-        share = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if share * weight[s] >= max_repeat * sizes[s]]
-        if not full:
-            return out | {s: share * weight[s] for s in open_}
-        for s in full:
-            out[s] = float(max_repeat * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in out]
-        if left <= 0:
-            return out | {s: 0.0 for s in open_}
-    return out
+    sources = materialize(code_point_order(sources), "sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    ready = sources.withColumns({"weight": weight.cast("long"), "most": F.col("words") * max_repeat})
+    total, share, full = ready.agg(F.sum("words")).first()[0] or 0, -1.0, -1
+    while True:
+        fits = F.col("most") > share * F.col("weight")
+        r = ready.agg(F.sum(F.when(fits, F.col("weight"))).alias("open"), F.sum(F.when(~fits, F.col("most"))).alias("given"), F.count_if(~fits).alias("full")).first()
+        if not r["open"] or r["full"] == full:
+            break
+        share, full = (total - (r["given"] or 0)) / r["open"], r["full"]
+    target = F.least(F.col("most").cast("double"), F.greatest(F.lit(float(share)), F.lit(0.0)) * F.col("weight"))
+    return ready.select("source", "words", target.alias("target"))
+
+
+def code_point_order(sources: DataFrame) -> DataFrame:
+    """sources with `at`, the place of each in code point order from 0, null last: ranges are ranked apart and lifted by the
+    counts before them."""
+    parts = max(1, -(-sources.count() // RANK_ROWS))
+    ranged = sources.repartitionByRange(parts, F.asc_nulls_last("source")).withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy("_part").orderBy(F.asc_nulls_last("source"))
+    return ranged.withColumn("_rank", F.row_number().over(inside) - 1).join(sizes, "_part").withColumn("at", F.col("_before") + F.col("_rank")).drop("_part", "_before", "_rank")
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED, window: int = WINDOW) -> np.ndarray:
@@ -111,14 +124,13 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
     """
     rows = materialize(docs.select(F.struct(*keep).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), *keep).alias("draw"), F.monotonically_increasing_id().alias("rid")), "mix")
     hist = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    per_source = {r["source"]: int(r["words"]) for r in hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()}
-    plan = []
-    for source, target in targets(per_source, weights, max_repeat).items():
-        size = per_source[source]
-        whole = min(max_repeat, int(target // size)) if size else 0
-        plan.append((source, size, target, whole, 0 if whole == max_repeat else round(target - whole * size)))
-    spark = docs.sparkSession
-    plan_df = spark.createDataFrame(plan, "p_source string, source_size long, target double, whole int, rest long")
+    hist = materialize(hist, "sizes")
+    per_source = hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("words"))
+    plan = targets(per_source, weights, max_repeat)
+    whole = F.when(F.col("words") > 0, F.least(F.lit(max_repeat), F.floor(F.col("target") / F.col("words")))).otherwise(0).cast("int")
+    plan = plan.select(F.col("source").alias("p_source"), F.col("words").alias("source_size"), "target", whole.alias("whole"))
+    rest = F.when(F.col("whole") == max_repeat, 0).otherwise(F.bround(F.col("target") - F.col("whole") * F.col("source_size"))).cast("long")
+    plan = materialize(plan.withColumn("rest", rest), "plan")
     on_source = F.col("source").eqNullSafe(F.col("p_source"))
 
     def knapsack(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -126,11 +138,11 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
         return pd.DataFrame({"q_source": pdf["source"], "q_size": pdf["size"], "picked": take})
 
     # rows of a group come in any order: sort them, since the seeded order is one of places
-    quota = hist.join(F.broadcast(plan_df), on_source).select("source", "size", "n", "rest")
+    quota = hist.join(plan, on_source).select("source", "size", "n", "rest")
     quota = quota.groupBy("source").applyInPandas(lambda pdf: knapsack(pdf.sort_values("size", ignore_index=True)), "q_source string, q_size long, picked long")
     # whole rows may hold texts: only their numbers are ranked
     ranked = spread_rank(rows.select("rid", "source", "size", "draw"), ["source", "size"], F.col("draw"), "rank", rows.count())
-    ranked = ranked.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size"))).join(F.broadcast(plan_df), on_source)
+    ranked = ranked.join(quota, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("size") == F.col("q_size"))).join(plan, on_source)
     copies = F.col("whole") + (F.col("rank") < F.col("picked")).cast("int")
     decided = ranked.select("rid", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).alias("copies"))
     return rows.select("rid", "row", "size").join(decided, "rid").drop("rid")
