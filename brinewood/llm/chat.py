@@ -1,25 +1,28 @@
 """Chat transcripts: roles by a hidden Markov model over speaker-marker and line features, then canonical turns.
 
-Hidden states are the roles. Each line emits a speaker marker, its length, its place in the turn and whether it asks;
-where a turn may begin (a marker, or a boundary that is given) the role moves by the learned transitions, elsewhere it
-tends to stay. Counts are learned from labelled turns over the whole table, and Viterbi finds the likeliest roles.
-Long conversations are cut into blocks: each block is summed up as a matrix of best scores from role to role, the
-matrices are chained, and each block is then decoded between the roles found at its ends.
-
-Cases: a null or empty text is one empty line; turns without conv_id make one conversation; turns without number come
-first; repeated turns are turns of their own; without labelled turns all roles are equally likely and the first in
-code order stays; an empty table gives an empty result.
+A transcript is read line by line. Hidden states are the roles. Each line emits a speaker marker, its length, whether it
+asks and whether it is the first of a turn; where a turn begins (a marker, or a boundary that is given) the role moves by
+the learned transitions, after an empty line it may, elsewhere it tends to stay. Counts are learned from labelled turns
+over the whole table, and Viterbi finds the likeliest role of every line. One coding of lines, in columns, serves learning,
+tables of turns and raw texts. Lines are dealt by range, so that a conversation may hold any share of them: each block of
+a long one is summed up as a matrix of best scores from role to role, the matrices are chained, and each block is then
+decoded between the roles found at its ends.
+
+Cases: a null or empty text is one empty line; very long texts are so many lines, decoded in blocks; turns without conv_id
+make one conversation; turns without number come first; turns of one number, and repeated turns, are turns of their own in
+the order of rows; without labelled turns all roles are equally likely and the first in code order stays; only the named
+columns are read, so others may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brinewood.llm.common import crc_share, materialize, small_batches, table
 
@@ -31,48 +34,62 @@ MARKERS = {
     "tool": ("tool", "function", "observation"),
     "user": ("user", "human", "customer", "question", "q"),
 }
-BLOCK = 4096  # turns of a conversation that one task decodes at a time
+BLOCK = 4096  # lines of a conversation that one task decodes at a time
 STAY = 0.98  # chance that a role stays at a line where no turn begins
 MARKER_TRUST = 50.0  # pseudo-count of each marker with its own role
+#: How a line may change the role: INSIDE a turn, MAY begin one (after an empty line), BEGINS one (a marker or a boundary).
+INSIDE, MAY, BEGINS = range(3)
 
 
 def _marker(words: tuple[str, ...]) -> str:
     return rf"(?i)^\s*[#*\[<|(]*\s*(?:{'|'.join(words)})\s*[\]>|)*]*\s*[:>\]|]"
 
 
-def line_code(line: Column, first: Column, opens: Column) -> Column:
-    """A line's features as one number: marker, length class, question, first of the turn, first of all."""
+def line_code(line: Column, first: Column) -> Column:
+    """A line's features as one number: marker, length class, question, first of the turn."""
     marker = F.lit(0)
     for k, role in enumerate(ROLES):
         marker = F.when(line.rlike(_marker(MARKERS[role])), k + 1).otherwise(marker)
     size = F.least(F.floor(F.log2(F.length(line) + 1.0)), F.lit(11)).cast("int")
     asks = line.rlike(r"\?\s*$").cast("int")
-    return (((marker * 12 + size) * 2 + asks) * 2 + first.cast("int")) * 2 + opens.cast("int")
+    return ((marker * 12 + size) * 2 + asks) * 2 + first.cast("int")
 
 
-CODES = 5 * 12 * 2 * 2 * 2
+CODES = 5 * 12 * 2 * 2
 
 
-def turn_codes(text: Column, opens: Column) -> Column:
-    """Codes of the lines of a turn."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.transform(lines, lambda line, i: line_code(line, i == 0, opens & (i == 0)))
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def turn_lines(text: Column) -> Column:
+    """Array of (line, kind, code) of a turn whose boundary is given."""
+    return F.transform(lines_of(text), lambda line, i: F.struct(line.alias("line"), F.when(i == 0, BEGINS).otherwise(INSIDE).alias("kind"), line_code(line, i == 0).alias("code")))
+
+
+def transcript_lines(text: Column) -> Column:
+    """The same of a raw transcript: markers and the first line begin a turn, a line after an empty one may."""
+    lines = lines_of(text)
+    marked = lambda line: line.rlike("|".join(f"(?:{_marker(w)})" for w in MARKERS.values()))
+    kind = lambda line, i: F.when((i == 0) | marked(line), BEGINS).when(F.trim(F.get(lines, i - 1)) == "", MAY).otherwise(INSIDE)
+    kinds = F.transform(lines, lambda line, i: F.struct(line.alias("line"), kind(line, i).alias("kind")))
+    return F.transform(kinds, lambda x: F.struct(x["line"].alias("line"), x["kind"].alias("kind"), line_code(x["line"], x["kind"] != INSIDE).alias("code")))
 
 
 class Hmm:
     """Log probabilities: start (roles), move (roles x roles, where a turn begins), emit (roles x codes)."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        self.start, self.move, self.emit = start, move, emit
+        self.start, self.emit = start, emit
         n = len(start)
-        rest = (1 - STAY) / (n - 1)
-        self.keep = np.log(np.where(np.eye(n, dtype=bool), STAY, rest))
+        keep = np.where(np.eye(n, dtype=bool), STAY, (1 - STAY) / (n - 1))
+        self.moves = np.stack([np.log(keep), np.log((keep + np.exp(move)) / 2), move])  # by kind of line
 
     @classmethod
     def from_counts(cls, start, move, emit) -> Hmm:
         """From raw counts. Features of a line count as independent of each other given the role."""
         codes = np.arange(CODES)
-        parts = [codes // 96, codes // 8 % 12, codes // 4 % 2, codes // 2 % 2]
+        parts = [codes // 48, codes // 4 % 12, codes // 2 % 2, codes % 2]
         log = np.zeros((len(ROLES), CODES))
         for n, part in enumerate(parts):
             size = part.max() + 1
@@ -82,12 +99,6 @@ class Hmm:
             log += np.log(seen / seen.sum(1, keepdims=True))[:, part]
         return cls(np.log((start + 1.0) / (start + 1.0).sum()), np.log((move + 1.0) / (move + 1.0).sum(1, keepdims=True)), log)
 
-    def turns(self, codes: list[list[int]]) -> np.ndarray:
-        """(turns x roles): each turn's log probability under each role."""
-        flat = np.fromiter((c for t in codes for c in t), np.int64)
-        start = np.cumsum([0, *map(len, codes)])[:-1]
-        return np.add.reduceat(self.emit[:, flat], start, axis=1).T
-
     def viterbi(self, emit: np.ndarray, moves: np.ndarray, before: int | None, after: int | None) -> np.ndarray:
         """Likeliest roles of a run of emissions; `before` is the role ahead of it, `after` the role that it has to end in."""
         n = len(emit)
@@ -103,23 +114,30 @@ class Hmm:
             out[t - 1] = back[t, out[t]]
         return out
 
-    def matrix(self, emit: np.ndarray) -> np.ndarray:
-        """Best score of a block of turns from the role before it to the role it ends in."""
-        total = self.move + emit[0]
-        for e in emit[1:]:
-            total = (total[:, :, None] + self.move[None]).max(1) + e
+    def matrix(self, emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        """Best score of a block of lines from the role before it to the role it ends in."""
+        total = moves[0] + emit[0]
+        for e, m in zip(emit[1:], moves[1:], strict=True):
+            total = (total[:, :, None] + m[None]).max(1) + e
         return total
 
+    def opening(self, emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
+        """Best score of the first block to the role it ends in."""
+        score = emit[0] + self.start
+        for e, m in zip(emit[1:], moves[1:], strict=True):
+            score = (score[:, None] + m).max(0) + e
+        return score
+
 
 def learn(turns: DataFrame) -> Hmm:
     """turns(conv, turn, text, role): counts over all labelled rows; only sums reach the driver."""
     codes = {r: k for k, r in enumerate(ROLES)}
-    rows = turns.where(F.col("role").isin(*ROLES)).withColumn("first", F.coalesce(F.col("turn") == 0, F.lit(False)))
+    rows = turns.where(F.col("role").isin(*ROLES))
     emit = np.zeros((len(ROLES), CODES))
-    for r in rows.select("role", F.explode(turn_codes(F.col("text"), F.col("first"))).alias("code")).groupBy("role", "code").count().collect():
+    for r in rows.select("role", F.explode(F.transform(turn_lines(F.col("text")), lambda x: x["code"])).alias("code")).groupBy("role", "code").count().collect():
         emit[codes[r["role"]], r["code"]] = r["count"]
     start = np.zeros(len(ROLES))
-    for r in rows.where("first").groupBy("role").count().collect():
+    for r in rows.where("turn = 0").groupBy("role").count().collect():
         start[codes[r["role"]]] = r["count"]
     move = np.zeros((len(ROLES), len(ROLES)))
     one = rows.groupBy("conv", "turn").agg(F.min("role").alias("role"))
@@ -129,30 +147,33 @@ def learn(turns: DataFrame) -> Hmm:
     return Hmm.from_counts(start, move, emit)
 
 
-def recover(turns: DataFrame, model: Hmm) -> DataFrame:
-    """turns(conv, turn, text) with role_pred: the likeliest roles of each conversation's turns, in order."""
-    spark = turns.sparkSession
+def decode(lines: DataFrame, model: Hmm) -> DataFrame:
+    """lines(conv, turn, rid, at, kind, code) to (rid, at, role): the likeliest roles of each conversation's lines, ordered
+    by turn, row number and place."""
+    spark = lines.sparkSession
     small_batches(spark, 10_000)
-    rows = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-1)).cast("long"))
-    rows = rows.withColumn("codes", turn_codes(F.col("text"), F.coalesce(F.col("turn") == 0, F.lit(False))))
-    narrow = rows.select("conv", "block", "turn", "rid", "codes")
-    long = narrow.groupBy("conv").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo != hi").select(F.col("conv").alias("c"))
-    cut = narrow.join(long, F.col("conv").eqNullSafe(F.col("c")), "left_semi")
+    order = [F.asc_nulls_first("turn"), F.col("rid"), F.col("at")]
+    parts = max(1, -(-lines.count() // (4 * BLOCK)))
+    lines = lines.repartitionByRange(parts, F.asc_nulls_first("conv"), *order).withColumn("part", F.spark_partition_id())
+    lines = materialize(lines, "ranges")  # ranges are sampled: written once, a line stays in its part
+    inside = Window.partitionBy("conv", "part").orderBy(*order)
+    lines = materialize(lines.withColumn("block", F.floor((F.row_number().over(inside) - 1) / BLOCK)), "lines")
+    every = lines.select("conv", "part", "block").distinct()
+    long = every.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("conv").alias("c"))
+    cut = lines.join(materialize(long, "long"), F.col("conv").eqNullSafe(F.col("c")), "left_semi")
+
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values(["turn", "rid", "at"], na_position="first", ignore_index=True)
+
+    def scores(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return model.emit[:, pdf["code"].to_numpy()].T, model.moves[pdf["kind"].to_numpy()]
 
     def sum_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "rid"], na_position="first")
-        emit = model.turns([list(c) for c in pdf["codes"]])
-        first = emit[0] + model.start
-        alone = first[None] if len(emit) == 1 else None
-        if alone is None:
-            score = first
-            for e in emit[1:]:
-                score = (score[:, None] + model.move).max(0) + e
-            alone = score[None]
-        return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "block": pdf["block"].iloc[:1], "best": [model.matrix(emit).ravel().tolist()], "opening": [alone.ravel().tolist()]})
+        emit, moves = scores(in_order(pdf))
+        return pd.DataFrame({"conv": pdf["conv"].iloc[:1], "part": pdf["part"].iloc[:1], "block": pdf["block"].iloc[:1], "best": [model.matrix(emit, moves).ravel().tolist()], "opening": [model.opening(emit, moves).tolist()]})
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
+        pdf = pdf.sort_values(["part", "block"])
         n = len(ROLES)
         score = np.array(pdf["opening"].iloc[0])
         back = []
@@ -164,88 +185,79 @@ def recover(turns: DataFrame, model: Hmm) -> DataFrame:
         for b in reversed(back):
             ends.append(int(b[ends[-1]]))
         ends = ends[::-1]
-        return pd.DataFrame({"c": pdf["conv"].to_numpy(), "b": pdf["block"].to_numpy(), "before": [-1, *ends[:-1]], "after": ends})
+        return pd.DataFrame({"c": pdf["conv"].to_numpy(), "p": pdf["part"].to_numpy(), "b": pdf["block"].to_numpy(), "before": [-1, *ends[:-1]], "after": ends})
 
-    kind = turns.schema["conv"].dataType.simpleString()
-    sums = cut.groupBy("conv", "block").applyInPandas(sum_up, f"conv {kind}, block long, best array<double>, opening array<double>")
-    ends = sums.groupBy("conv").applyInPandas(chain, f"c {kind}, b long, before int, after int")
-    ready = narrow.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left")
-    ready = ready.select("conv", "block", "turn", "rid", "codes", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after"))
-    ready = ready.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "rid")
+    kind = lines.schema["conv"].dataType.simpleString()
+    sums = cut.groupBy("conv", "part", "block").applyInPandas(sum_up, f"conv {kind}, part int, block long, best array<double>, opening array<double>")
+    ends = materialize(sums.groupBy("conv").applyInPandas(chain, f"c {kind}, p int, b long, before int, after int"), "ends")
+    ready = lines.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("block") == F.col("b")), "left")
+    ready = ready.select("conv", "part", "block", "turn", "rid", "at", "kind", "code", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("after", F.lit(-1)).alias("after"))
+    ready = ready.repartition("conv", "part", "block").sortWithinPartitions(F.asc_nulls_first("conv"), "part", "block", *order)
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
 
+        def key(pdf: pd.DataFrame) -> list:
+            return list(zip(pdf["conv"].where(pdf["conv"].notna(), None), pdf["part"], pdf["block"], strict=True))
+
         def roles(pdf: pd.DataFrame) -> pd.DataFrame:
-            emit = model.turns([list(c) for c in pdf["codes"]])
-            change = ((pdf["conv"] != pdf["conv"].shift()) & ~(pdf["conv"].isna() & pdf["conv"].shift().isna())) | (pdf["block"] != pdf["block"].shift())
-            start = np.flatnonzero(change.to_numpy(bool) | (np.arange(len(pdf)) == 0))
+            emit, moves = scores(pdf)
+            own = key(pdf)
+            start = [i for i in range(len(own)) if i == 0 or own[i] != own[i - 1]]
             found = np.empty(len(pdf), np.int64)
             before, after = pdf["before"].to_numpy(), pdf["after"].to_numpy()
             for a, b in zip(start, [*start[1:], len(pdf)], strict=True):
-                found[a:b] = model.viterbi(emit[a:b], np.broadcast_to(model.move, (b - a, *model.move.shape)), None if before[a] < 0 else before[a], None if after[a] < 0 else after[a])
-            return pd.DataFrame({"r": pdf["rid"], "role_pred": [ROLES[k] for k in found]})
+                found[a:b] = model.viterbi(emit[a:b], moves[a:b], None if before[a] < 0 else before[a], None if after[a] < 0 else after[a])
+            return pd.DataFrame({"rid": pdf["rid"], "at": pdf["at"], "role": [ROLES[k] for k in found]})
 
         for pdf in parts:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            # the last conversation block may go on in the next batch
-            last = pdf.iloc[-1]
-            same = (pdf["block"] == last["block"]) & ((pdf["conv"] == last["conv"]) | (pdf["conv"].isna() & pd.isna(last["conv"])))
-            held, done = pdf[same], pdf[~same]
+            # the last block may go on in the next batch
+            own = key(pdf)
+            first = next(i for i in range(len(own) - 1, -1, -1) if i == 0 or own[i - 1] != own[-1])
+            held, done = pdf.iloc[first:], pdf.iloc[:first]
             if len(done):
                 yield roles(done.reset_index(drop=True))
         if held is not None and len(held):
             yield roles(held.reset_index(drop=True))
 
-    found = ready.mapInPandas(decode, "r long, role_pred string")
+    return ready.mapInPandas(run, "rid long, at int, role string")
+
+
+def recover(turns: DataFrame, model: Hmm) -> DataFrame:
+    """turns(conv, turn, text, rid) with role_pred: the likeliest role of each turn's first line, all lines of its
+    conversation read."""
+    lines = turns.select("conv", "turn", "rid", F.posexplode(turn_lines(F.col("text"))).alias("at", "x")).select("conv", "turn", "rid", "at", "x.kind", "x.code")
+    found = decode(lines, model).where("at = 0").select(F.col("rid").alias("r"), F.col("role").alias("role_pred"))
     return turns.join(found, F.col("rid") == F.col("r")).drop("r")
 
 
-def render(role: Column, text: Column) -> Column:
-    """A turn in canonical form: role mark, text without a speaker marker, end mark."""
+def clean(text: Column) -> Column:
+    """A turn's text without its speaker marker and without white space at its ends."""
     every = "|".join(_marker(w).removeprefix("(?i)^") for w in MARKERS.values())
-    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i)^(?:{every})", ""))
-    return F.concat(F.lit("<|"), role, F.lit("|>\n"), clean, F.lit("\n<|end|>"))
-
-
-_MARKS = [re.compile(_marker(MARKERS[r])) for r in ROLES]
-
-
-def parse(text: str | None, model: Hmm) -> list[tuple[str, str]]:
-    """(role, text) of the turns of one raw transcript, whose lines carry markers or not."""
-    lines = (text or "").split("\n")
-    codes, opens = [], []
-    for i, line in enumerate(lines):
-        marker = next((k + 1 for k, m in enumerate(_MARKS) if m.match(line)), 0)
-        size = min(int(np.log2(len(line) + 1)), 11)
-        begins = i == 0 or marker > 0 or not lines[i - 1].strip()
-        asks = bool(re.search(r"\?\s*$", line))
-        codes.append((((marker * 12 + size) * 2 + asks) * 2 + begins) * 2 + (i == 0))
-        opens.append(marker > 0)
-    moves = np.where(np.array(opens)[:, None, None], model.move, model.keep)
-    roles = model.viterbi(model.emit[:, codes].T, moves, None, None)
-    turns: list[tuple[str, list[str]]] = []
-    for k, line, begins in zip(roles, lines, opens, strict=True):
-        body = _MARKS[k].sub("", line) if begins else line
-        if turns and turns[-1][0] == ROLES[k] and not begins:
-            turns[-1][1].append(body)
-        else:
-            turns.append((ROLES[k], [body]))
-    return [(r, "\n".join(x).strip()) for r, x in turns]
+    return F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i)^(?:{every})", ""), F.lit(" \n\t"))
 
 
-def parse_transcripts(docs: DataFrame, model: Hmm, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, turn, role, rendered) of whole transcripts, one text each."""
-    small_batches(docs.sparkSession)
+def render(role: Column, text: Column) -> Column:
+    """A turn in canonical form: role mark, clean text, end mark."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), clean(text), F.lit("\n<|end|>"))
 
-    @F.pandas_udf("array<struct<role:string,text:string>>")
-    def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"role": r, "text": t} for r, t in parse(x, model)] for x in texts])
 
-    turns = docs.select(F.col(id_col).alias("id"), F.posexplode(split(F.col(text_col))).alias("turn", "x"))
-    return turns.select("id", "turn", F.col("x.role").alias("role"), render(F.col("x.role"), F.col("x.text")).alias("rendered"))
+def parse_transcripts(docs: DataFrame, model: Hmm, *, id_col: str, text_col: str) -> DataFrame:
+    """(id, turn, role, text, rendered) of whole raw transcripts, one text each: a turn ends where the role changes or the
+    next one begins. Rows that share an id are transcripts of their own."""
+    texts = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).alias("text"))
+    rows = materialize(texts.select("id", "rid", F.posexplode(transcript_lines(F.col("text"))).alias("at", "x")), "transcripts")
+    lines = rows.select(F.col("rid").alias("conv"), F.lit(0).cast("long").alias("turn"), "rid", "at", "x.kind", "x.code")
+    found = decode(lines, model).select(F.col("rid").alias("r"), F.col("at").alias("a"), "role")
+    every = rows.join(found, (F.col("rid") == F.col("r")) & (F.col("at") == F.col("a")))
+    order = Window.partitionBy("rid").orderBy("at")
+    new = (F.col("x.kind") == BEGINS) | F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
+    numbered = every.withColumn("new", new.cast("int")).withColumn("turn", (F.sum("new").over(order) - 1).cast("int"))
+    turns = numbered.groupBy("rid", "turn").agg(F.first("id").alias("id"), F.first("role").alias("role"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x.line"))), lambda x: x["line"]), "\n").alias("text"))
+    return turns.select("id", "turn", "role", clean(F.col("text")).alias("text"), render(F.col("role"), F.col("text")).alias("rendered"))
 
 
 def op10_chat_roles(spark: SparkSession, sf_dir: str) -> DataFrame:

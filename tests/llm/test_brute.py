@@ -75,10 +75,29 @@ def test_knapsack_is_exact_where_exact_is_possible():
         assert abs(int((take * lengths).sum()) - budget) == min(abs(s - rest) for s in sums)
 
 
-def test_targets_share_and_stop():
-    out = mixing.targets({"a": 10, "b": 100, None: 30, "c": 5})
-    assert sum(out.values()) == pytest.approx(145)
-    assert out["a"] == 30 and all(out[s] <= 3 * n + 1e-9 for s, n in {"a": 10, "b": 100, None: 30, "c": 5}.items())
+def water_filled(sizes, weights, most):
+    """Shares by weight in code point order (null last), the excess reshared until none is above most times its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        left = sum(sizes.values()) - sum(most * sizes[s] for s in full)
+        share = left / sum(weight[s] for s in order if s not in full) if len(full) < len(order) else 0
+        more = {s for s in order if s not in full and share * weight[s] >= most * sizes[s]}
+        if not more:
+            return {s: most * sizes[s] if s in full else share * weight[s] for s in order}
+        full |= more
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_share_and_stop(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "RANK_ROWS", 3)  # several ranges
+    rng = random.Random(seed)
+    names = ["a", "B", "é", "\U0001f600", "\uffff", "", "z"][: rng.randint(1, 7)] + [None]
+    sizes = {n: rng.choice([0, 1, 10, 100, 1000]) for n in names}
+    out = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, words long")).collect()}
+    assert out == pytest.approx(water_filled(sizes, (5, 2, 1), 3))
+    assert sum(out.values()) == pytest.approx(sum(sizes.values()))
 
 
 def test_mix_takes_near_the_targets(spark):
@@ -202,8 +221,8 @@ def test_viterbi_is_the_best_path():
     model = chat.Hmm.from_counts(rng.random(k) * 5, rng.random((k, k)) * 5, rng.random((k, chat.CODES)) * 3)
     for n in (1, 2, 5):
         emit = rng.normal(size=(n, k))
-        moves = np.broadcast_to(model.move, (n, k, k))
-        best = max(itertools.product(range(k), repeat=n), key=lambda p: model.start[p[0]] + sum(emit[t, p[t]] for t in range(n)) + sum(model.move[p[t - 1], p[t]] for t in range(1, n)))
+        moves = model.moves[rng.integers(0, 3, n)]
+        best = max(itertools.product(range(k), repeat=n), key=lambda p: model.start[p[0]] + sum(emit[t, p[t]] for t in range(n)) + sum(moves[t][p[t - 1], p[t]] for t in range(1, n)))
         assert tuple(model.viterbi(emit, moves, None, None)) == best
 
 
@@ -218,13 +237,33 @@ def test_blocks_of_a_long_conversation_decode_like_the_whole(spark, monkeypatch)
     assert np.mean([a == t[2] for a, t in zip(whole, turns, strict=True)]) > 0.95
 
 
+def test_one_hot_conversation_decodes_like_the_whole(spark, monkeypatch):
+    """Turns without number, in rows' order, cut into many blocks, against one Viterbi run over all their lines."""
+    rng = random.Random(21)
+    rows = [(None, None, rng.choice(["why?", "no\nyes, it is so", "", "User: hm"]), i) for i in range(80)] + [("c", 0, "why?", 900)]
+    df = spark.createDataFrame(rows, "conv string, turn long, text string, rid long")
+    train = spark.createDataFrame([(str(i), t, "user" if t % 2 == 0 else "assistant", "why?" if t % 2 == 0 else "so\nit is") for i in range(9) for t in range(4)], "conv string, turn long, role string, text string")
+    model = chat.learn(train)
+    lines = df.where("conv is null").select("rid", "text", chat.turn_lines(df["text"]).alias("x")).orderBy("rid").collect()
+    codes, kinds, first = [], [], []
+    for r in lines:
+        for i, x in enumerate(r.x):
+            first += [len(codes)] if i == 0 else []
+            codes.append(x.code)
+            kinds.append(x.kind)
+    whole = model.viterbi(model.emit[:, codes].T, model.moves[kinds], None, None)
+    monkeypatch.setattr(chat, "BLOCK", 5)
+    found = [r.role_pred for r in chat.recover(df, model).where("conv is null").orderBy("rid").collect()]
+    assert found == [chat.ROLES[whole[i]] for i in first]
+
+
 def test_marked_transcripts_are_parsed(spark):
     df = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", "why?" if i % 2 == 0 else "since it is so", i) for i in range(20)], "conv long, turn long, role string, text string, rid long")
     model = chat.learn(df)
     text = "User: why is it\nso late?\n### Assistant: it is\nmidnight\n[HUMAN]: thanks"
-    assert chat.parse(text, model) == [("user", "why is it\nso late?"), ("assistant", "it is\nmidnight"), ("user", "thanks")]
     out = chat.parse_transcripts(spark.createDataFrame([(5, text)], "id long, text string"), model, id_col="id", text_col="text").orderBy("turn").collect()
-    assert out[0].rendered == "<|user|>\nwhy is it\nso late?\n<|end|>" and len(out) == 3
+    assert [(r.role, r.text) for r in out] == [("user", "why is it\nso late?"), ("assistant", "it is\nmidnight"), ("user", "thanks")]
+    assert out[0].rendered == "<|user|>\nwhy is it\nso late?\n<|end|>"
 
 
 def test_ownership_tells_examples_from_live_keys(spark):
@@ -234,6 +273,10 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert [s.live for s in out[0]] == [False]  # five owners hold it, so the mixed run inside adds nothing
     assert [(s.kind, s.live) for s in out[9]] == [(3, True)]
     assert [(s.kind, s.live) for s in out[10]] == [(0, True)]
+    assert (out[0][0].owners, out[0][0].repos, out[10][0].owners, out[10][0].repos) == (5, 5, 1, 2)
+    # two owners, but in very many repositories
+    rows = [(i, "token = abcdef123", f"s{i % 2}") for i in range(120)]
+    assert not any(s.live for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() for s in r.spans)
 
 
 def test_sequences_hold_the_documents(spark):
