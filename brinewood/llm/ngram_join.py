@@ -42,8 +42,8 @@ COUNTED = 1 << 21
 PAIRED, PIVOTS, PIVOT_ROUNDS = 32, 12, 2
 #: Rows of a longer list that one cell of its pairs holds on either side.
 CELL = 256
-#: Rows up to which the small side of a join on a key that may be hot is broadcast; beyond, Spark splits hot keys.
-SENT = 1 << 16
+#: Rows up to which the small side of a join on a key that may be hot is broadcast, and parts of a key beyond.
+SENT, SALTS = 1 << 13, 16
 #: Bits of the filter that picks the texts to verify.
 FILTER_BITS = 1 << 24
 #: Bytes of text that are hashed at once, or one text if it is longer.
@@ -265,10 +265,14 @@ def _like_size(n1: str, n2: str, threshold: int) -> Column:
     return (F.col(n1) * 100 >= F.col(n2) * threshold) & (F.col(n2) * 100 >= F.col(n1) * threshold)
 
 
-def attach(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined with a written table by a key that may hold any share of the rows: up to SENT rows it is broadcast, so
-    that rows stay where they are; beyond, it is an ordinary join, whose hot keys Spark splits."""
-    return rows.join(F.broadcast(small) if small.count() <= SENT else small, on, how)
+    that rows stay where they are; beyond, it is repeated SALTS times and the rows of a key are dealt among these."""
+    if small.count() <= SENT:
+        return rows.join(F.broadcast(small), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
 def place_of(doc_id: Column) -> Column:
