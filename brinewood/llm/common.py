@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one ranking task is meant to sort.
-RANK_ROWS = 50_000
+RANK_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
