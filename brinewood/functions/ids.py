@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from brinewood.functions.text import alnum_upper, blank_to_null, clean_value, digits
+from brinewood.functions.text import alnum_upper, blank_to_null, clean_value, digits, once
 
 #: Words that are never a document number, and words that are never a voyage.
 NOT_NUMBERS = ("ORIGINAL", "NUMBER", "COPY", "DRAFT", "BLNO", "BILL", "LADING", "PREPAID", "COLLECT", "SHIPPER", "CONSIGNEE", "CARRIER", "FREIGHT")
 NOT_VOYAGES = (*NOT_NUMBERS, "NOTIFY", "WEIGHT", "MEASUREMENT", "CONTAINER", "PACKAGES", "DELIVERY", "RECEIPT", "DESTINATION", "DESCRIPTION", "DOCUMENTS", "GOODS", "PLACE", "PORT", "VESSEL", "VOYAGE", "ORIGIN", "TOTAL", "PAGE", "DATE")
 
 
+CONTAINER = "^[A-Z]{4}[0-9]{7}$"
+
+
 def compact(x: Column) -> Column:
     """Upper case without blanks, dashes and slashes."""
     return F.upper(F.regexp_replace(x, r"[\s\-/]", ""))
@@ -19,45 +22,47 @@ def compact(x: Column) -> Column:
 
 def is_container(x: Column) -> Column:
     """[FLT-02] Four letters and seven digits."""
-    return F.coalesce(compact(x).rlike("^[A-Z]{4}[0-9]{7}$"), F.lit(False))
+    return F.coalesce(compact(x).rlike(CONTAINER), F.lit(False))
+
 
+def _places(t: Column, skip: int) -> Column:
+    """Sum of the first ten characters' values times powers of 2; a letter counts from 10 up, `skip` says whether
+    multiples of 11 are left out."""
+    def value(i: int) -> Column:
+        code = F.ascii(F.substring(t, i, 1))
+        letter = code - 55
+        return F.when(code < 65, code - 48).otherwise(letter + F.floor((letter - 1) / 10).cast("int") if skip else letter)
 
-def _weighted(x: Column, value) -> Column:
-    """Sum of value(character) * 2^place over the first ten characters."""
-    chars = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.struct(F.substring(x, i, F.lit(1)).alias("c"), F.pow(F.lit(2.0), i - 1).cast("long").alias("w")))
-    return F.aggregate(chars, F.lit(0).cast("long"), lambda acc, s: acc + value(s["c"]) * s["w"])
+    return sum((value(i) * (1 << (i - 1)) for i in range(1, 11)), F.lit(0))
 
 
-def _letter(c: Column) -> Column:
-    return (F.ascii(c) - 55).cast("long")
+def _last_digit(t: Column) -> Column:
+    return F.ascii(F.substring(t, 11, 1)) - 48
 
 
 def iso6346_valid(x: Column) -> Column:
     """The standard check digit: letters from 10 up without multiples of 11, weights of powers of 2, mod 11, mod 10."""
-    t = compact(x)
-    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("long")).otherwise(_letter(c) + F.floor((_letter(c) - 1) / 10).cast("long"))
-    return F.when(is_container(x), _weighted(t, value) % 11 % 10 == F.substring(t, 11, 1).try_cast("long")).otherwise(False)
+    return once(compact(x), lambda t: F.when(t.rlike(CONTAINER), _places(t, True) % 11 % 10 == _last_digit(t)).otherwise(False))
+
+
+def _legacy(t: Column) -> Column:
+    return F.when(t.rlike(CONTAINER), (_places(t, False) + _last_digit(t) * 1024) % 11 % 10 == _last_digit(t)).otherwise(False)
 
 
 def legacy_check_digit(x: Column) -> Column:
-    """[STR-08] The reference's own rule, which sums all eleven characters and skips no letter value."""
-    t = compact(x)
-    value = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("long")).otherwise(_letter(c))
-    last = F.substring(t, 11, 1).try_cast("long")
-    return F.when(is_container(x), (_weighted(t, value) + last * 1024) % 11 % 10 == last).otherwise(False)
+    """[STR-08] The rule that sums all eleven characters and skips no letter value."""
+    return once(compact(x), _legacy)
 
 
 def format_container(x: Column) -> Column:
     """[STR-08] With slash if it came so, with a dash before a digit that checks, else compact; other texts cleaned."""
-    upper, t = F.upper(x), compact(x)
     slash = r"\b([A-Z]{4})([0-9]{6})\s*/\s*([0-9])\b"
-    body, digit = F.substring(t, 1, 10), F.substring(t, 11, 1)
-    return (
-        F.when(upper.rlike(slash), F.concat(F.regexp_extract(upper, slash, 1), F.regexp_extract(upper, slash, 2), F.lit("/"), F.regexp_extract(upper, slash, 3)))
-        .when(legacy_check_digit(x), F.concat(body, F.lit("-"), digit))
-        .when(is_container(x), t)
-        .otherwise(clean_value(x))
-    )
+    slashed = F.regexp_extract(F.upper(x), slash, 0)
+
+    def checked(t: Column) -> Column:
+        return F.when(_legacy(t), F.concat(F.substring(t, 1, 10), F.lit("-"), F.substring(t, 11, 1))).when(t.rlike(CONTAINER), t).otherwise(clean_value(x))
+
+    return F.when(slashed != "", F.regexp_replace(slashed, "\\s", "")).otherwise(once(compact(x), checked))
 
 
 def likely_number(x: Column, customs_id: Column | None = None) -> Column:
@@ -94,11 +99,15 @@ def billing_number(x: Column) -> Column:
 
 
 def voyage_variants(x: Column) -> Column:
-    """[JN-16] The spellings that misread O, 0 and W give: the blocking key of voyage joins."""
-    v = F.upper(F.trim(x))
-    zero, oh = (lambda c: F.replace(c, F.lit("O"), F.lit("0"))), (lambda c: F.replace(c, F.lit("0"), F.lit("O")))
-    no_ow, no_0w, clean = F.replace(v, F.lit("OW"), F.lit("W")), F.replace(v, F.lit("0W"), F.lit("W")), F.replace(zero(v), F.lit("0W"), F.lit("W"))
-    return F.when(v != "", F.array_sort(F.array_distinct(F.array(v, zero(v), oh(v), no_ow, zero(no_ow), oh(no_ow), no_0w, zero(no_0w), oh(no_0w), clean, oh(clean)))))
+    """[JN-16] The spellings that misread O, 0 and W give: the blocking key of voyage joins. An O or 0 before W may be a
+    smudge, and any O may be a 0 and the other way round."""
+    swap = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+
+    def spelled(v: Column) -> Column:
+        smudges = F.array(v, swap(v, "OW", "W"), swap(v, "0W", "W"), swap(swap(v, "O", "0"), "0W", "W"))
+        return F.flatten(F.transform(smudges, lambda s: F.array(s, swap(s, "O", "0"), swap(s, "0", "O"))))
+
+    return F.when(F.trim(x) != "", F.array_sort(F.array_distinct(once(F.upper(F.trim(x)), spelled))))
 
 
 def voyage_match(a: Column, b: Column) -> Column:

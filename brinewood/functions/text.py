@@ -10,6 +10,11 @@ def blank_to_null(x: Column) -> Column:
     return F.when(x != "", x)
 
 
+def once(x: Column, f) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def is_blank(x: Column, profile: str = "plain") -> Column:
     """Null or empty; profile `trimmed` counts white space as blank too."""
     return x.isNull() | ((F.trim(x) if profile == "trimmed" else x) == "")

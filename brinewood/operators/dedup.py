@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 
 def keep_first(df: DataFrame, key: Column, order: list[Column], *, keyless: str = "keep") -> DataFrame:
-    """[SET-01, SET-02] The first row of each key. Rows without key are all kept, or dropped, or lost to one."""
-    # keyless rows skip the window, where they would meet in one task
-    some, none = df.where(key.isNotNull()), df.where(key.isNull())
-    ranked = (df if keyless == "one" else some).withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    out = ranked.where("_n = 1").drop("_key", "_n")
-    return out.unionByName(none) if keyless == "keep" else out
+    """[SET-01, SET-02] The first row of each key, nulls of `order` first. Rows without key are all kept, or dropped, or lost
+    to one. An aggregate: the key is computed once, each task sends one row a key, and keyless rows have keys of their own."""
+    alone = F.monotonically_increasing_id() if keyless == "keep" else F.lit(0)
+    rows = df.withColumn("_key", key).withColumn("_alone", F.when(F.col("_key").isNull(), alone))
+    if keyless == "drop":
+        rows = rows.where(F.col("_key").isNotNull())
+    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    return rows.groupBy("_key", "_alone").agg(F.min_by(F.struct(*df.columns), rank).alias("_first")).select("_first.*")
 
 
 def split_duplicates(df: DataFrame, key: Column, order: list[Column]) -> tuple[DataFrame, DataFrame]:
@@ -57,13 +59,16 @@ def cleanup_plan(ops: DataFrame, keys: list[str], order: list[Column], children:
 
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """[SET-08, SNK-01 to SNK-03] current with changes merged in: values that a change has win, null changes keep what was,
-    new keys are added. Doing it twice gives the same as once."""
+    new keys are added. Null keys are keys; of changes that share a key the greatest row counts. Doing it twice gives the
+    same as once."""
     rest = [c for c in current.columns if c not in keys]
-    new = changes.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(c).alias(f"_{c}") for c in rest if c in changes.columns])
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    joined = current.join(new, on, "full_outer")
-    pick = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)) if f"_{c}" in new.columns else F.col(c)
-    return joined.select(*[F.coalesce(F.col(k), F.col(f"_{k}")).alias(k) for k in keys], *[pick(c).alias(c) for c in rest])
+    given = [c for c in rest if c in changes.columns]
+    one = changes.groupBy(*keys).agg(F.max(F.struct(*given)).alias("_v")) if given else changes.select(*keys).distinct().withColumn("_v", F.lit(None))
+    new = one.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(f"_v.{c}").alias(f"_{c}") for c in given], F.lit(True).alias("_new"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = current.withColumn("_old", F.lit(True)).join(new, on, "full_outer")
+    pick = lambda c: F.coalesce(F.col(f"_{c}"), F.col(c)) if c in given else F.col(c)
+    return joined.select(*[F.when(F.col("_old"), F.col(k)).otherwise(F.col(f"_{k}")).alias(k) for k in keys], *[pick(c).alias(c) for c in rest])
 
 
 def number_suffixes(df: DataFrame, slug: str, scope: list[str], order: list[Column]) -> Column:

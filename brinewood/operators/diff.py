@@ -2,30 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+
+
+LEAF = "array<struct<path:string,value:string>>"
+
+
+def leaves(column: Column, kind: DataType, path: Column) -> Column:
+    """Array of (path, value) of all leaves of a value of any nested type: dotted names, [i] for elements."""
+    if isinstance(kind, StructType):
+        parts = [leaves(column[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields]
+        return F.coalesce(F.concat(*parts), F.array().cast(LEAF)) if parts else F.array().cast(LEAF)
+    if isinstance(kind, ArrayType):
+        found = F.flatten(F.transform(column, lambda v, i: leaves(v, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+    elif isinstance(kind, MapType):
+        found = F.flatten(F.transform(F.map_entries(column), lambda e: leaves(e["value"], kind.valueType, F.concat(path, F.lit("."), e["key"].cast("string")))))
+    else:
+        found = F.array(F.struct(path.alias("path"), column.cast("string").alias("value")))
+    return F.coalesce(found, F.array().cast(LEAF))
 
 
 def flatten(df: DataFrame, key: str) -> DataFrame:
-    """[PRJ-04] (key, path, value) of all leaves of a row's structs, arrays and maps: dotted paths, [i] for elements."""
-    from pyspark.sql.types import ArrayType, MapType, StructType
-
-    def leaves(column, kind, path):
-        if isinstance(kind, StructType):
-            return [x for f in kind.fields for x in leaves(column[f.name], f.dataType, F.concat(path, F.lit(("." if path is not root else "") + f.name)))]
-        if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (StructType, ArrayType, MapType)):
-            return [F.transform(column, lambda v, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.cast("string").alias("value")))]
-        if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType):
-            fields = kind.elementType.fields
-            return [F.flatten(F.transform(column, lambda v, i: F.array(*[F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit(f"].{f.name}")).alias("path"), v[f.name].cast("string").alias("value")) for f in fields])))]
-        if isinstance(kind, MapType):
-            return [F.transform(F.map_entries(column), lambda e: F.struct(F.concat(path, F.lit("."), e["key"].cast("string")).alias("path"), e["value"].cast("string").alias("value")))]
-        return [F.array(F.struct(path.alias("path"), column.cast("string").alias("value")))]
-
-    root = F.lit("")
-    parts = [x for f in df.schema.fields if f.name != key for x in leaves(F.col(f.name), f.dataType, F.lit(f.name))]
-    every = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<path:string,value:string>>")) for p in parts]))
-    return df.select(key, F.explode(every).alias("x")).select(key, "x.path", "x.value")
+    """[PRJ-04] (key, path, value) of all leaves of a row's structs, arrays and maps, however deep."""
+    parts = [leaves(F.col(f.name), f.dataType, F.lit(f.name)) for f in df.schema.fields if f.name != key]
+    return df.select(key, F.explode(F.concat(*parts)).alias("x")).select(key, "x.path", "x.value")
+
+
+def without_empty(column: Column, kind: DataType) -> Column:
+    """[PRJ-03, PRJ-06] The value without nulls, empty texts, empty lists and structs of nothing, at any depth; null if nothing
+    is left. Fields of structs stay, as null."""
+    if isinstance(kind, StringType):
+        return F.when(column != "", column)
+    if isinstance(kind, ArrayType):
+        kept = F.filter(F.transform(column, lambda v: without_empty(v, kind.elementType)), lambda v: v.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if isinstance(kind, MapType):
+        kept = F.map_filter(F.transform_values(column, lambda _, v: without_empty(v, kind.valueType)), lambda _, v: v.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if isinstance(kind, StructType):
+        parts = [without_empty(column[f.name], f.dataType) for f in kind.fields]
+        some = sum((p.isNotNull().cast("int") for p in parts), F.lit(0)) > 0
+        return F.when(some, F.struct(*[p.alias(f.name) for p, f in zip(parts, kind.fields, strict=True)]))
+    return column
+
+
+def drop_empty(df: DataFrame, *keep: str) -> DataFrame:
+    """[PRJ-03, PRJ-06] All columns but `keep` without what is empty."""
+    return df.select(*[F.col(f.name) if f.name in keep else without_empty(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def field_diff(sent: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,5 +62,5 @@ def field_diff(sent: DataFrame, saved: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def prune(entries, allow: tuple[str, ...] = ()):
-    """[PRJ-02, PRJ-03, PRJ-05, PRJ-06] A map without annotations, underscore keys and empty values."""
+    """[PRJ-02, PRJ-05] A map without annotations, underscore keys and empty values."""
     return F.map_filter(entries, lambda k, v: v.isNotNull() & (v != "") & (k.isin(*allow) | (~F.startswith(k, F.lit("_")) & ~F.contains(k, F.lit("@")))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinewood.functions.parties import cleaner_name
 from brinewood.functions.text import is_blank, longer, union_codes
 from brinewood.operators.dedup import keep_first
 
@@ -31,12 +32,12 @@ def reconcile_lists(primary: DataFrame, fallback: DataFrame, key: str, order: st
 
 
 #: How a field is decided: the sides in order of trust, or a function of both.
-POLICIES = ("first", "second", "longer", "union")
+POLICIES = ("first", "second", "longer", "cleaner", "union")
 
 
 def reconcile_record(joined: DataFrame, columns: dict[str, str], first: str = "p", second: str = "f") -> DataFrame:
-    """[RUL-14, JN-02] Per field a policy: `first` or `second` side wins if it isn't blank, the `longer` text, or the
-    `union` of codes. Returns the fields and `provenance`, a map of field to side (or both)."""
+    """[RUL-14, JN-02] Per field a policy: `first` or `second` side wins if it isn't blank, the `longer` text, the `cleaner`
+    name, or the `union` of codes. Returns the fields and `provenance`, a map of field to side (or both)."""
     out, prov = [], []
     for c, policy in columns.items():
         a, b = F.col(f"{first}.{c}"), F.col(f"{second}.{c}")
@@ -46,6 +47,9 @@ def reconcile_record(joined: DataFrame, columns: dict[str, str], first: str = "p
         elif policy == "longer":
             value = F.when(has_a & has_b, longer(a, b)).when(has_a, a).when(has_b, b)
             who = F.when(has_a & (~has_b | (F.length(a) >= F.length(b))), first).when(has_b, second)
+        elif policy == "cleaner":
+            value = cleaner_name(a, b)
+            who = F.when(has_a & (~has_b | (value == a)), first).when(has_b, second)
         else:
             x, y, nx, ny = (a, b, first, second) if policy == "first" else (b, a, second, first)
             hx, hy = (has_a, has_b) if policy == "first" else (has_b, has_a)
@@ -58,9 +62,11 @@ def reconcile_record(joined: DataFrame, columns: dict[str, str], first: str = "p
 
 def canonical_join(canonical: DataFrame, records: DataFrame, pages: DataFrame) -> DataFrame:
     """[JN-03] canonical(doc, page, number) left-joined to records(doc, number, ...) by the digits of the number, else to
-    pages(doc, page, ...) by page. Rows that neither anchors are dropped; `anchor` tells which did."""
+    pages(doc, page, ...) by page. Of records whose numbers have the same digits the smallest counts, so a canonical row
+    stays one. Rows that neither anchors are dropped; `anchor` tells which did."""
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     by_no = records.select(F.col("doc").alias("d1"), digits(F.col("number")).alias("k1"), F.struct(*[c for c in records.columns if c != "doc"]).alias("by_number"))
+    by_no = by_no.where("k1 != ''").groupBy("d1", "k1").agg(F.min("by_number").alias("by_number"))
     by_page = pages.select(F.col("doc").alias("d2"), F.col("page").alias("p2"), F.struct(*[c for c in pages.columns if c not in ("doc", "page")]).alias("by_page"))
     joined = canonical.join(by_no, (F.col("doc") == F.col("d1")) & (digits(F.col("number")) == F.col("k1")), "left")
     joined = joined.join(by_page, (F.col("doc") == F.col("d2")) & (F.col("page") == F.col("p2")), "left")

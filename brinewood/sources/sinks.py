@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.operators.dedup import upsert
 
 
-def write_graph(current: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, list[str]], path: str) -> None:
-    """[SNK-01 to SNK-03] Each entity merged and written to a folder of its own, parents before children. Running it again
-    with the same changes writes the same rows."""
+def write_graph(current: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, list[str]], path: str) -> dict[str, str]:
+    """[SNK-01 to SNK-03] Each entity merged and written to a new version, parents before children; then the entity's pointer
+    moves on, so that what `current` reads is never overwritten. Running it again with the same changes gives the same rows.
+    Returns the folders."""
+    out = {}
     for name, df in changes.items():
         merged = upsert(current[name], df, keys[name]) if name in current else df
-        merged.write.mode("overwrite").parquet(f"{path}/{name}")
+        out[name] = f"{path}/{name}/{uuid.uuid4().hex}"
+        merged.write.parquet(out[name])
+    for name, folder in out.items():
+        spark = changes[name].sparkSession
+        spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}-current")
+    return out
+
+
+def read_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of an entity's current version."""
+    return spark.read.parquet(spark.read.text(f"{path}/{name}-current").first()[0])
 
 
 def bridge(houses: DataFrame, containers: DataFrame, master: str) -> DataFrame:
@@ -21,9 +35,12 @@ def bridge(houses: DataFrame, containers: DataFrame, master: str) -> DataFrame:
     return houses.select(master, "house_id").join(containers.select(master, "container_id"), master).select("house_id", "container_id").distinct()
 
 
-def wide_csv(records: DataFrame, key: str, fields: str, preferred: list[str], path: str) -> list[str]:
-    """[SNK-05] A map column as columns: the preferred ones first, then all others found, sorted. Returns the header."""
-    names = [r[0] for r in records.select(F.explode(F.map_keys(fields))).distinct().collect()]
+def wide_csv(records: DataFrame, key: str, fields: str, preferred: list[str], path: str, most: int = 10_000) -> list[str]:
+    """[SNK-05] A map column as columns: the preferred ones first, then all others found, sorted. Returns the header. More
+    than `most` names are no table and raise."""
+    names = [r[0] for r in records.select(F.explode(F.map_keys(fields))).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} column names")
     header = [c for c in preferred if c in names] + sorted(set(names) - set(preferred))
     wide = records.select(key, *[F.try_element_at(F.col(fields), F.lit(c)).alias(c) for c in header])
     wide.write.mode("overwrite").option("header", "true").csv(path)

@@ -271,12 +271,40 @@ def test_visual_lines_and_hybrid(spark):
     assert [(r.doc, r.text, r.method) for r in readers.hybrid_text(native, scans).orderBy("doc").collect()] == [("a", "full", "native"), ("b", "part\nhigh", "hybrid"), ("c", "only", "ocr")]
 
 
+def test_upsert_takes_null_keys_and_repeated_changes(spark):
+    kind = "a int, b string, v string, w int"
+    current = spark.createDataFrame([(1, None, "old", 5), (None, "x", "n", 6), (2, "y", "keep", 7)], kind)
+    changes = spark.createDataFrame([(1, None, "new", None), (None, "x", "m", 8), (3, None, "add", None), (3, None, "add", None)], kind)
+    once = upsert = dedup.upsert(current, changes, ["a", "b"])
+    for _ in range(2):
+        assert sorted(map(tuple, once.collect()), key=str) == sorted([(1, None, "new", 5), (None, "x", "m", 8), (2, "y", "keep", 7), (3, None, "add", None)], key=str)
+        once = dedup.upsert(upsert, changes, ["a", "b"])
+
+
+def test_keep_first_of_hot_and_missing_keys(spark):
+    df = spark.createDataFrame([("k", 2, "b"), ("k", 1, "a"), (None, 3, "c"), (None, 4, "d"), ("z", None, "n"), ("z", 0, "y")], "key string, at int, v string")
+    kept = lambda how: sorted(r.v for r in dedup.keep_first(df, F.col("key"), [F.col("at")], keyless=how).collect())
+    assert (kept("keep"), kept("drop"), kept("one")) == (["a", "c", "d", "n"], ["a", "n"], ["a", "c", "n"])
+
+
+def test_load_types_and_release_votes(spark):
+    texts = [("HBL list", None, None, None, 0), ("FOLLCLX", None, None, None, 2), ("CY/CFS", "300000000", None, None, 2), ("CY/CY", None, None, None, 0), ("none", "300000001", None, None, 2), ("xCFSx", None, "A", "B", 0), ("", None, None, None, 1)]
+    df = spark.createDataFrame(texts, "text string, existing string, p string, c string, n int")
+    signal = rules.lcl_signal(F.col("text"), F.lit("native"), F.lit(False), F.col("p"), F.col("c"))
+    load = rules.load_type_by_evidence(F.col("existing"), F.col("text"), signal, F.col("n"))
+    assert [r[0] for r in df.select(load).collect()] == [rules.LCL, rules.FCL, rules.LCL, rules.FCL, rules.LCL, rules.LCL, rules.FCL]
+    votes = spark.createDataFrame([("NON-NEGOTIABLE SEA WAY BILL", "3"), ("SEA WAY BILL", "3"), ("DESTINATION O/EXPRESS", "1"), ("WITHOUT PRESENTATION OF ORIGINAL", None)], "text string, n string")
+    status = rules.release_status(F.lit(None).cast("string"), F.col("text"), F.col("n"), F.lit(False))
+    assert [r[0] for r in votes.select(status).collect()] == [rules.TELEX, rules.ORIGINAL, rules.TELEX, rules.ORIGINAL]
+
+
 def test_sinks(spark, tmp_path):
     current = {"op": spark.createDataFrame([(1, "a")], "id int, s string")}
     changes = {"op": spark.createDataFrame([(2, "b")], "id int, s string"), "cargo": spark.createDataFrame([(7, 1)], "id int, op int")}
     for _ in range(2):
         sinks.write_graph(current, changes, {"op": ["id"], "cargo": ["id"]}, str(tmp_path))
-        assert spark.read.parquet(f"{tmp_path}/op").count() == 2
+        assert sinks.read_graph(spark, str(tmp_path), "op").count() == 2
+        current = {n: sinks.read_graph(spark, str(tmp_path), n) for n in changes}  # the next run reads what this one wrote
     rec = spark.createDataFrame([(1, {"b": "1", "z": "2"}), (2, {"a": "3"})], "k int, m map<string,string>")
     assert sinks.wide_csv(rec, "k", "m", ["z"], str(tmp_path / "csv")) == ["k", "z", "a", "b"]
     h, c = spark.createDataFrame([(1, 10), (1, 11)], "m int, house_id int"), spark.createDataFrame([(1, 5)], "m int, container_id int")
