@@ -1,6 +1,8 @@
 """Corpus pipeline: five stages from raw documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows and reads them back.
+All stages read the named columns alone, so others may have any name and go no further; very long texts are read whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null or letterless texts) and fills in the language where it is not given."""
+    """Drops documents without a language (null or letterless texts) and fills in the language where it is not given.
+
+    A given language stays, whatever the network says; repeated rows are judged alike and all kept.
+    """
     model = langid.train(docs.where(crc_share(F.col("doc_id"), 3) != 1))
     found = langid.predict(docs.select(*COLUMNS), model)
     if model is None:  # nothing to learn from: whatever has letters stays
-        return found.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+        return found.where(langid.letters(F.col("text"))).select(*COLUMNS)
     kept = found.where(F.col("lang_pred") != langid.UNKNOWN)
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -46,19 +51,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces credentials in the texts by marks that tell live-looking ones from widely copied examples."""
+    """Replaces credentials in the texts by marks that tell live-looking ones from widely copied examples.
+
+    Every row stays. Null and empty texts, and texts without spans, stay as they are; of other rows text and n_chars change.
+    Spans that overlap are replaced as one; repeated rows change alike.
+    """
     return secrets.redact(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix does: none, once, or up to three times."""
+    """Takes each document as often as the mix does: none, once, or up to three times.
+
+    Documents without words (null, empty) are not taken. Rows without source are a source of their own. Which of the rows of
+    one source and size are taken follows a hash of the whole row, so reruns agree; rows that are equal are interchangeable.
+    """
     mixed = mixing.mix(docs.select(*COLUMNS), keep=COLUMNS)
     taken = mixed.where(F.col("copies") > 0)
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 1024 tokens."""
+    """Pieces of all documents with their places in sequences of 1024 tokens.
+
+    A null or empty text is one piece of the end id; longer documents are cut; rows that the mix repeated are packed one by
+    one, and rows of one doc_id can be told apart by their place alone.
+    """
     packed = packing.pack(docs.select("doc_id", "text"))
     return packed.select(F.col("row.doc_id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
