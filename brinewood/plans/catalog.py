@@ -7,35 +7,16 @@ log. The document layouts themselves are tested on fixtures of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brinewood.functions import dates, ids, numbers, text
 from brinewood.operators import dedup, diff, grid, link, lookup, pages, quality, reconcile, rollup, rules
 from brinewood.operators.shape import over_limits
+from brinewood.plans.registry import ORACLES, QUERIES, query, read
 from brinewood.streaming import audit, windows
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # ---- roll-ups and reconciliation -------------------------------------------------------------------------------
 
 
@@ -640,3 +621,6 @@ def quality_score_doc(spark, sf_dir):
     records = _verdicts(spark, sf_dir).join(docs, "doc_id").select(F.col("source").alias("doc"), F.col("doc_id").cast("string").alias("key"), "score", "passed")
     expected = docs.groupBy(F.col("source").alias("doc")).agg(F.count(F.lit(1)).alias("n_expected"))
     return quality.document_report(records, expected).drop("issues")
+
+
+from brinewood.plans import field_queries, record_queries  # noqa: E402, F401  (they register themselves)
