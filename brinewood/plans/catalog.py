@@ -36,12 +36,12 @@ def recon_totals(spark, sf_dir):
 
 @query("""
 WITH t AS (SELECT l_orderkey, round_even(sum(CASE WHEN l_quantity BETWEEN 0 AND 1000000 THEN l_quantity END), 3) AS q, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CASE WHEN n >= 2 THEN q ELSE 1.0::DOUBLE END AS quantity, coalesce(n, 0) AS n_children,
-  CASE WHEN n >= 2 THEN round_even(1.0::DOUBLE - q, 3) END AS quantity_difference
+SELECT o_orderkey, CASE WHEN n >= 2 THEN q ELSE (o_custkey % 40)::DOUBLE END AS quantity, coalesce(n, 0) AS n_children,
+  CASE WHEN n >= 2 THEN round_even((o_custkey % 40)::DOUBLE - q, 3) END AS quantity_difference
 FROM orders LEFT JOIN t ON o_orderkey = l_orderkey""")
 def master_rollup_overwrite(spark, sf_dir):
     """[AGG-01, AGG-02] Two children or more overwrite the parent's stated quantity."""
-    parents = read(spark, sf_dir, "orders").select("o_orderkey", F.lit(1.0).alias("quantity"))
+    parents = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).cast("double").alias("quantity"))
     children = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").alias("quantity"))
     totals = rollup.child_totals(children, "o_orderkey", ["quantity"], {"quantity": "packages"})
     return rollup.overwrite_totals(parents, totals, "o_orderkey", ["quantity"])
@@ -90,23 +90,20 @@ def unpivot_charges(spark, sf_dir):
     return rollup.unpivot_charges(lines, ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"])
 
 
-@query("""
-SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_quantity, l_linenumber) FILTER (l_returnflag = 'A') AS cbm,
-  string_agg(l_returnflag || '=' || (l_quantity::BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem
-WHERE (l_orderkey, l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1""")
+_CHARGE_GROUPS = """
+SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_quantity, (l_linenumber, l_quantity)) FILTER (l_returnflag = 'A') AS cbm,
+  string_agg(l_returnflag || '=' || (l_quantity::BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem GROUP BY 1"""
+
+
+@query(_CHARGE_GROUPS)
 def charge_groups(spark, sf_dir):
-    """[AGG-09] Lines of each parent in order, with the first measure given; as its SQL has it, without the lines that
-    share a number with another of their parent. `charge_groups_all_lines` takes those too."""
-    lines = read(spark, sf_dir, "lineitem")
-    one = lines.groupBy("l_orderkey", "l_linenumber").count().where("count = 1").drop("count")
-    return _charge_groups(lines.join(one, ["l_orderkey", "l_linenumber"]))
+    """[AGG-09] All lines of each parent in order, with the first measure given."""
+    return _charge_groups(read(spark, sf_dir, "lineitem"))
 
 
-@query("""
-SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_quantity, (l_linenumber, l_quantity)) FILTER (l_returnflag = 'A') AS cbm,
-  string_agg(l_returnflag || '=' || (l_quantity::BIGINT)::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag, l_quantity) AS lines FROM lineitem GROUP BY 1""")
+@query(_CHARGE_GROUPS)
 def charge_groups_all_lines(spark, sf_dir):
-    """[AGG-09] All lines of each parent in order, with the first measure given."""
+    """[AGG-09] The same under its former name."""
     return _charge_groups(read(spark, sf_dir, "lineitem"))
 
 
@@ -122,7 +119,7 @@ def _charge_groups(lines: DataFrame) -> DataFrame:
 @query("""
 SELECT p_brand, p_type, sum(l_quantity) AS quantity, count(*) AS n, count(DISTINCT l_orderkey) AS n_orders FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""")
 def aggregate_totals(spark, sf_dir):
-    """[AGG-03] Sums and distinct counts over children joined to a dimension."""
+    """Sums and distinct counts over children joined to a dimension."""
     joined = read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_quantity").join(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     return joined.groupBy("p_brand", "p_type").agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_orderkey").alias("n_orders"))
 
@@ -163,7 +160,7 @@ def incremental_open(spark, sf_dir):
 
 @query("SELECT event_type, sum((props::JSON ->> '$.k')::BIGINT)::BIGINT AS k_sum, count(*) AS n FROM events GROUP BY 1")
 def json_props_sum(spark, sf_dir):
-    """[RGX-26] A JSON field aggregated."""
+    """A JSON field aggregated."""
     k = F.get_json_object("props", "$.k").try_cast("long")
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(F.lit(1)).alias("n"))
 
@@ -233,7 +230,7 @@ def keyword_hits(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN contains(upper(text), 'LICENSE') AND contains(upper(text), 'PUBLIC') THEN 'license' WHEN contains(upper(text), 'TOKEN =') THEN 'secret'
   WHEN contains(upper(text), ' | ') THEN 'table' ELSE 'generic' END AS layout FROM documents""")
 def layout_router(spark, sf_dir):
-    """[WIN-01] The first layout whose marks a text has."""
+    """The first layout whose marks a text has."""
     layouts = [("license", ["license", "public"]), ("secret", ["token ="]), ("table", [" | "])]
     return read(spark, sf_dir, "documents").select("doc_id", pages.route(F.col("text"), layouts).alias("layout"))
 
@@ -280,7 +277,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_
 s AS (SELECT *, last_value(CASE WHEN length(line) <= 12 THEN i END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS section FROM l)
 SELECT doc_id, section::INT AS section, count(*) AS n_lines FROM s WHERE section IS NOT NULL GROUP BY 1, 2""")
 def running_section(spark, sf_dir):
-    """[WIN-13, WIN-14] Lines by the latest short line above them."""
+    """Lines by the latest short line above them."""
     lines = pages.split_lines(read(spark, sf_dir, "documents"), "doc_id", "text")
     running = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("section", F.last(F.when(F.length("line") <= 12, F.col("line_no")), True).over(running)).where("section is not null")
@@ -305,7 +302,7 @@ def kv_neighborhood(spark, sf_dir):
 
 @query("SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), '') AS lang FROM pages")
 def page_title(spark, sf_dir):
-    """[RGX-06] Tagged sections of raw markup."""
+    """Titles and languages of raw markup."""
     return read(spark, sf_dir, "pages").select(
         "page_id", text.blank_to_null(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), text.blank_to_null(F.regexp_extract("html", 'lang="([a-z]+)"', 1)).alias("lang")
     )
@@ -321,12 +318,18 @@ def page_split_explode(spark, sf_dir):
 
 @query("SELECT conv_id, count(DISTINCT turn) AS n_pages, count(DISTINCT role) AS n_roles FROM conversations GROUP BY 1 HAVING count(DISTINCT turn) >= 2 AND count(DISTINCT role) >= 2")
 def multi_page_detect(spark, sf_dir):
-    """[RGX-10] Documents with two pages and two distinct ids at least."""
+    """Documents with two pages and two distinct roles at least."""
     found = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_distinct("turn").alias("n_pages"), F.count_distinct("role").alias("n_roles"))
     return found.where("n_pages >= 2 and n_roles >= 2")
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT doc_id, line, i, greatest(0, (length(line) - 1) // 2000) AS hi FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+s AS (SELECT doc_id, i, k, length(substr(line, k * 2000 + 1, 2000)) AS n FROM (SELECT *, unnest(range(0, hi + 1)) AS k FROM l)),
+p AS MATERIALIZED (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY i, k) AS pos FROM s),
+w AS (SELECT doc_id, pos, n AS size, 0 AS chunk_no FROM p WHERE pos = 1
+  UNION ALL SELECT p.doc_id, p.pos, CASE WHEN w.size + 1 + p.n <= 2000 THEN w.size + 1 + p.n ELSE p.n END, w.chunk_no + CASE WHEN w.size + 1 + p.n <= 2000 THEN 0 ELSE 1 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.pos = w.pos + 1)
+SELECT doc_id, chunk_no::INT AS chunk_no, max(size)::INT AS n_chars FROM w GROUP BY 1, 2""")
 def chunk_pack(spark, sf_dir):
     """[STR-23] Lines of documents packed greedily into chunks of 2000 characters."""
     packed = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.chunk_pack(F.split("text", "\n"), 2000)).alias("chunk_no", "chunk"))
@@ -416,12 +419,12 @@ def reconcile_full_outer(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN s_name ELSE c_name END AS name, CASE WHEN length(s_name) > length(c_name) THEN s_name ELSE c_name END AS label,
-  CASE WHEN c_custkey % 3 = 0 THEN 'name=f' ELSE 'name=p' END AS provenance FROM customer JOIN supplier ON c_custkey = s_suppkey""")
+  CASE WHEN c_custkey % 3 <> 0 THEN 'name=p' WHEN s_name IS NOT NULL THEN 'name=f' END AS provenance FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey""")
 def precedence_merge(spark, sf_dir):
     """[RUL-14] Per-field precedence with provenance."""
     p = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"), F.col("c_name").alias("label")).alias("p")
     f = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), F.col("s_name").alias("label")).alias("f")
-    joined = p.join(f, F.col("c_custkey") == F.col("s_suppkey"))
+    joined = p.join(f, F.col("c_custkey") == F.col("s_suppkey"), "left")
     out = reconcile.reconcile_record(joined, {"name": "first", "label": "longer"})
     return out.select("c_custkey", "name", "label", F.concat(F.lit("name="), F.col("provenance")["name"]).alias("provenance"))
 
@@ -517,7 +520,7 @@ def field_diff(spark, sf_dir):
 WITH h AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 4)
 SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM h) AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
 def semi_anti_filter(spark, sf_dir):
-    """[FLT-08, SET-13] Existence and non-existence as semi and anti joins."""
+    """Existence and non-existence as semi and anti joins."""
     many = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").count().where("count > 4")
     owing = read(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey")
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -548,6 +551,26 @@ def date_formats(spark, sf_dir):
     )
 
 
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 6 WHEN 1 THEN '20' || strftime(o_orderdate, '%y-%m-%d') WHEN 4 THEN NULL WHEN 5 THEN CASE WHEN day(o_orderdate) <= 12 THEN strftime(make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)), '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m-%d') END ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day,
+  CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE END AS strict FROM orders""")
+def date_forms(spark, sf_dir):
+    """[NUM-09, NUM-10] Dates in texts: names on either side, years first, days and months that only one order allows, and
+    days that don't exist."""
+    k, at = F.col("o_orderkey") % 6, F.col("o_orderdate")
+    month = F.upper(F.date_format(at, "MMMM"))
+    x = (
+        F.when(k == 0, F.concat(F.lit("issued on "), F.date_format(at, "d "), month, F.date_format(at, ", yyyy")))
+        .when(k == 1, F.concat(month, F.date_format(at, " d, yy")))
+        .when(k == 2, F.date_format(at, "yyyy/MM/dd"))
+        .when(k == 3, F.date_format(at, "yyyy-MM-dd'T'HH:mm"))
+        .when(k == 4, F.concat(F.lit("31/02/"), F.date_format(at, "yyyy")))
+        .otherwise(F.date_format(at, "MM/dd/yyyy"))
+    )
+    strict = F.when(F.col("o_orderkey") % 2 == 0, F.upper(F.date_format(at, "dd-MMM-yyyy"))).otherwise("13/13/2020")
+    return read(spark, sf_dir, "orders").select("o_orderkey", dates.normalize_date(x).alias("day"), dates.strict_date(strict).alias("strict"))
+
+
 @query("""
 WITH b AS (SELECT o_orderkey, 'MSCU' || lpad((o_orderkey * 7919 % 1000000)::VARCHAR, 6, '0') AS body FROM orders),
 s AS (SELECT o_orderkey, body, list_sum([(CASE WHEN i <= 4 THEN [24, 30, 13, 32][i] ELSE substr(body, i, 1)::INT END) * (1 << (i - 1)) FOR i IN range(1, 11)]) % 11 % 10 AS d FROM b)
