@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from brinewood.functions.ids import format_container, likely_number
-from brinewood.functions.text import blank_to_null, digits
+from brinewood.functions.text import blank_to_null, digits, once
 
 
 def first_match(x: Column, *patterns: str, group: int = 1, keep=None) -> Column:
     """The first pattern whose first match is accepted."""
-    found = [blank_to_null(F.trim(F.regexp_extract(x, p, group))) for p in patterns]
-    return F.coalesce(*[F.when(keep(f), f) if keep else f for f in found])
+    found = [F.trim(F.regexp_extract(x, p, group)) for p in patterns]
+    return F.coalesce(*[once(f, lambda v: F.when((v != "") & keep(v), v)) if keep else blank_to_null(f) for f in found])
 
 
 def document_number(text: Column, customs_id: Column | None = None) -> Column:

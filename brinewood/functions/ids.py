@@ -67,13 +67,15 @@ def format_container(x: Column) -> Column:
 
 def likely_number(x: Column, customs_id: Column | None = None) -> Column:
     """[FLT-01] Whether a text may be a document number."""
-    c = F.upper(F.regexp_replace(F.trim(x), r"[\s\-]", ""))
-    alpha, numeric = c.rlike("^[A-Z]+$"), c.rlike("^[0-9]+$")
-    ok = F.length(c).between(5, 25) & ~c.isin(*NOT_NUMBERS) & ~is_container(c) & ~(numeric & (F.length(c) == 19)) & ~c.rlike("^0[0-9]{6,8}$")
-    if customs_id is not None:
-        ok = ok & ~F.coalesce(c == digits(customs_id), F.lit(False))
-    shape = F.when(alpha, F.lit(False)).when(numeric, F.length(c) <= 20).otherwise(c.rlike("[A-Z]") & c.rlike("[0-9]"))
-    return F.coalesce(ok & shape, F.lit(False))
+
+    def test(c: Column) -> Column:
+        numeric = c.rlike("^[0-9]+$")
+        ok = F.length(c).between(5, 25) & ~c.isin(*NOT_NUMBERS) & ~c.rlike(CONTAINER) & ~c.rlike("^(?:[0-9]{19}|0[0-9]{6,8})$")
+        if customs_id is not None:
+            ok = ok & ~F.coalesce(c == digits(customs_id), F.lit(False))
+        return ok & F.when(numeric, F.length(c) <= 20).otherwise(c.rlike("[A-Z]") & c.rlike("[0-9]"))
+
+    return F.coalesce(once(F.upper(F.regexp_replace(F.trim(x), r"[\s\-]", "")), test), F.lit(False))
 
 
 def likely_voyage(x: Column) -> Column:

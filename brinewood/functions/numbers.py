@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from brinewood.functions.text import match_text, once
+
 #: Greatest weight in kg, packages and volume in cbm.
 CAPS = {"weight": 500_000.0, "packages": 1_000_000.0, "volume": 100_000.0, "any": 100_000_000_000.0}
 
@@ -19,11 +21,15 @@ def parse_number(x: Column, profile: str = "plain") -> Column:
     european: points group, the comma is decimal. auto: the last of comma and point is decimal; a lone separator that
     three digits follow groups.
     """
-    t = F.regexp_replace(F.trim(x), " ", "")
+    if profile not in PROFILES:
+        raise ValueError(f"no number profile {profile!r}; there are {', '.join(PROFILES)}")
+    return once(F.regexp_replace(F.trim(x), " ", ""), lambda t: _read(t, profile))
+
+
+def _read(t: Column, profile: str) -> Column:
     if profile in ("plain", "signed"):
         n = F.regexp_extract(F.regexp_replace(t, ",", ""), r"(-?[0-9]+(?:\.[0-9]+)?)", 1)
-        n = n.try_cast("double")
-        return F.when(n >= 0, n) if profile == "signed" else F.abs(n)
+        return once(n.try_cast("double"), lambda v: F.when(v >= 0, v)) if profile == "signed" else F.abs(n.try_cast("double"))
     if profile == "decimal_comma":
         three = t.rlike(",[^,]{3}$")
         last = F.concat(F.regexp_replace(F.regexp_extract(t, "^(.*),[^,]*$", 1), ",", ""), F.lit("."), F.regexp_extract(t, ",([^,]*)$", 1))
@@ -36,14 +42,12 @@ def parse_number(x: Column, profile: str = "plain") -> Column:
         eu, us = F.translate(F.regexp_replace(t, r"\.", ""), ",", "."), F.regexp_replace(t, ",", "")
         lone_group = t.rlike(r"^[^,.]*[0-9]{1,3}(?:[,.][0-9]{3})+(?![0-9])[^,.]*$")
         t = F.when(comma & point, F.when(comma_last, eu).otherwise(us)).when(lone_group, F.regexp_replace(t, "[,.]", "")).when(comma, eu).otherwise(t)
-    else:
-        raise ValueError(f"no number profile {profile!r}; there are {', '.join(PROFILES)}")
     return F.regexp_extract(t, r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
 
 
 def capped(x: Column, measure: str = "any") -> Column:
     """[NUM-02, NUM-03] The number if it lies between 0 and the measure's cap."""
-    return F.when(x.between(0.0, CAPS[measure]), x)
+    return once(x, lambda v: F.when(v.between(0.0, CAPS[measure]), v))
 
 
 def tidy(x: Column, places: int = 3) -> Column:
@@ -79,8 +83,6 @@ def quantity_signature(description: Column, packages: Column, gross: Column, vol
     """[SET-07] The identity of a cargo row: its measures if it has any, else the start of its description."""
     some = packages.isNotNull() | gross.isNotNull() | volume.isNotNull()
     part = lambda x: F.coalesce(F.bround(x, 3).cast("decimal(20,3)").cast("string"), F.lit(""))
-    from brinewood.functions.text import match_text
-
     return F.when(some, F.concat_ws("|", F.lit("Q"), part(packages), part(gross), part(volume))).otherwise(F.concat(F.lit("D|"), F.substring(match_text(F.coalesce(description, F.lit(""))), 1, 120)))
 
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from brinewood.functions.text import blank_to_null, smart_truncate
 
 
+def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row: a generator stands between them and later steps, which would otherwise
+    repeat their expressions wherever they use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+
+
 def to_template(df: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
     """[PRJ-01, PRJ-11] Exactly the template's columns (name to type): missing ones null, blanks filled by defaults."""
     out = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brinewood.functions import fields, ids, numbers, parties, scored, text
+from brinewood.operators.shape import computed
 from brinewood.plans.registry import query, read
 
 _UPPER = "translate({0}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
@@ -105,16 +106,16 @@ def column_letters(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_quantity::INT::VARCHAR || CASE l_linenumber % 3 WHEN 0 THEN ' CARTON' WHEN 1 THEN ' PALLET' ELSE ' DRUM' END AS packages,
-  CASE WHEN l_linenumber % 2 = 0 THEN 'BAG' ELSE 'ROLL' END AS unit FROM lineitem""")
+SELECT o_orderkey, (o_custkey % 50 + 1)::VARCHAR || CASE o_orderkey % 3 WHEN 0 THEN ' CARTON' WHEN 1 THEN ' PALLET' ELSE ' DRUM' END AS packages,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'BAG' ELSE 'ROLL' END AS unit FROM orders""")
 def package_counts(spark, sf_dir):
     """[STR-19, WIN-07] Counts with units, from a value or its page, and the unit inside outer units."""
-    q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber") % 3
+    q, k = (F.col("o_custkey") % 50 + 1).cast("string"), F.col("o_orderkey") % 3
     value = F.when(k == 0, F.concat(q, F.lit(" ctns"))).when(k == 1, q).otherwise("")
     page = F.when(k == 1, F.concat(F.lit("IN ALL "), q, F.lit(" PALLETS"))).otherwise(F.concat(F.lit("TOTAL "), q, F.lit(" DRUMS")))
-    inner = F.when(F.col("l_linenumber") % 2 == 0, "BAGS").otherwise("ROLLS")
+    inner = F.when(F.col("o_orderkey") % 2 == 0, "BAGS").otherwise("ROLLS")
     body = F.concat(F.lit("2 PALLETS SAID TO CONTAIN "), q, F.lit(" "), inner)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scored.packages(value, page).alias("packages"), scored.package_unit(body).alias("unit"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scored.packages(value, page).alias("packages"), scored.package_unit(body).alias("unit"))
 
 
 _NOISE = r"regexp_replace({0}, '[|_\[\]{{}}~^]+', ' ', 'g')"
@@ -206,14 +207,14 @@ def quantity_signatures(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, round(l_quantity * 10 + 0.25, 2) AS gross, CASE WHEN l_linenumber % 2 = 0 THEN round(l_quantity + 0.5, 3) END AS volume, printf('%.2f', 100 + l_quantity) AS probe FROM lineitem""")
+SELECT o_orderkey, (o_custkey % 50) * 10 + 10.25::DOUBLE AS gross, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 50 + 1.5::DOUBLE END AS volume, printf('%.2f', 101.0 + o_custkey % 50) AS probe FROM orders""")
 def best_weights(spark, sf_dir):
     """[WIN-03, FLT-09, SRC-07] The labelled weight among others, volumes, and the first weight pattern."""
-    q = F.col("l_quantity")
+    q = (F.col("o_custkey") % 50 + 1).cast("double")
     gross = F.concat(F.lit("NET 7.00 KGS\nGROSS WEIGHT: "), F.format_string("%.2f", q * 10 + 0.25), F.lit(" KGS\nTEL 2000 KG"))
-    cubic = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("MEASUREMENT "), F.format_string("%.2f", q + 0.5), F.lit(" CBM\n90.00 CBM"))).otherwise("none")
+    cubic = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("MEASUREMENT "), F.format_string("%.2f", q + 0.5), F.lit(" CBM\n90.00 CBM"))).otherwise("none")
     page = F.concat(F.lit("about 5 kg, "), F.format_string("%.2f", 100 + q), F.lit(" KGS and 500 KGS"))
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scored.gross_weight(gross).alias("gross"), scored.volume(cubic).alias("volume"), fields.weight_probe(page).alias("probe"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", scored.gross_weight(gross).alias("gross"), scored.volume(cubic).alias("volume"), fields.weight_probe(page).alias("probe"))
 
 
 @query(f"""
@@ -342,8 +343,8 @@ def bill_fields(spark, sf_dir):
     """[RGX-01 to RGX-05, RGX-11] Numbers, codes, containers, route and measures of bills."""
     t = F.col("text")
     origin, destination = fields.route(t, ["Shanghai", "Port Said", "Said"])
-    box, m = F.get(fields.containers(t), F.lit(0)), fields.measures(t)
-    found = bills(spark, sf_dir).select(
+    box, m = F.col("box"), F.col("m")
+    found = computed(bills(spark, sf_dir), {"box": F.get(fields.containers(t), F.lit(0)), "m": fields.measures(t)}).select(
         "o_orderkey", fields.document_number(t).alias("number"), fields.child_number(t).alias("child"), fields.customs_id(t).alias("customs"), fields.tariff_codes(t).alias("tariff"), fields.voyage(t).alias("voyage"),
         origin.alias("origin"), destination.alias("destination"), F.regexp_replace(box["number"], "-", "").alias("container"), box["seal"].alias("seal"), box["type"].alias("kind"), m["packages"].alias("packages"), m["gross_kg"].alias("gross"), m["volume_cbm"].alias("volume"),
     )

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewood.functions import parties
-from brinewood.operators import dedup, diff, grid, layouts, link, lookup, pages, quality, reconcile, records, rollup, rules, shape
+from brinewood.operators import dedup, diff, grid, layouts, link, lookup, pages, quality, reconcile, records, rollup, rules, shape, validate
+from brinewood.plans.field_queries import bills
 from brinewood.plans.registry import query, read
 from brinewood.sources import readers, sinks
 from brinewood.streaming import audit
@@ -702,3 +703,106 @@ def issue_counts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("source is not null").select("doc_id", F.col("source").alias("doc"))
     judged = quality.judge(docs, F.array_compact(F.array(quality.issue(F.col("doc_id") % 2 == 1, "info", "odd"))))
     return judged.groupBy("doc").agg(F.count(F.lit(1)).alias("n_records"), F.count_if(F.size("issues") > 0).alias("n_odd"))
+
+
+# ---- layouts and the validator -----------------------------------------------------------------------------------
+
+
+def layout_texts(spark, sf_dir) -> DataFrame:
+    """docs(doc, kind, text): orders as one of five layouts."""
+    o = read(spark, sf_dir, "orders")
+    n = _text("o_orderkey")
+    head = F.concat(F.lit("B/L NO: ORD"), F.lpad(n, 8, "0"), F.lit("\nSHIPPER\nBlue Nile Trading\n5 Palm Street\nCONSIGNEE\nDelta Imports\n9 Canal Road\nNOTIFY PARTY\nSame as consignee\n"))
+    day = lambda k: F.date_format(F.date_add("o_orderdate", k), "dd/MM/yyyy")
+    kind = F.col("o_orderkey") % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("HOUSE BILL\nHBL NO: HB"), F.lpad(n, 7, "0"), F.lit("\n"), head, F.lit("FREIGHT COLLECT\nPORT OF DISCHARGE: Port Said\nsailed "), day(-9), F.lit(" on board "), day(0), F.lit("\nissued "), day(1)))
+        .when(kind == 1, F.concat(F.lit("SEA WAYBILL of ARKAS\n"), head, F.lit("Booking No.\nBK"), n, F.lit("99999\nTOTAL : "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(" PALLETS 1,250.5 KGS\nIMPORTER TAX ID: 123456"), F.lpad(n, 6, "0")))
+        .when(kind == 2, F.concat(F.lit("BILL OF LADING\n"), head, F.lit("VESSEL  PORT OF LOADING  PORT OF DISCHARGE  DELIVERY\nSEA "), n, F.lit("  Shanghai  Port Said  Cairo\nCFS / CFS\nFREIGHT PAYABLE AT: Cairo")))
+        .when(kind == 3, F.concat(F.lit("FREIGHT DEBIT NOTE\nHOUSE NO: H-"), n, F.lit("1000\nMASTER NO: M-"), n, F.lit("1000\nSHIPMENT REF: S-"), n, F.lit("\nterms FOB\nPACKS: "), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit("\nREBATE")))
+        .otherwise(F.concat(F.lit("DRAFT\nSHIPPER\nBlue Nile Trading\nMARKS: ISA"), F.lpad(n, 6, "0"), F.lit("\n"), (F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(" ROLLS\n1,300.5 (KGS)\n2.25 (CBM)\nTHREE(3)\n***UNSTACKABLE***")))
+    )
+    return o.select(F.col("o_orderkey").alias("doc"), text.alias("text"))
+
+
+@query("""
+WITH o AS (SELECT *, o_orderkey % 5 AS k, o_orderkey % 90 + 1.0::DOUBLE AS n, 'ORD' || lpad(o_orderkey::VARCHAR, 8, '0') AS ord, 'ISA' || lpad(o_orderkey::VARCHAR, 6, '0') AS isa FROM orders)
+SELECT o_orderkey AS doc, ['house', 'sea_waybill', 'master', 'debit_note', 'draft'][k + 1] AS parser, CASE k WHEN 3 THEN 'M-' || o_orderkey || '1000' WHEN 4 THEN isa ELSE ord END AS parent_no, CASE k WHEN 0 THEN 'HB' || lpad(o_orderkey::VARCHAR, 7, '0') WHEN 3 THEN 'H-' || o_orderkey || '1000' WHEN 4 THEN isa END AS child_no,
+  CASE k WHEN 1 THEN 'BK' || o_orderkey || '99999' WHEN 2 THEN ord WHEN 3 THEN 'S-' || o_orderkey WHEN 4 THEN isa END AS booking_no, CASE k WHEN 0 THEN 300000001 WHEN 1 THEN 300000000 WHEN 2 THEN 300000001 WHEN 3 THEN 300000000 END::INT AS load_type, CASE k WHEN 0 THEN 'COLLECT' WHEN 1 THEN 'PREPAID' END AS freight_term,
+  CASE WHEN k IN (1, 3, 4) THEN n END AS packages, CASE k WHEN 1 THEN 1250.5 WHEN 4 THEN 1300.5 END::DOUBLE AS gross_kg, CASE WHEN k = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS on_board_date, CASE WHEN k = 0 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') END AS issue_date,
+  CASE k WHEN 0 THEN 'PORT SAID' WHEN 2 THEN 'PORT SAID' END AS destination, CASE WHEN k = 2 THEN 'SEA ' || o_orderkey END AS vessel, CASE k WHEN 0 THEN 'PORT SAID' WHEN 2 THEN 'CAIRO' END AS delivery, CASE WHEN k = 1 THEN 'ARKAS DENIZCILIK VE NAKLIYAT A.S.' END AS carrier, CASE WHEN k = 1 THEN '123456' || lpad(o_orderkey::VARCHAR, 6, '0') END AS importer_tax,
+  CASE WHEN k = 3 THEN 'FOB' END AS incoterm, CASE WHEN k = 3 THEN 'REBATE (debit note charge) | Shipment Ref: S-' || o_orderkey || ' | House H-' || o_orderkey || '1000 / Master M-' || o_orderkey || '1000' END AS description, CASE WHEN k = 4 THEN '3' END AS originals, CASE WHEN k = 4 THEN 'UNSTACKABLE' END AS notes,
+  CASE WHEN k = 0 THEN '9 Canal Road' END AS notify_addr, CASE WHEN k = 2 THEN 'CAIRO' END AS payable_at, CASE WHEN k = 2 THEN 'CFS/CFS' END AS service FROM o""")
+def layout_records(spark, sf_dir):
+    """[WIN-01, RGX-16 to RGX-20, RGX-24] Five layouts told apart, each with its own columns."""
+    best = layouts.registry(["Shanghai", "Port Said"]).best(layout_texts(spark, sf_dir))
+    names = ("parent_no", "child_no", "booking_no", "load_type", "freight_term", "packages", "gross_kg", "on_board_date", "issue_date", "destination", "vessel", "delivery", "carrier", "importer_tax", "incoterm", "description", "originals", "notes", "notify_addr", "payable_at", "service")
+    return best.select("doc", "parser", *[F.col(f"record.{c}").alias(c) for c in names])
+
+
+@query("""
+SELECT o_custkey AS doc, o_orderkey::INT AS page, 'ISA' || lpad(o_orderkey::VARCHAR, 6, '0') AS number, (o_orderkey % 90 + 1)::DOUBLE AS packages FROM orders WHERE o_orderkey % 5 = 4""")
+def draft_pages(spark, sf_dir):
+    """[RGX-19] A record a page of a draft, the first of those that repeat an id."""
+    texts = layout_texts(spark, sf_dir).where("doc % 5 = 4").join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("doc") == F.col("o_orderkey"))
+    page = lambda n: F.concat(F.lit("--- PAGE "), n.cast("string"), F.lit(" ---\n"), "text", F.lit("\n"))
+    docs = texts.groupBy(F.col("o_custkey").alias("d")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(page(F.col("o_orderkey")), page(F.col("o_orderkey") + 50_000_000)))), "").alias("text"))
+    return layouts.draft_records(docs.select(F.col("d").alias("doc"), "text")).select("doc", "page", "number", "packages")
+
+
+@query("""
+SELECT o_custkey AS doc, string_agg('REF' || o_orderkey || '0000', ',' ORDER BY o_orderkey) AS refs FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1""")
+def attached_references(spark, sf_dir):
+    """[RGX-22] References of the attached lists of documents, not of their other pages."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    page = F.concat(F.lit("--- PAGE "), _text("o_orderkey"), F.lit(" ---\n"), F.when(F.col("o_orderkey") % 2 == 0, "Attached  list\n").otherwise("cargo\n"), F.lit("Ref"), _text("o_orderkey"), F.lit("0000, ref"), _text("o_orderkey"), F.lit("0000\n"))
+    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", page.alias("p")))), lambda x: x["p"]), "").alias("text"))
+    return layouts.attached_references(docs).select("doc", F.array_join("references", ",").alias("refs"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Delta Imports' ELSE 'Nile Stores' END AS consignee, CASE WHEN o_orderkey % 3 = 0 THEN '9 Canal Road' ELSE '5 Palm Street' END AS consignee_addr, CASE WHEN o_orderkey % 2 = 0 THEN 'Blue Nile Trading' END AS shipper FROM orders""")
+def repaired_parties(spark, sf_dir):
+    """[RGX-20] Consignees that are form labels or have no address give way to the notify party."""
+    k = F.col("o_orderkey") % 3
+    rows = read(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k == 0, "Delta Imports").when(k == 1, "CONSIGNEE:").otherwise("Delta Imports").alias("consignee"), F.when(k == 2, " ").otherwise("9 Canal Road").alias("consignee_addr"),
+        F.lit("Nile Stores").alias("notify"), F.lit("5 Palm Street").alias("notify_addr"), F.when(F.col("o_orderkey") % 2 == 0, "Blue Nile Trading").otherwise("Notify party").alias("shipper"),
+    )
+    return layouts.repair_parties(rows).select("o_orderkey", "consignee", "consignee_addr", "shipper")
+
+
+_BILL = """SELECT o_orderkey, 'ORD' || lpad(o_orderkey::VARCHAR, 8, '0') AS parent_no, 'HS' || o_custkey || '9000' AS child_no, lpad(o_orderkey::VARCHAR, 19, '7') AS customs_id, CASE WHEN lpad(o_orderkey::VARCHAR, 6, '8') = '392410' THEN '392410' ELSE lpad(o_orderkey::VARCHAR, 6, '8') || '|392410' END AS tariff_code,
+  'V' || o_custkey || 'W' AS voyage, CASE WHEN o_orderstatus = 'F' THEN 'PREPAID' ELSE 'COLLECT' END AS freight_term, strftime(o_orderdate, '%Y-%m-%d') AS issue_date, o_orderkey % 3 = 0 AS given FROM orders"""
+
+
+@query(f"""
+WITH b AS ({_BILL}) SELECT o_orderkey, parent_no, child_no, customs_id, tariff_code, CASE WHEN given THEN 'GIVEN STAR' ELSE 'SEA STAR' END AS vessel, voyage, 'SHANGHAI' AS origin, CASE WHEN given THEN 'Cairo' ELSE 'PORT SAID' END AS destination, issue_date, '12 PALLET' AS packages, CASE WHEN given THEN '1250.5' END AS gross_kg,
+  'SL' || lpad(o_orderkey::VARCHAR, 5, '0') AS seal_no, '40HC' AS container_type, '300000001' AS load_type, freight_term, 300000000::INT AS direction, 886150001 - (freight_term = 'PREPAID')::INT AS booking_code, 0::INT AS teu,
+  CASE WHEN given THEN 8 ELSE 11 END AS n_warnings FROM b""")
+def validated_records(spark, sf_dir):
+    """[RUL-01, RGX-23] Records filled and corrected from their texts, with a warning for each change."""
+    return _validated(spark, sf_dir, False)
+
+
+@query(f"""
+WITH b AS ({_BILL}) SELECT o_orderkey, parent_no, child_no, customs_id, tariff_code, CASE WHEN given THEN 'GIVEN STAR' ELSE 'SEA STAR' END AS vessel, voyage, 'SHANGHAI' AS origin, 'ANCHORED' AS destination, issue_date, '12 PALLET' AS packages, CASE WHEN given THEN '1250.5' END AS gross_kg,
+  'SL' || lpad(o_orderkey::VARCHAR, 5, '0') AS seal_no, '40HC' AS container_type, '300000001' AS load_type, freight_term, 300000000::INT AS direction, 886150001 - (freight_term = 'PREPAID')::INT AS booking_code, 0::INT AS teu,
+  CASE WHEN given THEN 8 ELSE 11 END AS n_warnings FROM b""")
+def validated_by_page(spark, sf_dir):
+    """[RUL-16] Records validated, corrected by their pages, and validated again: the second time adds no warning."""
+    return _validated(spark, sf_dir, True)
+
+
+def _validated(spark, sf_dir, twice: bool) -> DataFrame:
+    given = F.col("o_orderkey") % 3 == 0
+    rows = bills(spark, sf_dir).select(
+        _text("o_orderkey").alias("doc"), F.lit(1).alias("page"), "text", F.when(given, " GIVEN STAR;").otherwise("ZERO").alias("vessel"), F.when(given, "Cairo").alias("destination"), F.when(given, "1250,50").alias("gross_kg"), F.lit("Alexandria").alias("origin"), F.lit(3).alias("teu"),
+    )
+    options = {"ports": ["Shanghai", "Port Said"], "home": ("PORT SAID", "ALEXANDRIA", "CAIRO", "ANCHORED")}
+    if twice:
+        done = validate.validate_by_page(rows, rows.select("doc", "page", F.lit("ANCHORED").alias("destination")), ["destination"], **options)
+    else:
+        done = validate.validate(rows, **options)
+    names = ("parent_no", "child_no", "customs_id", "tariff_code", "vessel", "voyage", "origin", "destination", "issue_date", "packages", "gross_kg", "seal_no", "container_type", "load_type", "freight_term", "direction", "booking_code", "teu")
+    return done.select(F.col("doc").cast("long").alias("o_orderkey"), *names, F.size("warnings").alias("n_warnings"))
