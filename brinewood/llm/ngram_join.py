@@ -346,13 +346,14 @@ def pairs_of_small(rows: DataFrame, threshold: int) -> DataFrame:
 
 def cells(rows: DataFrame, key: str, node: str, names: list[str]) -> DataFrame:
     """All pairs of rows of one key, each once, with columns `names` as x_a and x_b: rows are dealt into blocks, and a cell
-    holds the pairs of two blocks, so that no task holds a key. Pairs within a block come in the order of `node`."""
+    holds the pairs of two blocks, so that no task holds a key. Pairs within a block come in the order of `node`. The sides
+    are merged: their lists compress so well that Spark would take them for small enough to broadcast."""
     last = F.ceil(F.col("k") / CELL) - 1
     own = F.pmod(F.xxhash64(F.lit("cell"), node), last + 1)
     rows = rows.withColumn("_block", own.cast("long"))
     a = rows.select(key, F.col("_block").alias("i"), F.explode(F.sequence("_block", last.cast("long"))).alias("j"), *[F.col(c).alias(f"{c}_a") for c in names])
     b = rows.select(key, F.explode(F.sequence(F.lit(0).cast("long"), "_block")).alias("i"), F.col("_block").alias("j"), *[F.col(c).alias(f"{c}_b") for c in names])
-    return a.join(b, [key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"{node}_a") < F.col(f"{node}_b")))
+    return a.join(b.hint("merge"), [key, "i", "j"]).where((F.col("i") < F.col("j")) | (F.col(f"{node}_a") < F.col(f"{node}_b")))
 
 
 def pairs_of_large(rows: DataFrame, threshold: int) -> DataFrame:
@@ -362,7 +363,7 @@ def pairs_of_large(rows: DataFrame, threshold: int) -> DataFrame:
     first list that both have, and only if what both share there and elsewhere is enough.
     """
     own = rows.groupBy(F.col("grp").alias("g")).agg(F.array_sort(F.collect_list(F.struct("lid", "w"))).alias("own"))
-    rows = rows.join(own, F.col("grp") == F.col("g")).withColumn("ids", F.transform("own", lambda x: x["lid"]))
+    rows = rows.join(own.hint("merge"), F.col("grp") == F.col("g")).withColumn("ids", F.transform("own", lambda x: x["lid"]))
     both = cells(rows, "lid", "grp", ["grp", "n", "large", "small", "root", "own", "ids"])
     most = F.least(F.col("large_a") + F.col("small_a"), F.col("large_b") + F.col("small_b"))
     shared = F.aggregate(F.filter("own_a", lambda x: F.array_contains("ids_b", x["lid"])), F.least("small_a", "small_b"), lambda acc, x: acc + x["w"])
