@@ -72,6 +72,7 @@ def validate(records: DataFrame, *, ports: list[str], home: tuple[str, ...]) ->
     base = base.withColumns({c: clean_value(F.col(c)) for c, kind in RECORD.items() if kind == "string" and c not in ("doc", "text")})
     text = F.col("text")
     probed = computed(with_common(base, ports, "_f_"), {"_f_page_no": fields.page_number_id(text), "_f_hazard": fields.hazard(text), "_f_packages": scored.packages(F.col("packages"), text)})
+    probed = computed(probed, {"_f_serial": form_serial(F.col("parent_no"), text), "_f_own_serial": form_serial(F.col("_f_parent_no"), text)})
     c = Chain(probed)
     f = lambda name: F.col(f"_f_{name}")
     role = F.coalesce("role", F.lit("plain"))
@@ -80,8 +81,8 @@ def validate(records: DataFrame, *, ports: list[str], home: tuple[str, ...]) ->
 
     c.fill("customs_id", f("customs_id"), plain)
     c.put("parent_no", f("page_no"), f("page_no").isNotNull() & ~draft)
-    c.drop("parent_no", form_serial(F.col("parent_no"), text) & f("page_no").isNull(), "parent_no dropped: a form's or register's number")
-    c.fill("parent_no", f("parent_no"), ~form_serial(f("parent_no"), text))
+    c.drop("parent_no", f("serial") & f("page_no").isNull(), "parent_no dropped: a form's or register's number")
+    c.fill("parent_no", f("parent_no"), ~f("own_serial"))
     c.put("packages", f("packages"), plain & ~header & f("packages").isNotNull())
     c.fill("child_no", f("child_no"))
     c.drop("child_no", alnum_upper(F.col("child_no")) == alnum_upper(F.col("parent_no")), "child_no dropped: the parent's number")

@@ -360,7 +360,7 @@ def dedupe_split_duplicates(spark, sf_dir):
 
 @query("SELECT source, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id, max(n_chars) AS n_chars FROM documents GROUP BY 1")
 def keep_best_by_score(spark, sf_dir):
-    """[WIN-02, WIN-06] The longest document of each source."""
+    """[WIN-02, WIN-06, WIN-09, WIN-11] The longest document of each source."""
     docs = read(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return dedup.keep_best(docs, ["source"], [F.col("n_chars"), -F.col("doc_id")])
 
@@ -394,7 +394,7 @@ def duplicate_groups(spark, sf_dir):
 SELECT coalesce(o.o_orderkey, c.k) AS o_orderkey, coalesce(c.s, o.o_orderstatus) AS o_orderstatus, coalesce(c.p, o.o_totalprice) AS o_totalprice FROM orders o
 FULL JOIN (SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey ELSE o_orderkey + 100000000 END AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'X' END AS s, o_totalprice + 1 AS p FROM orders WHERE o_orderstatus = 'P') c ON o.o_orderkey = c.k""")
 def upsert_merge(spark, sf_dir):
-    """[SET-08, SNK-01] Changes merged in: updates, null changes that keep, and inserts."""
+    """[SET-08, SNK-01 to SNK-03] Changes merged in: updates, null changes that keep, and inserts."""
     orders = read(spark, sf_dir, "orders")
     urgent, low = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"
     changes = orders.where("o_orderstatus = 'P'").select(
@@ -497,7 +497,7 @@ def orphan_adoption(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, c_mktsegment) AS label FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
 def parent_inherit_fill(spark, sf_dir):
-    """[JN-25] Blank columns filled from the parent."""
+    """[JN-24 to JN-26] Blank columns filled from the parent."""
     child = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("label"))
     parent = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"))
     return reconcile.inherit(child, parent, F.col("c.o_custkey") == F.col("p.c_custkey"), ["label"])
@@ -509,7 +509,7 @@ b AS (SELECT o_orderkey, unnest(['o_orderstatus', 'o_orderpriority']) AS path, u
 SELECT o_orderkey, path, sent, saved, CASE WHEN saved IS NULL THEN 'not_saved' WHEN sent IS NULL THEN 'extra' WHEN sent = saved THEN 'saved' ELSE 'different' END AS status
 FROM (SELECT * FROM a WHERE sent IS NOT NULL) FULL JOIN (SELECT * FROM b WHERE saved IS NOT NULL) USING (o_orderkey, path)""")
 def field_diff(spark, sf_dir):
-    """[JN-23, PRJ-04] Two versions of records compared leaf by leaf."""
+    """[JN-23, PRJ-04, DQ-03] Two versions of records compared leaf by leaf."""
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     sent = orders.withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")))
     saved = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5 == 0, "Z").when(F.col("o_orderkey") % 11 != 0, F.col("o_orderstatus")))

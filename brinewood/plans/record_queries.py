@@ -506,6 +506,15 @@ def adopted_by_evidence(spark, sf_dir):
     return link.adopt_by_evidence(side("P"), side("F")).select("payload_id", "operation_id")
 
 
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN array_to_string([c_name || ' Trading Co. (Nile Group)', c_name || ' Trading Co.', 'Nile Group', 'Hinted', c_name || ' Trading (Nile Group)', replace(c_name, '#', ' ') || ' Trading', replace(c_name, '#', ' ')], '|')
+  ELSE array_to_string([c_name, replace(c_name, '#', ' ')], '|') END AS variants FROM customer""")
+def name_variants(spark, sf_dir):
+    """[JN-06] Alternates of names: brackets, hints, no legal forms, first words; each once."""
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit("  Trading Co. (Nile Group)"))).otherwise(F.col("c_name"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(lookup.search_variants(name, {"nile group": ["Hinted"]}), "|").alias("variants"))
+
+
 @query("""
 WITH o AS (SELECT o_orderkey AS id, o_orderpriority || o_custkey % 50 AS number, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey % 3 END AS parent_id FROM orders), q AS (SELECT c_custkey AS q, '5-LOW' || c_custkey % 60 AS number, c_custkey % 3 AS master_id FROM customer)
 SELECT q.q, arg_min(o.id, (o.parent_id IS NULL, o.id)) AS id FROM q LEFT JOIN o ON q.number = o.number AND (o.parent_id IS NULL OR o.parent_id = q.master_id) GROUP BY 1""")
