@@ -16,7 +16,9 @@ from brinewood.plans.registry import query, read
 from brinewood.sources import readers, sinks
 from brinewood.streaming import audit
 
-_NONE = F.lit(None)
+
+def _none() -> Column:
+    return F.lit(None)
 
 
 def _text(c: str) -> Column:
@@ -283,7 +285,7 @@ SELECT o_orderkey::VARCHAR AS master_no, o_custkey::VARCHAR AS vessel, 'C1' AS c
 def flattened_operations(spark, sf_dir):
     """[SRC-11] Nested documents as one row a child; the first container alone, a parent without children one row."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct()
-    houses = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(_text("l_linenumber").alias("no"), _NONE.cast("string").alias("consignee"), F.col("l_quantity").cast("int").alias("packages"))).alias("houses"))
+    houses = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(_text("l_linenumber").alias("no"), _none().cast("string").alias("consignee"), F.col("l_quantity").cast("int").alias("packages"))).alias("houses"))
     seal = F.when(F.col("o_orderkey") % 2 == 0, "S1")
     boxes = F.array(F.struct(F.lit("C1").alias("no"), seal.alias("seal")), F.struct(F.lit("C2").alias("no"), F.lit("S2").alias("seal")))
     docs = read(spark, sf_dir, "orders").join(houses, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(_text("o_orderkey").alias("master_no"), _text("o_custkey").alias("vessel"), "houses", boxes.alias("containers"))
@@ -339,7 +341,7 @@ def deep_leaves(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag").distinct()
     item = F.struct(F.col("l_linenumber").alias("no"), F.col("l_returnflag").alias("flag"))
     docs = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    flags = lambda x: F.array(F.struct(_NONE.cast("string").alias("f")), F.struct(x["flag"].alias("f")))
+    flags = lambda x: F.array(F.struct(_none().cast("string").alias("f")), F.struct(x["flag"].alias("f")))
     docs = docs.select("l_orderkey", F.transform("x", lambda x: F.struct(x["no"].alias("no"), flags(x).alias("flags"))).alias("lines"))
     return diff.flatten(docs, "l_orderkey").where("value is not null")
 
@@ -672,10 +674,10 @@ SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 886150000 ELSE 886150001 E
 def rule_packs(spark, sf_dir):
     """[RUL-07, UDF-03] The rule pack applied twice, and switched off."""
     o = read(spark, sf_dir, "orders")
-    none = _NONE.cast("string")
+    none = _none().cast("string")
     rows = o.select(
         "o_orderkey", F.when(F.col("o_orderstatus") == "F", "PREPAID").otherwise("CC").alias("freight_term"), none.alias("load_type"), F.when(F.col("o_orderkey") % 2 == 0, "LCL").otherwise("FULL CONTAINER LOAD").alias("text"), none.alias("description"),
-        none.alias("parent_no"), none.alias("child_no"), F.lit(False).alias("consolidated"), F.lit(1).alias("n_containers"), F.lit(3).alias("teu"), _NONE.cast("int").alias("booking_code"), none.alias("payable_at"),
+        none.alias("parent_no"), none.alias("child_no"), F.lit(False).alias("consolidated"), F.lit(1).alias("n_containers"), F.lit(3).alias("teu"), _none().cast("int").alias("booking_code"), none.alias("payable_at"),
     )
     child = F.lit(True)
     done = rules.apply_pack(rules.apply_pack(rows, is_child=child), is_child=child)
