@@ -1,12 +1,8 @@
 """Operators that have to do the whole job: rows that tie, names that only variants or containment meet."""
 
-import random
 import re
-from itertools import combinations
 from pathlib import Path
 
-import corpus_pipeline
-from brinewood.llm import packing
 from brinewood.operators import lookup, rollup
 
 
@@ -19,28 +15,6 @@ def test_charge_groups_keep_lines_that_repeat_a_number(spark):
         assert [(x.n, x.term, x.amount) for x in r.lines] == [(1, "A", 2.0), (1, "A", 2.0), (1, "A", 7.0), (2, "B", 1.0)]
 
 
-def test_packing_trades_until_none_is_left_in_a_full_block():
-    rng = random.Random(6)
-    for draw, most in ((lambda: rng.choice([300, 400, 500, 520]), 1.05), (lambda: rng.randint(180, 300), 1.01)):
-        sizes = [draw() for _ in range(packing.BLOCK)]
-        bins = packing.pack_block(sizes)
-        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
-        fill = [sum(sizes[i] for i in b) for b in bins]
-        least = packing.least_bins(sizes, packing.LENGTH)
-        assert max(fill) <= packing.LENGTH and least <= len(bins) <= least * most
-        if len(bins) == least:
-            continue
-        under = [(fill[b], sorted(sizes[i] for i in bins[b])) for b in range(len(bins)) if fill[b] < packing.LENGTH]
-        shapes = {(f, tuple(x)) for f, x in under}
-        for f, own in shapes:
-            for g, other in shapes:
-                if g < f:
-                    room = packing.LENGTH - f
-                    one = [x - y for x in other for y in (0, *own)]
-                    two = [sum(x) - y for x in combinations(other, 2) for y in own]
-                    assert not any(0 < gain <= room for gain in one + two)
-
-
 def test_fuzzy_lookup_meets_names_inside_others_and_variants(spark):
     dim = spark.createDataFrame([(1, "Portsaid"), (2, "ABC Co"), (3, "Zeta Trading"), (4, "x9"), (5, None), (6, "--")], "id int, name string")
     names = [(1, "SAID"), (2, "AB"), (3, "Foo Group"), (4, "Qx9q"), (5, None), (6, "nobody"), (7, "PORT SAID EAST"), (8, "."), (9, "Nobody (Zeta Trading)")]
@@ -55,19 +29,10 @@ def test_fuzzy_lookup_meets_names_inside_others_and_variants(spark):
     assert got == {p[0]: p[1] for p in pairs}
 
 
-def test_near_duplicates_judges_rows_not_ids(spark):
-    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("amber", "basil", "cedar"))
-    # 2 has a copy of 1 and a text of its own, 3 two texts of its own, 4 one row twice
-    given = [(1, one), (2, one), (2, two), (3, three), (3, three.upper() + " " + two.upper().replace("BASIL", "DUNE")), (4, "zinc yarrow"), (4, "zinc yarrow"), (5, ""), (5, None)]
-    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
-    assert sorted(kept, key=str) == sorted({x for x in given if x != (2, one)}, key=str)
-
-
 def test_docstrings_claim_no_survey_id_that_is_not_built():
-    root = Path(corpus_pipeline.__file__).parent
+    root = Path(__file__).parent.parent
     claimed = " ".join(re.findall(r"\[([A-Z]{2,3}-\d\d[^\]]*)\]", "".join(p.read_text() for p in root.glob("brinewood/**/*.py"))))
     for first, last in re.findall(r"([A-Z]{3}-\d\d) to ([A-Z]{3}-\d\d)", claimed):
         claimed += "".join(f" {first[:4]}{i:02}" for i in range(int(first[4:]), int(last[4:]) + 1))
-    missing = ["RUL-01", "RUL-16", *(f"RGX-{i}" for i in (16, 17, 18, 19, 20, 24))]
+    missing = ["JN-15", "STM-04"]
     assert not [x for x in missing if x in claimed]
