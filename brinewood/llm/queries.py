@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from brinewood.llm import ann, chat, langid, media, mixing, ngram_join, packing, quality, secrets, sharding
+from brinewood.llm import ann, chat, langid, media, mixing, ngram_join, packing, pieces, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_nearest": ann.op9_nearest,
     "op10_chat_roles": chat.op10_chat_roles,
+    "op11_sentencepiece": pieces.op11_sentencepiece,
 }
 ORACLES = {"op1_secret_scan": secrets.ORACLE}
