@@ -1,6 +1,6 @@
 """Queries of the corpus operators, and their SQL where SQL can express them."""
 
-from brinewood.llm import ann, chat, langid, media, mixing, ngram_join, packing, pieces, quality, secrets, sharding
+from brinewood.llm import ann, chat, filters, langid, media, mixing, ngram_join, packing, pieces, quality, repair, secrets, sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_nearest": ann.op9_nearest,
     "op10_chat_roles": chat.op10_chat_roles,
     "op11_sentencepiece": pieces.op11_sentencepiece,
+    "op12_filter_audit": filters.op12_filter_audit,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
-ORACLES = {"op1_secret_scan": secrets.ORACLE}
+ORACLES = {"op1_secret_scan": secrets.ORACLE, "op12_filter_audit": filters.ORACLE}
