@@ -140,8 +140,8 @@ numbered as (select row_number() over () as r, * from failed),
 steps as (
   select part, filter_order, s as step, substr(filter_order, s, 1) as l, r, good, toxic,
     f[substr(filter_order, s, 1)] as fails,
-    len(list_filter(range(1, s), x -> f[substr(filter_order, x, 1)])) > 0 as gone,
-    len(list_filter(['A','B','C','D','E'], x -> f[x])) as every
+    len(list_filter(range(1, s), lambda x: f[substr(filter_order, x, 1)])) > 0 as gone,
+    len(list_filter(['A','B','C','D','E'], lambda x: f[x])) as every
   from numbered, orders, unnest([1, 2, 3, 4, 5]) as u(s)
 ),
 sums as (
