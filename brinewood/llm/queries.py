@@ -17,4 +17,4 @@ QUERIES = {
     "op12_filter_audit": filters.op12_filter_audit,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
-ORACLES = {"op1_secret_scan": secrets.ORACLE, "op12_filter_audit": filters.ORACLE}
+ORACLES = {"op1_secret_scan": secrets.ORACLE, "op12_filter_audit": filters.ORACLE, "op13_conversation_repair": repair.ORACLE}

@@ -434,3 +434,84 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = every.join(short.unionByName(long), F.col("conv_id").eqNullSafe(F.col("conv")), "left")
     zeros = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in COUNTS]
     return out.select("conv_id", *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The same in DuckDB SQL: weights are text, cost in ten digits and then edits, so that the least text is the least
+    weight. Row symbols and two insertion steps after each are folded over the best weights of the four grammar states."""
+
+    def plus(weight: str, cost: str, label: str) -> str:
+        return f"lpad((substr({weight}, 1, 10)::bigint + {cost})::varchar, 10, '0') || substr({weight}, 11) || '{label}'"
+
+    far = "'9000000000'"
+    drops = [plus(f"acc[{q}]", "4", "D") for q in (1, 2, 3, 4)]
+    after = {3: (1, 2, 4), 4: (3,)}
+    late = "if(upper(x) = x, 3, 0)"
+
+    def kept(q: int, initial: str) -> str:
+        return f"if(lower(x) = '{initial}', least({', '.join(plus(f'acc[{p}]', late, 'K') for p in after.get(q, (1,)))}), {far})"
+
+    def changed(q: int) -> str:
+        return f"least({', '.join(plus(f'acc[{p}]', f'3 + {late}', 'R') for p in after[q])})"
+
+    row = f"[{drops[0]}, least({drops[1]}, {kept(2, 's')}), least({drops[2]}, {kept(3, 'u')}, {changed(3)}), least({drops[3]}, {kept(4, 'a')}, {changed(4)})]"
+    to_u = f"[acc[1], acc[2], least(acc[3], {', '.join(plus(f'acc[{p}]', '3', 'I') for p in after[3])}), acc[4]]"
+    to_a = f"[acc[1], acc[2], acc[3], least(acc[4], {plus('acc[3]', '3', 'I')})]"
+    step = f"case x when '+' then {to_u} when '-' then {to_a} when 'x' then [{', '.join(drops)}] else {row} end"
+    return rf"""
+with crc as (select list(list_reduce(range(8), lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), n) order by n) as t from range(256) as r(n)),
+keyed as (
+  select conv_id as conv, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as txt,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint), 4294967295) % 20 as kind
+  from conversations, crc
+),
+damaged as (
+  select conv, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(txt, '[.!?]', '', 'g') else txt end as txt, unnest(range(if(kind = 3, 2, 1))) as again
+  from keyed where kind <> 0
+),
+placed as (
+  select *, row_number() over (partition by conv order by turn nulls first, role, txt, again) as rn, regexp_extract(txt, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as fin
+  from damaged
+),
+faulty as (
+  select *, case when fin = '' then 'blank' when row_number() over (partition by conv, role, txt order by rn) > 1 then 'duplicate' when fin not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    substr(role, 1, 1) as initial, lag(substr(role, 1, 1)) over (partition by conv order by rn) as before
+  from placed
+),
+symbols as (
+  select *, case when fault in ('blank', 'duplicate') then 'x' when fault = 'truncated' then upper(if(initial in ('s', 'u', 'a'), initial, 'o')) else if(initial in ('s', 'u', 'a'), initial, 'o') end as symbol
+  from faulty
+),
+sums as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, list(symbol order by rn) as own
+  from symbols group by conv
+),
+solved as (
+  select *, list_reduce(list_concat(['+', '-'], flatten(list_transform(own, lambda s: [s, '+', '-']))), lambda acc, x: {step}, ['0000000000', {far}, {far}, {far}]) as best
+  from (select * from sums)
+),
+least_ as (select *, least(best[1], best[4]) as weight from solved),
+audits as (select * exclude (own, best, weight), substr(weight, 1, 10)::bigint as cost, substr(weight, 11) as audit from least_),
+labels as (select conv, audit, unnest(range(1, length(audit) + 1)) as i from audits),
+walked as (
+  select conv, i, substr(audit, i, 1) as label, length(replace(audit, 'D', '')) as n, i - length(replace(substr(audit, 1, i), 'I', '')) as put, length(replace(substr(audit, 1, i), 'D', '')) as j
+  from labels
+),
+lines as (
+  select w.conv, w.i, case when label = 'K' then s.role when (j - n % 2) % 2 = 1 then 'user' else 'assistant' end || ':' || if(label = 'I', '', s.txt) as line
+  from walked w left join symbols s on s.conv is not distinct from w.conv and s.rn = w.i - w.put
+  where label <> 'D'
+),
+texts as (select conv, string_agg(line, chr(10) order by i) as repaired from lines group by conv)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c
+left join audits a on a.conv is not distinct from c.conv_id
+left join texts t on t.conv is not distinct from c.conv_id
+"""
+
+
+ORACLE = _oracle()
