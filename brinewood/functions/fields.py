@@ -53,18 +53,29 @@ def tariff_codes(text: Column) -> Column:
 
 def containers(text: Column, window: int = 80) -> Column:
     """[RGX-04] Array of (number, seal, type): each container number, with what the next characters say of it."""
-    u = F.upper(text)
+    return once(F.upper(text), lambda u: _containers(u, window))
+
+
+#: What the characters behind a container's number say: its seal, and that it is a high one.
+SEAL = r"\bS(?:EAL|N)[\s:#]*([A-Z0-9]{4,20})\b"
+HIGH = r"40\s*'?HC"
+
+
+def _containers(u: Column, window: int) -> Column:
     pattern = r"(\b[A-Z]{4}\s?[0-9]{6}\s*[-/]?\s*[0-9]\b)"
     found = F.array_distinct(F.regexp_extract_all(u, F.lit(pattern), F.lit(1)))
 
     def item(c: Column) -> Column:
-        tail = F.substring(u, F.instr(u, c) + F.length(c), F.lit(window))
-        seal = blank_to_null(F.regexp_extract(tail, r"\b(?:SN|SEAL)\s*[:#]?\s*([A-Z0-9]{4,20})\b", 1))
-        return F.struct(format_container(c).alias("number"), seal.alias("seal"), F.when(tail.rlike(r"40\s*'?HC"), "40HC").alias("type"))
+        return once(F.substring(u, F.instr(u, c) + F.length(c), F.lit(window)), lambda tail: described(c, tail))
+
+    def described(c: Column, tail: Column) -> Column:
+        seal = blank_to_null(F.regexp_extract(tail, SEAL, 1))
+        return F.struct(format_container(c).alias("number"), seal.alias("seal"), F.when(tail.rlike(HIGH), "40HC").alias("type"))
+
+    def distinct(items: Column) -> Column:
+        return once(F.transform(items, lambda i: i["number"]), lambda keys: F.filter(items, lambda i, at: F.array_position(keys, i["number"]) == at + 1))
 
-    items = F.transform(found, item)
-    keys = F.transform(items, lambda i: i["number"])
-    return F.filter(items, lambda i, at: F.array_position(keys, i["number"]) == at + 1)
+    return once(F.transform(found, item), distinct)
 
 
 def route(text: Column, ports: list[str]) -> tuple[Column, Column]:

@@ -84,15 +84,28 @@ def likely_voyage(x: Column) -> Column:
     return F.coalesce(F.length(u).between(3, 15) & u.rlike("[0-9]") & ~u.isin(*NOT_VOYAGES), F.lit(False))
 
 
+def form_marks(page: Column) -> Column:
+    """Struct of what a page names as an organisation's number and as a form's or serial number: (orgs, forms)."""
+    orgs = F.regexp_extract_all(F.upper(page), F.lit(r"(?:FMC|ORG(?:ANI[SZ]ATION)?)\.?\s*(?:NO|NUMBER)?\.?\s*[:#]?\s*([0-9]{4,9})"), F.lit(1))
+    forms = F.regexp_extract_all(F.upper(page), F.lit(r"(?:FORM|SERIAL)\s*(?:NO|NUMBER)?\.?\s*[:#]?\s*([0-9]{7,})"), F.lit(1))
+    return F.struct(F.coalesce(orgs, F.array().cast("array<string>")).alias("orgs"), F.coalesce(forms, F.array().cast("array<string>")).alias("forms"))
+
+
+def marked_serial(x: Column, marks: Column, blocked: tuple[str, ...] = ()) -> Column:
+    """form_serial of a number, by the form_marks of its page."""
+
+    def test(d: Column) -> Column:
+        hit = F.trim(x).isin(*blocked) if blocked else F.lit(False)
+        named = d.rlike("^[0-9]{7}$") & F.exists(marks["forms"], lambda f: F.startswith(f, d))
+        return F.coalesce(hit | F.trim(x).rlike("^0[0-9]{6,8}$") | named | ((d != "") & F.array_contains(marks["orgs"], d)), F.lit(False))
+
+    return F.coalesce(once(F.regexp_replace(x, "[^0-9]", ""), test), F.lit(False))
+
+
 def form_serial(x: Column, page: Column, blocked: tuple[str, ...] = ()) -> Column:
     """[FLT-04] Numbers of forms and registers: blocked ones, 0 and six to eight digits, seven digits named as a form
     number in the page, and numbers that the page names as an organisation's."""
-    d = F.regexp_replace(x, "[^0-9]", "")
-    orgs = F.regexp_extract_all(F.upper(page), F.lit(r"(?:FMC|ORG(?:ANI[SZ]ATION)?)\.?\s*(?:NO|NUMBER)?\.?\s*[:#]?\s*([0-9]{4,9})"), F.lit(1))
-    form = F.concat(F.lit(r"(?i)(?:FORM|SERIAL)\s*(?:NO|NUMBER)?\.?\s*[:#]?\s*"), d).alias("p")
-    hit = F.trim(x).isin(*blocked) if blocked else F.lit(False)
-    named = F.when(d.rlike("^[0-9]{7}$"), F.expr("true") & F.regexp_like(F.coalesce(page, F.lit("")), form)).otherwise(False)
-    return F.coalesce(hit | F.trim(x).rlike("^0[0-9]{6,8}$") | named | ((d != "") & F.array_contains(orgs, d)), F.lit(False))
+    return once(form_marks(page), lambda marks: marked_serial(x, marks, blocked))
 
 
 def billing_number(x: Column) -> Column:

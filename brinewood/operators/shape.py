@@ -16,12 +16,13 @@ def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def to_template(df: DataFrame, columns: dict[str, str], defaults: dict[str, object] | None = None) -> DataFrame:
     """[PRJ-01, PRJ-11] Exactly the template's columns (name to type): missing ones null, blanks filled by defaults."""
-    out = []
+    have, out = set(df.columns), []
     for name, kind in columns.items():
-        x = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
         if defaults and name in defaults:
-            x = F.coalesce(blank_to_null(x) if kind == "string" else x, F.lit(defaults[name]).cast(kind))
-        out.append(x.alias(name))
+            x = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)
+            out.append(F.coalesce(blank_to_null(x) if kind == "string" else x, F.lit(defaults[name]).cast(kind)).alias(name))
+        else:
+            out.append(F.expr(f"cast({f'`{name}`' if name in have else 'null'} AS {kind})").alias(name))
     return df.select(*out)
 
 

@@ -788,18 +788,19 @@ _BILL = """SELECT o_orderkey, 'ORD' || lpad(o_orderkey::VARCHAR, 8, '0') AS pare
 
 
 @query(f"""
-WITH b AS ({_BILL}) SELECT o_orderkey, parent_no, child_no, customs_id, tariff_code, CASE WHEN given THEN 'GIVEN STAR' ELSE 'SEA STAR' END AS vessel, voyage, 'SHANGHAI' AS origin, CASE WHEN given THEN 'Cairo' ELSE 'PORT SAID' END AS destination, issue_date, '12 PALLET' AS packages, CASE WHEN given THEN '1250.5' END AS gross_kg,
+WITH b AS ({_BILL}) SELECT o_orderkey, parent_no, child_no, customs_id, tariff_code, CASE WHEN given THEN 'GIVEN STAR' ELSE 'SEA STAR' END AS vessel, voyage, 'SHANGHAI' AS origin, CASE WHEN given THEN 'Cairo' ELSE 'PORT SAID' END AS destination, issue_date, '12 PALLET' AS packages, '1250.5' AS gross_kg,
   'SL' || lpad(o_orderkey::VARCHAR, 5, '0') AS seal_no, '40HC' AS container_type, '300000001' AS load_type, freight_term, 300000000::INT AS direction, 886150001 - (freight_term = 'PREPAID')::INT AS booking_code, 0::INT AS teu,
-  CASE WHEN given THEN 8 ELSE 11 END AS n_warnings FROM b""")
+  CASE WHEN given THEN 6 ELSE 8 END AS n_warnings FROM b""")
 def validated_records(spark, sf_dir):
-    """[RUL-01, RGX-23] Records filled and corrected from their texts, with a warning for each change."""
+    """[RUL-01, RGX-23] Records filled and corrected from their texts, with a warning for each change but those that
+    enrichment makes, which is silent."""
     return _validated(spark, sf_dir, False)
 
 
 @query(f"""
-WITH b AS ({_BILL}) SELECT o_orderkey, parent_no, child_no, customs_id, tariff_code, CASE WHEN given THEN 'GIVEN STAR' ELSE 'SEA STAR' END AS vessel, voyage, 'SHANGHAI' AS origin, 'ANCHORED' AS destination, issue_date, '12 PALLET' AS packages, CASE WHEN given THEN '1250.5' END AS gross_kg,
+WITH b AS ({_BILL}) SELECT o_orderkey, parent_no, child_no, customs_id, tariff_code, CASE WHEN given THEN 'GIVEN STAR' ELSE 'SEA STAR' END AS vessel, voyage, 'SHANGHAI' AS origin, 'ANCHORED' AS destination, issue_date, '12 PALLET' AS packages, '1250.5' AS gross_kg,
   'SL' || lpad(o_orderkey::VARCHAR, 5, '0') AS seal_no, '40HC' AS container_type, '300000001' AS load_type, freight_term, 300000000::INT AS direction, 886150001 - (freight_term = 'PREPAID')::INT AS booking_code, 0::INT AS teu,
-  CASE WHEN given THEN 8 ELSE 11 END AS n_warnings FROM b""")
+  CASE WHEN given THEN 6 ELSE 8 END AS n_warnings FROM b""")
 def validated_by_page(spark, sf_dir):
     """[RUL-16] Records validated, corrected by their pages, and validated again: the second time adds no warning."""
     return _validated(spark, sf_dir, True)
@@ -810,6 +811,8 @@ def _validated(spark, sf_dir, twice: bool) -> DataFrame:
     rows = bills(spark, sf_dir).select(
         _text("o_orderkey").alias("doc"), F.lit(1).alias("page"), "text", F.when(given, " GIVEN STAR;").otherwise("ZERO").alias("vessel"), F.when(given, "Cairo").alias("destination"), F.when(given, "1250,50").alias("gross_kg"), F.lit("Alexandria").alias("origin"), F.lit(3).alias("teu"),
     )
+    # a text costs milliseconds, so rows are dealt to all cores rather than left in the few splits that their bytes make
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism)
     options = {"ports": ["Shanghai", "Port Said"], "home": ("PORT SAID", "ALEXANDRIA", "CAIRO", "ANCHORED")}
     if twice:
         done = validate.validate_by_page(rows, rows.select("doc", "page", F.lit("ANCHORED").alias("destination")), ["destination"], **options)
