@@ -646,4 +646,4 @@ def quality_score_doc(spark, sf_dir):
     return quality.document_report(records, expected).drop("issues")
 
 
-from brinewood.plans import field_queries, record_queries  # noqa: E402, F401  (they register themselves)
+from brinewood.plans import field_queries, record_queries, sink_queries  # noqa: E402, F401  (they register themselves)

@@ -8,14 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewood.operators.dedup import upsert
-
-
-def write_graph(current: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, list[str]], path: str) -> dict[str, str]:
-    """[SNK-01 to SNK-03] Each entity merged and written to a new version, parents before children; then the entity's pointer
-    moves on, so that what `current` reads is never overwritten. Running it again with the same changes gives the same rows.
-    Returns the folders."""
-    out = {}
-    for name, df in changes.items():
+from brinewood.operators.graph import load_order
+
+
+def write_graph(current: dict[str, DataFrame], changes: dict[str, DataFrame], keys: dict[str, list[str]], path: str, relations: DataFrame | None = None) -> dict[str, str]:
+    """[SNK-01 to SNK-03, SRC-14] Each entity merged and written to a new version, parents before children; then the entity's
+    pointer moves on, so that what `current` reads is never overwritten. The order is that of `changes`, or follows from
+    relations(child, parent), of which a cycle is an error. Running it again with the same changes gives the same rows.
+    Returns the folders in the order written."""
+    out, order = {}, list(changes)
+    if relations is not None and changes:
+        names = next(iter(changes.values())).sparkSession.createDataFrame([(n,) for n in changes], "entity string")
+        levels = {r["entity"]: r["level"] for r in load_order(names, relations).collect()}
+        if looped := sorted(n for n, level in levels.items() if level is None):
+            raise ValueError(f"{', '.join(looped)}: relations form a cycle")
+        order.sort(key=levels.get)
+    for name in order:
+        df = changes[name]
         merged = upsert(current[name], df, keys[name]) if name in current else df
         out[name] = f"{path}/{name}/{uuid.uuid4().hex}"
         merged.write.parquet(out[name])
