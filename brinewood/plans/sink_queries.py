@@ -18,8 +18,8 @@ def _text(x: str) -> Column:
 
 @query(r"""
 WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, regexp_extract_all(upper(line), '[\p{L}\p{N}]+') AS w FROM d),
-b AS (SELECT DISTINCT list_slice(regexp_extract_all(upper(text), '[\p{L}\p{N}]+'), 1, 6) AS p FROM benchmark),
+w AS (SELECT doc_id, regexp_extract_all(replace(upper(line), 'ẞ', 'SS'), '[\p{L}\p{N}]+') AS w FROM d),
+b AS (SELECT DISTINCT list_slice(regexp_extract_all(replace(upper(text), 'ẞ', 'SS'), '[\p{L}\p{N}]+'), 1, 6) AS p FROM benchmark),
 g AS (SELECT doc_id, w[i:i + 5] AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM w))
 SELECT array_to_string(p, ' ') AS phrase, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM g JOIN b USING (p) GROUP BY 1""")
 def benchmark_mentions(spark, sf_dir):
