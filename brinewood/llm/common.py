@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one ranking task is meant to sort.
 RANK_ROWS = 10_000
+#: A key that more than one row in SENT holds is hot, so that fewer than SENT keys are; parts that a hot key is dealt into.
+SENT, SALTS = 1 << 13, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,23 @@ def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> D
     return out
 
 
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key, where one key may hold any share of the rows.
+
+    Keys are counted over the rows, per partition first. The rows of hot keys are dealt into SALTS parts, for which the
+    table repeats the row of the key; fewer than SENT keys are hot, so their list is broadcast. All others are joined by
+    the key alone. Rows without key meet nothing and are dealt out as well. `how` is inner or left.
+    """
+    counts = materialize(rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(materialize(counts.where(F.col("_n") * SENT > total).select("_hot"), "hot"))
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), part).otherwise(0)).drop("_hot")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    again = table.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_part", F.explode(F.when(F.col("_hot").isNotNull(), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(again, [key, "_part"], how).drop("_part")
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.llm.common import materialize, table
+from brinewood.llm.common import materialize, spread_join, table
 
 
 def _either(word: str) -> str:
@@ -119,8 +119,8 @@ def scan(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source",
         without = found.where(F.size("spans") == 0).select("row", F.array().cast(JUDGED).alias("spans"))
         some = found.where(F.size("spans") > 0)
     keys = some.select("rid", F.explode(F.array_distinct(F.transform("spans", lambda s: s["key"]))).alias("key"))
-    # a key in many rows is the large side of a join with one row a key; collected per row, never per key
-    told = keys.join(ownership(some), "key").groupBy("rid").agg(F.collect_list(F.struct("key", F.struct("n_owners", "n_repos").alias("n"))).alias("told"))
+    # collected per row, never per key
+    told = spread_join(keys, ownership(some), "key").groupBy("rid").agg(F.collect_list(F.struct("key", F.struct("n_owners", "n_repos").alias("n"))).alias("told"))
     judged = some.join(told, "rid", "left").withColumn("told", F.map_from_entries(F.coalesce("told", F.array().cast("array<struct<key:bigint,n:struct<n_owners:bigint,n_repos:bigint>>>"))))
 
     def judge(s: Column) -> Column:
