@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.llm.common import materialize, small_batches, table
+from brinewood.llm.common import materialize, small_batches, spread_join, table
 
 UNIT = 64
 SAMPLE_RATE = 8000
@@ -161,7 +161,7 @@ def read_back(documents: DataFrame, stored: DataFrame) -> DataFrame:
     listed = documents.where(F.col("kind") == LISTED)
     wanted = listed.select("rid", F.posexplode(F.arrays_zip("digests", F.transform("inline", lambda c: c.isNull()).alias("out"))).alias("pos", "x"))
     wanted = wanted.where("x.out").select("rid", "pos", F.col("x.digests").alias("digest"))
-    fetched = wanted.join(stored, "digest").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "chunk"))).alias("fetched"))
+    fetched = spread_join(wanted, stored, "digest").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "chunk"))).alias("fetched"))
     joined = listed.join(fetched, "rid")
     full = F.transform("inline", lambda c, i: F.coalesce(c, F.try_element_at("fetched", i)))
     return whole.unionByName(joined.select(*columns, full.alias("chunks")))
