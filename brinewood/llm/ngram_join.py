@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.llm.common import discard, materialize, small_batches, table
+from brinewood.llm.common import discard, materialize, small_batches, spread_join, table
 
 WORDS = 5
 THRESHOLD = 75  # per cent
@@ -501,8 +501,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
 
     named = rooted(members.select("member", "doc_id"), known)
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("member").alias("m"), "component_id", F.col("root").alias("component"))
-    out = rows.join(named, F.col("member") == F.col("m"), "left")
+    named = named.join(least, "root").select("member", "component_id", F.col("root").alias("component"))
+    # all copies of a text are rows of one member
+    out = spread_join(rows, named, "member", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(["key", "component"] if key_col else []))
 
 
