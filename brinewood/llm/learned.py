@@ -13,9 +13,15 @@ from pyspark.sql.window import Window
 from brinewood.llm.common import process_cache
 
 
+#: Labels that a table may hold at most; more are no labels, and an error.
+MOST_LABELS = 10_000
+
+
 def drawn_labels(rows: DataFrame, key: str, label: str, per_label: int, seed: int) -> tuple[DataFrame, dict]:
     """(rows drawn by a hash of the key, the counts of all labels): about per_label rows of each label, all of rarer ones."""
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label}")
     kind = rows.schema[label].dataType.simpleString()
     share = rows.sparkSession.createDataFrame([(k, min(1.0, per_label / n)) for k, n in counts.items()], f"_label {kind}, _share double")
     draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) / float(1 << 20)

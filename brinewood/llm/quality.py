@@ -1,11 +1,13 @@
 """Quality classifier on supervised subword embeddings.
 
-Words, pairs of neighbouring words and character n-grams are hashed to learned vectors; a document is the mean of
-its vectors, and a softmax on top gives the class. Everything is learned in numpy by stochastic gradient descent.
+Words, pairs of neighbouring words, distances back to the same word and character n-grams are hashed to learned
+vectors; a document is the mean of its vectors, and a softmax on top gives the class. Everything is learned in numpy by stochastic gradient descent.
 Since mean and output layer are linear, a word's share of the class scores is computed once per worker and kept.
 
 Cases: null and empty texts have the mean of no vectors, so their score is that of the bias alone; without
-labelled rows the score is the prior 0.5; equal texts get equal scores; an empty table gives an empty result.
+labelled rows the score is the prior 0.5; very long texts are scored whole; equal texts, so repeated rows too, get equal
+scores, and there are no ties to break; an own column named score gives way to the result's, other columns stay; an empty
+table gives an empty result. A doc_id may repeat in documents and in labels: so many rows a class are drawn, not ids.
 """
 
 from __future__ import annotations
@@ -14,13 +16,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewood.llm.common import crc_share, small_batches, table
-from brinewood.llm.learned import WordTable, drawn_labels
+from brinewood.llm.common import crc_share, materialize, small_batches, table
+from brinewood.llm.learned import WordTable, drawn_labels, labelled_sample
 
 DIM = 8
 BUCKETS = 1 << 17
@@ -33,7 +34,8 @@ SEED = 7
 THRESHOLD = 0.7
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-REPEAT = np.uint64(1)
+#: What distances back to the same word are hashed with, and the greatest power of 2 that is told apart.
+BACK, FARTHEST = np.uint64(0xC2B2AE3D27D4EB4F), 16
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,11 +68,24 @@ def grams(words: list[bytes], low: int = GRAMS[0], high: int = GRAMS[1]) -> tupl
 
 
 def pairs(hashes: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words, from the words' hashes; a word that repeats the one before is one and the same pair."""
+    """Hashes of neighbouring words, from the words' hashes."""
     with np.errstate(over="ignore"):
-        two = _mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
-    two[hashes[:-1] == hashes[1:]] = REPEAT
-    return two
+        return _mixed(hashes[:-1] * np.uint64(3) + hashes[1:])
+
+
+def recurrences(hashes: np.ndarray) -> np.ndarray:
+    """For each word that occurred before a hash of how far back, in powers of 2: how a text repeats itself is learned like
+    its words are."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    back = np.diff(order)[same]
+    with np.errstate(over="ignore"):
+        return _mixed(np.minimum(np.log2(back).astype(np.uint64), np.uint64(FARTHEST)) * MIX + BACK)
+
+
+def relations(hashes: np.ndarray) -> np.ndarray:
+    """What is hashed of words among each other."""
+    return np.concatenate([pairs(hashes), recurrences(hashes)])
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -101,7 +116,7 @@ class Embeddings:
                 h = word_hash(w)
                 seen[w] = (h, np.concatenate([np.array([h], np.uint64), own]))
         own = np.array([seen[w][0] for w in words], np.uint64)
-        every = np.concatenate([*(seen[w][1] for w in words), pairs(own)]) % np.uint64(self.buckets)
+        every = np.concatenate([*(seen[w][1] for w in words), relations(own)]) % np.uint64(self.buckets)
         at, n = np.unique(every.astype(np.int64), return_counts=True)
         return at, (n / n.sum()).astype(np.float32)
 
@@ -144,14 +159,15 @@ class Embeddings:
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_class: int = DOCS_PER_CLASS, seed: int = SEED) -> Embeddings | None:
     """Vectors for the labels, from a bounded sample of labelled whole texts; None if no row has a label.
 
-    Labels are counted over all rows of `labels`, and so many of each are drawn by a hash of the id; only their texts
-    are fetched. The bias makes up for classes that were drawn more thinly.
+    Pairs of id and label are counted over all rows of `labels`, and so many of each label are drawn by a hash of the id;
+    only their texts are fetched, at most docs_per_class rows a label however often an id repeats. The bias makes up for
+    classes that were drawn more thinly.
     """
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(F.col("id").isNotNull() & F.col("label").isNotNull()).distinct()
     drawn, counts = drawn_labels(rows, "id", "label", docs_per_class, seed)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = pd.DataFrame([r.asDict() for r in texts.join(F.broadcast(drawn), "id").select("text", "label").collect()], columns=["text", "label"])
-    sample = sample.sort_values(["label", "text"], kind="stable", ignore_index=True)
+    drawn = materialize(texts.join(F.broadcast(drawn), "id").select("text", "label", F.xxhash64(F.lit(seed), "id", "text").alias("draw")), "labelled")
+    sample = labelled_sample(drawn, "label", docs_per_class)
     found = sorted(set(sample["label"]))
     if not found:
         return None
@@ -168,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def predict(docs: DataFrame, model: Embeddings | None, positive, *, text_col: str = "text") -> DataFrame:
     """docs with score, the probability of the label `positive`."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("score")
     if model is None or positive not in model.labels:
         return docs.withColumn("score", F.lit(0.5 if model is None else 0.0))
     # scores relative to the positive class: a document's class odds need no more
@@ -194,7 +211,7 @@ def predict(docs: DataFrame, model: Embeddings | None, positive, *, text_col: st
                     logit = bias.astype(np.float64)
                     if len(rows):
                         hashes = rows[:, k + 1].astype(np.uint64) << np.uint64(32) | rows[:, k + 2].astype(np.uint64)
-                        two = (pairs(hashes) % np.uint64(len(scores))).astype(np.int64)
+                        two = (relations(hashes) % np.uint64(len(scores))).astype(np.int64)
                         logit = logit + (rows[:, :k].sum(0) + scores[two].sum(0, dtype=np.float64)) / (rows[:, k].sum() + len(two))
                     p = np.exp(logit - logit.max())
                     score[i] = round(float(p[own] / p.sum()), 6)
