@@ -27,11 +27,17 @@ SHARD = 8192  # vectors of a shard, about, while there are at most SHARDS
 SHARDS, LARGEST = 8, 131_072  # shards up to which their number grows, and vectors from which it grows again
 SEEN = 1 << 26  # marks of visited nodes that a search holds at once: queries x vectors
 LINKS = 12  # links that a new vector makes; twice as many are kept on the lowest level
-BREADTH_BUILD, BREADTH_SEARCH = 64, 144
+BREADTH_BUILD, BREADTH_SEARCH = 64, 144  # the latter in shards of SHARD vectors or fewer; see breadth_of
 BLOCK = 32_768  # queries that one search task holds
 SEED = 9
 
 
+def breadth_of(n: int) -> int:
+    """Breadth of a search among n vectors. It grows with the root of the size beyond SHARD, since a beam of one breadth
+    finds a smaller part of the nearest in a larger graph."""
+    return int(BREADTH_SEARCH * max(1.0, n / SHARD) ** 0.5)
+
+
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the best nodes (and scores) that a best-first search with so broad a beam meets, best first.
 
@@ -174,7 +180,7 @@ def find(vectors: np.ndarray, levels: list[np.ndarray], queries: np.ndarray, k:
     out, step = [], max(1, min(512, SEEN // len(x)))
     for s in range(0, len(q), step):
         entry = descend(x, levels[:0:-1], q[s : s + step], top)
-        out.append(beam(x, levels[0], q[s : s + step], entry, max(BREADTH_SEARCH, k))[0][:, :k])
+        out.append(beam(x, levels[0], q[s : s + step], entry, max(breadth_of(len(x)), k))[0][:, :k])
     return np.concatenate(out)
 
 
@@ -195,18 +201,38 @@ def shard_count(n: int, shard_size: int = SHARD) -> int:
     return max(1, min(SHARDS, -(-n // shard_size)), -(-n // LARGEST))
 
 
+def packed(levels: list[np.ndarray]) -> tuple[bytes, bytes, list[int]]:
+    """(nodes, links, sizes): for each level the nodes that have links on it and their neighbour arrays, level after level.
+    Upper levels hold few of the vectors, so only these are kept."""
+    nodes = [np.flatnonzero((links >= 0).any(1)) for links in levels]
+    links = [own[at] for own, at in zip(levels, nodes, strict=True)]
+    return np.concatenate(nodes).astype(np.int32).tobytes(), np.concatenate(links).astype(np.int32).tobytes(), [len(x) for x in nodes]
+
+
+def unpacked(nodes: bytes, links: bytes, sizes: list[int], n: int) -> list[np.ndarray]:
+    """Neighbour arrays of n vectors, from the lowest level up."""
+    at = np.split(np.frombuffer(nodes, np.int32), np.cumsum(sizes)[:-1])
+    rows = np.split(np.frombuffer(links, np.int32).reshape(-1, 2 * LINKS), np.cumsum(sizes)[:-1])
+    out = []
+    for own, near in zip(at, rows, strict=True):
+        level = np.full((n, 2 * LINKS), -1, np.int32)
+        level[own] = near
+        out.append(level)
+    return out
+
+
 def index(rows: DataFrame, shards: int) -> DataFrame:
-    """One row per shard: (shard, ids, vectors, links, levels) as flat arrays of bytes."""
+    """One row per shard: (shard, ids, vectors, nodes, links, sizes) as flat arrays of bytes; see packed."""
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         vectors = np.stack(pdf["vector"].to_numpy())
         levels = build(vectors)
-        flat = np.stack(levels).astype(np.int32).tobytes()
-        return pd.DataFrame({"shard": [pdf["shard"][0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.astype(np.float64).tobytes()], "links": [flat], "levels": [len(levels)]})
+        nodes, links, sizes = packed(levels)
+        return pd.DataFrame({"shard": [pdf["shard"][0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vectors": [vectors.astype(np.float64).tobytes()], "nodes": [nodes], "links": [links], "sizes": [sizes]})
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(graph, "shard long, ids binary, vectors binary, links binary, levels int")
+    return dealt.groupBy("shard").applyInPandas(graph, "shard long, ids binary, vectors binary, nodes binary, links binary, sizes array<int>")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", shard_size: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -229,7 +255,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec
         g = graph.iloc[0]
         ids = np.frombuffer(g["ids"], np.int64)
         x = np.frombuffer(g["vectors"], np.float64).reshape(len(ids), -1)
-        levels = list(np.frombuffer(g["links"], np.int32).reshape(g["levels"], len(ids), -1))
+        levels = unpacked(g["nodes"], g["links"], list(g["sizes"]), len(ids))
         q, q_ids = np.stack(part["vector"].to_numpy()), part["id"].to_numpy(np.int64)
         near = find(x, levels, q, min(k + 1, len(ids)))
         out = []
