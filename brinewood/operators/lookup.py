@@ -27,7 +27,11 @@ def search_variants(name: Column, hints: dict[str, list[str]] | None = None) ->
     """[JN-06] Ordered distinct alternates: the name, what stands before and in brackets, hints, the name without legal
     forms, and its first three and two words."""
     base = F.trim(F.regexp_replace(name, "\\s+", " "))
-    before, inside = (F.regexp_extract(base, r"^(.*?)\s*\(([^)]+)\)\s*$", g) for g in (1, 2))
+    # the last bracket, if the name ends with it: what stands behind the bracket closed before it, from its first opening
+    body = F.when(F.endswith(base, F.lit(")")), F.substr(base, F.lit(1), F.length(base) - 1)).otherwise("")
+    tail = F.substring_index(body, ")", -1)
+    inside = F.when(F.instr(tail, "(") > 0, F.substr(tail, F.instr(tail, "(") + 1)).otherwise("")
+    before = F.when(inside != "", F.trim(F.substr(body, F.lit(1), F.length(body) - F.length(inside) - 1))).otherwise("")
     bare = F.btrim(F.regexp_replace(F.regexp_replace(base, LEGAL_FORMS, " "), "\\s+", " "), F.lit(" ,.-"))
     words = F.filter(F.split(base, r"\W+"), lambda w: F.length(w) >= 3)
     parts = [F.array(base, before, inside)]
@@ -55,8 +59,9 @@ def fuzzy_lookup(queries: DataFrame, dim: DataFrame, *, query_id: str, query_nam
         whole = F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.array(*[F.substr(x, i, F.lit(n)) for n in (1, 2, 3)])))
         return F.when(x != "", F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
 
-    names = search_variants(F.col(query_name), hints) if variants else F.array(query_name)
-    q = queries.select(F.col(query_id).alias("q"), F.posexplode(names).alias("v", "qn")).withColumn("x", alnum_upper("qn"))
+    names = search_variants(F.col("_name"), hints) if variants else F.array("_name")
+    named = queries.select(F.col(query_id).alias("_id"), F.col(query_name).alias("_name"))
+    q = named.select(F.col("_id").alias("q"), F.posexplode(names).alias("v", "qn")).withColumn("x", alnum_upper("qn"))
     d = dim.select(F.col(dim_id).alias("d"), F.col(dim_name).alias("dn")).withColumn("y", alnum_upper("dn"))
     q, d = q.where("x != ''"), d.where("y != ''")
     start = lambda x: F.substring(x, 1, 3)

@@ -107,9 +107,10 @@ def resolve_once(facts: DataFrame, column: str, resolved: DataFrame) -> DataFram
     return facts.join(resolved.select(F.col("name").alias("_n"), F.col("id").alias(f"{column}_id")), F.col(column) == F.col("_n"), "left").drop("_n")
 
 
-def stamped(df: DataFrame) -> DataFrame:
-    """[NUM-12] df with the time of the query in UTC."""
-    return df.withColumn("at", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+def stamped(df: DataFrame, at: Column | None = None) -> DataFrame:
+    """[NUM-12] df with a time, that of the query unless one is given, as UTC text to the second in `at`."""
+    time = F.current_timestamp() if at is None else at.cast("timestamp")
+    return df.withColumn("at", F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def number_or_null(x: Column) -> Column:

@@ -101,12 +101,6 @@ def charge_groups(spark, sf_dir):
     return _charge_groups(read(spark, sf_dir, "lineitem"))
 
 
-@query(_CHARGE_GROUPS)
-def charge_groups_all_lines(spark, sf_dir):
-    """[AGG-09] The same under its former name."""
-    return _charge_groups(read(spark, sf_dir, "lineitem"))
-
-
 def _charge_groups(lines: DataFrame) -> DataFrame:
     lines = lines.select(
         "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("term"), F.col("l_quantity").alias("amount"), F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).alias("cbm"), F.lit(None).cast("double").alias("kgs")
@@ -440,19 +434,27 @@ def strict_lookup_status(spark, sf_dir):
     return lookup.strict_lookup(named.select("c_custkey", name.alias("q")), nation, query_id="c_custkey", query_name="q", dim_id="n_nationkey", labels=["n_name"])
 
 
-@query("""
-WITH d AS (SELECT min(p_partkey) AS d, p_name AS dn FROM part GROUP BY p_name), q AS (SELECT s_suppkey AS q, split_part(p_name, ' ', 1) || ' ' || s_suppkey AS qn FROM supplier JOIN part ON p_partkey = s_suppkey),
-w AS (SELECT q, qn, d, dn, regexp_replace(upper(qn), '[^A-Z0-9]+', '', 'g') AS x, regexp_replace(upper(dn), '[^A-Z0-9]+', '', 'g') AS y, list_distinct(regexp_extract_all(upper(qn), '[A-Z0-9]{3,}')) AS a, list_distinct(regexp_extract_all(upper(dn), '[A-Z0-9]{3,}')) AS b FROM q, d),
-s AS (SELECT q, d, CASE WHEN x = y THEN 100 WHEN starts_with(x, y) OR starts_with(y, x) THEN 90 WHEN contains(x, y) OR contains(y, x) THEN 75 ELSE floor(len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE * 60)::INT END AS score FROM w),
-r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d) AS n FROM s WHERE score > 0)
-SELECT q.q AS s_suppkey, CASE WHEN score >= 30 THEN d END AS p_partkey, CASE WHEN score >= 30 THEN score ELSE 0 END::INT AS score FROM q LEFT JOIN r ON q.q = r.q AND n = 1""")
+@query(r"""
+WITH d AS (SELECT min(p_partkey) AS d, p_name AS dn FROM part GROUP BY p_name),
+n AS (SELECT s_suppkey AS q, CASE s_suppkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) || '  ' || s_suppkey WHEN 1 THEN 'Qq ' || s_suppkey || ' (' || split_part(p_name, ' ', 2) || ')' WHEN 2 THEN split_part(p_name, ' ', 1) || ' Trading Co. Ltd.' ELSE 'Zz Yy Xx' END AS qn FROM supplier JOIN part ON p_partkey = s_suppkey),
+b AS (SELECT q, trim(regexp_replace(qn, '\s+', ' ', 'g')) AS base FROM n),
+t AS (SELECT q, base, list_filter(regexp_split_to_array(base, '\W+'), lambda s: length(s) >= 3) AS w FROM b),
+v AS (SELECT q, [base, regexp_extract(base, '^(.*?)\s*\(([^)]+)\)\s*$', 1), regexp_extract(base, '^(.*?)\s*\(([^)]+)\)\s*$', 2),
+  trim(regexp_replace(regexp_replace(base, '(?i)\b(?:COMPANY|CO|LTD|LIMITED|LLC|L\.L\.C|INC|CORPORATION|CORP|PRIVATE|PVT|S\.A\.E|S\.A|S\.P\.A)\b\.?', ' ', 'g'), '\s+', ' ', 'g'), ' ,.-'), array_to_string(list_slice(w, 1, 3), ' '), CASE WHEN len(w) >= 2 THEN array_to_string(list_slice(w, 1, 2), ' ') END] AS vs FROM t),
+e AS (SELECT q, unnest(vs) AS qn, unnest(range(6)) AS v FROM v),
+w AS (SELECT q, v, d, regexp_replace(upper(qn), '[^A-Z0-9]+', '', 'g') AS x, regexp_replace(upper(dn), '[^A-Z0-9]+', '', 'g') AS y, list_distinct(regexp_extract_all(upper(qn), '[A-Z0-9]{3,}')) AS a, list_distinct(regexp_extract_all(upper(dn), '[A-Z0-9]{3,}')) AS b FROM e, d WHERE trim(qn) <> ''),
+s AS (SELECT q, v, d, x, CASE WHEN x = y THEN 100 WHEN starts_with(x, y) OR starts_with(y, x) THEN 90 WHEN contains(x, y) OR contains(y, x) THEN 75 ELSE floor(len(list_intersect(a, b)) / greatest(len(a), len(b))::DOUBLE * 60)::INT END AS score FROM w WHERE x <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY v, score DESC, d) AS n FROM s WHERE score >= 40 AND (v = 0 OR length(x) >= 3 OR score = 100))
+SELECT n.q AS s_suppkey, d AS p_partkey, coalesce(score, 0)::INT AS score FROM n LEFT JOIN r ON n.q = r.q AND r.n = 1""")
 def fuzzy_lookup_best(spark, sf_dir):
-    """[JN-05, JN-07 to JN-09] The best-scoring dimension row of each name; its SQL scores the name itself, not its variants."""
+    """[JN-05 to JN-09] The best-scoring dimension row of the first variant of each name that reaches 40: with ids, brackets
+    and legal forms in the names, and names of nothing."""
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     dim = part.groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
     named = read(spark, sf_dir, "supplier").select("s_suppkey").join(part, F.col("p_partkey") == F.col("s_suppkey"))
-    named = named.select("s_suppkey", F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" "), F.col("s_suppkey").cast("string")).alias("q"))
-    return lookup.fuzzy_lookup(named, dim, query_id="s_suppkey", query_name="q", dim_id="p_partkey", dim_name="p_name", least=30, variants=False)
+    word, key, kind = lambda n: F.split_part("p_name", F.lit(" "), F.lit(n)), F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 4
+    name = F.when(kind == 0, F.concat(word(1), F.lit("  "), key)).when(kind == 1, F.concat(F.lit("Qq "), key, F.lit(" ("), word(2), F.lit(")"))).when(kind == 2, F.concat(word(1), F.lit(" Trading Co. Ltd."))).otherwise("Zz Yy Xx")
+    return lookup.fuzzy_lookup(named.select("s_suppkey", name.alias("q")), dim, query_id="s_suppkey", query_name="q", dim_id="p_partkey", dim_name="p_name", least=40)
 
 
 @query("""
@@ -534,13 +536,33 @@ def semi_anti_filter(spark, sf_dir):
 WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS p, printf('%.2f', l_extendedprice) AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, p AS plain, p AS european, CASE WHEN p <= 50000 THEN p END AS capped FROM x""")
 def number_profiles(spark, sf_dir):
-    """[NUM-01 to NUM-06] Amounts written in several locales and read again."""
+    """[NUM-01, NUM-02, NUM-05] Amounts written in several locales and read again."""
     price = F.format_string("%.2f", F.col("l_extendedprice"))
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", price.alias("us"), F.translate(price, ".", ",").alias("eu"))
     plain = numbers.parse_number(F.concat(F.lit("about "), F.col("us"), F.lit(" kg")), "plain")
     return lines.select("l_orderkey", "l_linenumber", plain.alias("plain"), numbers.parse_number(F.col("eu"), "european").alias("european"), F.when(plain <= 50000, plain).alias("capped"))
 
 
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q, floor(l_extendedprice) AS f, l_extendedprice AS p FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN q % 2 = 0 THEN p END AS signed, CASE WHEN f >= 1000 THEN f / 1000 ELSE f END AS lone_comma, f * 1000 + 0.125 AS last_comma, f AS grouped, p AS auto_point, p AS auto_comma, CASE WHEN p * 10 <= 500000 THEN p * 10 END AS weight,
+  CASE WHEN q % 2 = 0 THEN -p ELSE p END AS money, NULL::DOUBLE AS none FROM x""")
+def number_locales(spark, sf_dir):
+    """[NUM-01 to NUM-04, NUM-06] What the profiles disagree on: signs, a lone comma, several commas, groups, the last separator,
+    caps of a measure, parentheses; a text without digits is no number."""
+    price, q = F.col("l_extendedprice"), F.col("l_quantity").cast("int")
+    whole = F.floor(price)
+    cents = F.concat(F.format_number(whole, 0), F.substring(F.format_number(price, 2), -3, 3))
+    turned = F.translate(cents, ",.", ".,")
+    sign = F.when(q % 2 == 0, "").otherwise("-")
+    read_ = numbers.parse_number
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", read_(F.concat(F.lit("kg "), sign, cents), "signed").alias("signed"), read_(F.format_number(whole, 0), "decimal_comma").alias("lone_comma"),
+        read_(F.concat(F.format_number(whole * 1000, 0), F.lit(",125")), "decimal_comma").alias("last_comma"), read_(F.format_number(whole, 0), "auto").alias("grouped"), read_(cents, "auto").alias("auto_point"), read_(turned, "auto").alias("auto_comma"),
+        numbers.capped(price * 10, "weight").alias("weight"), numbers.money(F.concat(F.when(q % 2 == 0, "(USD ").otherwise("$ "), cents, F.when(q % 2 == 0, ")").otherwise(" -"))).alias("money"), read_(F.lit("none"), "european").alias("none"),
+    )
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day_first, strftime(o_orderdate, '%Y-%m-%d') AS named, strftime(o_orderdate, '%Y-%m-%d') AS serial FROM orders")
 def date_formats(spark, sf_dir):
     """[NUM-09 to NUM-11] Dates written in several forms and read again."""

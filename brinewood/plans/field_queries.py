@@ -140,7 +140,7 @@ def canonical_names(spark, sf_dir):
 
 @query("""
 SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name || ' 5 Palm Street, Alexandria' WHEN 1 THEN c_mktsegment WHEN 2 THEN NULL ELSE c_name END AS address,
-  (c_custkey % 4 = 0) AS is_address, 'PORT ' || c_mktsegment AS place, (c_custkey % 4 = 3) AS is_party, c_custkey % 4 = 1 AS is_goods FROM customer""")
+  (c_custkey % 4 = 0 OR (c_custkey % 4 = 1 AND c_mktsegment = 'BUILDING')) AS is_address, 'PORT ' || c_mktsegment AS place, (c_custkey % 4 = 3) AS is_party, c_custkey % 4 = 1 AS is_goods FROM customer""")
 def addresses(spark, sf_dir):
     """[STR-21, FLT-11, FLT-12] Addresses up to contacts, doubled places, and what a text is."""
     k = F.col("c_custkey") % 4
@@ -148,7 +148,7 @@ def addresses(spark, sf_dir):
     named = F.when(k == 3, "Blue Nile Trading").otherwise(x)
     port = F.concat(F.lit("Port "), F.initcap("c_mktsegment"))
     return read(spark, sf_dir, "customer").select(
-        "c_custkey", parties.address(x).alias("address"), (parties.is_address(x) & (k == 0)).alias("is_address"), parties.place(F.concat(port, F.lit(" "), port)).alias("place"),
+        "c_custkey", parties.address(x).alias("address"), parties.is_address(x).alias("is_address"), parties.place(F.concat(port, F.lit(" "), port)).alias("place"),
         parties.plausible_party(named).alias("is_party"), parties.is_goods(x).alias("is_goods"),
     )
 

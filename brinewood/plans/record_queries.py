@@ -442,11 +442,10 @@ def resolved_once(spark, sf_dir):
     return records.summary(events, ["event_id", "event_type"]).join(resolved, ["event_id", "event_type"]).select("event_id", "event_type", "event_type_id", "n_filled")
 
 
-@query("SELECT event_id, true AS in_utc FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def stamped_rows(spark, sf_dir):
-    """[NUM-12] The time of the query in UTC, to the second."""
-    at = F.to_timestamp("at", "yyyy-MM-dd'T'HH:mm:ssX")
-    return records.stamped(read(spark, sf_dir, "events").select("event_id")).select("event_id", (F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(at)) <= 1).alias("in_utc"))
+    """[NUM-12] Each event's own time as a stamp in UTC, to the second."""
+    return records.stamped(read(spark, sf_dir, "events").select("event_id", "ts"), F.col("ts")).select("event_id", "at")
 
 
 # ---- joins and links ---------------------------------------------------------------------------------------------
@@ -699,12 +698,18 @@ def cargo_rules(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b|c' ELSE 'a' END AS rest FROM documents""")
+WITH o AS (SELECT o_custkey AS doc, o_orderkey AS k FROM orders)
+SELECT doc, coalesce(string_agg('REF' || k || '0000', '|' ORDER BY k) FILTER (k % 2 = 1), '') AS rest, count(*) FILTER (k % 2 = 0) AS n_attached FROM o GROUP BY 1""")
 def unattached_references(spark, sf_dir):
-    """[SET-13] References of a page without those that are attached."""
-    k = F.col("doc_id") % 2 == 0
-    page, attached = F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.lit("b")), F.when(k, F.array(F.lit("a"))).otherwise(F.array(F.lit("c"), F.lit("b")))
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_except(page, attached), "|").alias("rest"))
+    """[SET-13] References on the face of documents that their attached lists don't name: read from the texts of both."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    ref = F.concat(F.lit("ref"), _text("o_orderkey"), F.lit("0000"))
+    face = F.concat(F.lit("REF: "), ref, F.lit(" / "), F.upper(ref), F.lit("\n"))
+    listed = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("1 carton "), ref, F.lit(" 5 kg\n"))).otherwise("")
+    own = F.array_sort(F.collect_list(F.struct("o_orderkey", face.alias("face"), listed.alias("listed"))))
+    part = lambda name: F.array_join(F.transform("own", lambda x: x[name]), "")
+    docs = o.groupBy(F.col("o_custkey").alias("doc")).agg(own.alias("own")).select("doc", F.concat(F.lit("--- PAGE 1 ---\n"), part("face"), F.lit("--- PAGE 2 ---\nAttached list\n"), part("listed"), F.lit("--- PAGE 3 ---\nREF99990000\n")).alias("text"))
+    return layouts.face_references(docs).select("doc", F.array_join("references", "|").alias("rest"), F.size("attached").cast("long").alias("n_attached"))
 
 
 @query("""
