@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brinewood.operators import dictionary, diff, graph, posting, tables
 from brinewood.plans.registry import query, read
+from brinewood.streaming import live
 
 
 def _text(x: str) -> Column:
@@ -245,3 +246,25 @@ def json_differences(spark, sf_dir):
     saved = text("{", F.when(F.col("event_id") % 3 != 0, text('"props": {"k": ', (F.col("k") + odd).cast("string"), "},")).otherwise(""), '"deep": {"empty": {}, "none": "now", "list": [{"a": {"b": ', name, "}}", F.when(F.col("event_id") % 5 != 0, ", 2.5").otherwise(""), "]}}")
     both = e.select("event_id", sent.alias("sent"), saved.alias("saved"))
     return diff.field_diff(diff.json_leaves(both, "event_id", "sent"), diff.json_leaves(both, "event_id", "saved"), ["event_id"]).select("event_id", "path", "sent", "saved", "status")
+
+
+# ---- live status -------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS key, ts AS "at", min(event_type) AS status FROM events GROUP BY 1, 2),
+m AS (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY "at") AS before FROM e)
+SELECT key, "at", status, before, row_number() OVER (PARTITION BY key ORDER BY "at") AS n FROM m WHERE before IS NULL OR before <> status""")
+def status_changes(spark, sf_dir):
+    """[STM-01] Every change of status of each key of a log."""
+    return live.changes(read(spark, sf_dir, "events"), key="user_id", at="ts", status="event_type")
+
+
+@query("""
+WITH e AS (SELECT user_id::VARCHAR AS key, ts AS "at", min(event_type) AS status FROM events GROUP BY 1, 2),
+m AS (SELECT *, lag(status) OVER (PARTITION BY key ORDER BY "at") AS before FROM e),
+c AS (SELECT key, "at", status, row_number() OVER (PARTITION BY key ORDER BY "at") AS n FROM m WHERE before IS NULL OR before <> status)
+SELECT * FROM (SELECT key, max("at") AS "at", arg_max(status, "at") AS status, max(n) AS n FROM c GROUP BY key) ORDER BY "at" DESC, key LIMIT 50""")
+def live_snapshot(spark, sf_dir):
+    """[STM-01] The newest fifty keys of a log by their last change: what a viewer is sent first."""
+    return live.snapshot(live.changes(read(spark, sf_dir, "events"), key="user_id", at="ts", status="event_type"))
