@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from brinewood.functions.ids import voyage_match, voyage_variants
 from brinewood.functions.text import match_text
@@ -23,26 +22,30 @@ def _alike(a: str, b: str) -> Column:
     return F.coalesce((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)), F.lit(False))
 
 
+SIDE = ("vessel", "voyage", "origin", "destination", "containers", "seals", "dates", "references")
+
+
+def _blocked(df: DataFrame, name: str) -> DataFrame:
+    """(k, name_id, own columns): a row for each blocking key; a key is a voyage spelling, a container or a seal."""
+    keyed = lambda kind, a: F.transform(a, lambda k: F.concat(F.lit(kind), k))
+    none = F.array().cast("array<string>")
+    keys = F.concat(*[F.coalesce(keyed(kind, a), none) for kind, a in (("v:", voyage_variants(F.col("voyage"))), ("c:", F.col("containers")), ("s:", F.col("seals")))])
+    return df.select(F.explode(F.array_distinct(F.array_compact(keys))).alias("k"), F.col("id").alias(f"{name}_id"), F.struct(*SIDE).alias(name))
+
+
 def candidates(payloads: DataFrame, operations: DataFrame) -> DataFrame:
     """[JN-18] Distinct pairs (payload_id, operation_id) that share a voyage spelling, a container or a seal.
 
     Both sides have id, vessel, voyage, origin, destination and the arrays containers, seals, dates, references.
     """
-    pairs = None
-    for keys in (lambda: voyage_variants(F.col("voyage")), lambda: F.col("containers"), lambda: F.col("seals")):
-        a = payloads.select(F.col("id").alias("payload_id"), F.explode(keys()).alias("k"))
-        b = operations.select(F.col("id").alias("operation_id"), F.explode(keys()).alias("k"))
-        met = a.join(b, "k").select("payload_id", "operation_id")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return pairs.distinct()
+    return _blocked(payloads, "payload").join(_blocked(operations, "operation"), "k").select("payload_id", "operation_id").distinct()
 
 
 def score(payloads: DataFrame, operations: DataFrame) -> DataFrame:
-    """[JN-12, JN-19] The candidates with score, reasons and whether a strong anchor is among them."""
-    names = ["vessel", "voyage", "origin", "destination", "containers", "seals", "dates", "references"]
-    p = payloads.select(F.col("id").alias("payload_id"), *[F.col(c).alias(f"p_{c}") for c in names])
-    o = operations.select(F.col("id").alias("operation_id"), *[F.col(c).alias(f"o_{c}") for c in names])
-    both = candidates(payloads, operations).join(p, "payload_id").join(o, "operation_id")
+    """[JN-12, JN-19] The candidates with score, reasons and whether a strong anchor is among them. A pair is scored where its
+    blocking keys meet, and pairs that meet more than once are one row."""
+    both = _blocked(payloads, "payload").join(_blocked(operations, "operation"), "k")
+    both = both.select("payload_id", "operation_id", *[F.col(f"payload.{c}").alias(f"p_{c}") for c in SIDE], *[F.col(f"operation.{c}").alias(f"o_{c}") for c in SIDE])
     vp, vo = match_text(F.col("p_voyage")), match_text(F.col("o_voyage"))
     tests = {
         "vessel": F.coalesce((match_text(F.col("p_vessel")) == match_text(F.col("o_vessel"))) & (match_text(F.col("p_vessel")) != ""), F.lit(False)),
@@ -57,16 +60,18 @@ def score(payloads: DataFrame, operations: DataFrame) -> DataFrame:
     total = sum((F.when(t, POINTS[k]).otherwise(0) for k, t in tests.items()), F.lit(0))
     reasons = F.array_compact(F.array(*[F.when(t, k) for k, t in tests.items()]))
     strong = tests["container"] | tests["seal"] | (tests["vessel"] & tests["voyage"])
-    return both.select("payload_id", "operation_id", total.alias("score"), reasons.alias("reasons"), strong.alias("strong"))
+    scored = both.select("payload_id", "operation_id", total.alias("score"), reasons.alias("reasons"), strong.alias("strong"))
+    return scored.groupBy("payload_id", "operation_id").agg(*[F.first(c).alias(c) for c in ("score", "reasons", "strong")])
 
 
 def best_link(scored: DataFrame, key: str = "payload_id", *, reject_ties: bool = True, least: int = LEAST) -> DataFrame:
     """[JN-12] The best candidate of each payload, if it is strong, scores enough and (unless told) has no equal."""
-    rank = Window.partitionBy(key)
-    top = scored.withColumn("_top", F.max("score").over(rank)).where("score = _top").drop("_top")
-    top = top.withColumn("ties", F.count(F.lit(1)).over(rank))
     other = "operation_id" if key == "payload_id" else "payload_id"
-    first = top.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(other))).where("_n = 1").drop("_n")
+    rest = [c for c in scored.columns if c not in (key, "score")]
+    # by score first, so that a payload of many candidates is combined where they are
+    each = scored.groupBy(key, "score").agg(F.count(F.lit(1)).alias("ties"), F.min_by(F.struct(*rest), other).alias("r"))
+    top = each.groupBy(key).agg(F.max_by(F.struct("score", "ties", "r"), "score").alias("t"))
+    first = top.select(key, *[F.col(f"t.r.{c}").alias(c) for c in rest], F.col("t.score").alias("score"), F.col("t.ties").alias("ties")).select(*scored.columns, "ties")
     ok = F.col("strong") & (F.col("score") >= least)
     return first.where(ok & (F.col("ties") == 1) if reject_ties else ok)
 

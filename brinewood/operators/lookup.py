@@ -43,36 +43,58 @@ def search_variants(name: Column, hints: dict[str, list[str]] | None = None) ->
     return F.filter(every, lambda v, i: F.array_position(keys, F.upper(F.trim(v))) == i + 1)
 
 
+def _by_rarity(rows: DataFrame, ids: list[str], among: DataFrame) -> DataFrame:
+    """(ids..., ranked): the distinct keys of rows(ids..., k), those that the fewest of among(k) have first; ties by key."""
+    counts = among.groupBy(F.col("k").alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    told = rows.join(counts, F.col("k") == F.col("_k"), "left")
+    each = F.struct(F.coalesce("_n", F.lit(0).cast("long")).alias("n"), "k")
+    return told.groupBy(*ids).agg(F.array_sort(F.collect_set(each)).alias("ranked"))
+
+
 def fuzzy_lookup(queries: DataFrame, dim: DataFrame, *, query_id: str, query_name: str, dim_id: str, dim_name: str, least: int = 60, variants: bool = True, hints: dict[str, list[str]] | None = None) -> DataFrame:
     """[JN-05, JN-06, JN-08, JN-09] The best dimension row of each query: (query_id, dim_id, score), null id below `least`.
 
     The first of the name's variants that reaches `least` decides; a variant of less than three characters has to be
-    equal. Without `variants` only the name itself is scored. Every pair that match_score gives more than 0 is met, by
-    equality joins: names that share a word of three characters, and names of which one holds the other, by the first
-    three characters (or all, of a shorter name) of the one among all runs of three, two or one of the other. Ties go to
-    the smaller dimension id.
+    equal. Without `variants` only the name itself is scored. Ties go to the smaller dimension id.
+
+    Every pair that can score `least` is met, by equality joins on rare keys. Names that share so many words as it takes
+    share one of their rarest: of n words the first n + 1 - ceil(least / 60 * n), in the order of how many names have
+    them; from 60 on that is the rarest word alone. A name inside another has its rarest run of three characters (a
+    shorter name: itself) among the other's runs. So a word or run that all names have joins nothing, unless a name has
+    no other.
     """
     def words(x: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(match_text(x), F.lit("([A-Z0-9]{3,})"), F.lit(1)))
 
-    def runs(x: Column) -> Column:
-        whole = F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.array(*[F.substr(x, i, F.lit(n)) for n in (1, 2, 3)])))
-        return F.when(x != "", F.array_distinct(whole)).otherwise(F.array().cast("array<string>"))
+    def runs(x: Column, sizes: tuple[int, ...]) -> Column:
+        whole = F.flatten(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.array(*[F.substr(x, i, F.lit(n)) for n in sizes])))
+        return F.array_distinct(F.filter(whole, lambda r: F.length(r).isin(*sizes)))
 
     names = search_variants(F.col("_name"), hints) if variants else F.array("_name")
     named = queries.select(F.col(query_id).alias("_id"), F.col(query_name).alias("_name"))
-    q = named.select(F.col("_id").alias("q"), F.posexplode(names).alias("v", "qn")).withColumn("x", alnum_upper("qn"))
-    d = dim.select(F.col(dim_id).alias("d"), F.col(dim_name).alias("dn")).withColumn("y", alnum_upper("dn"))
-    q, d = q.where("x != ''"), d.where("y != ''")
-    start = lambda x: F.substring(x, 1, 3)
-    met = [
-        q.withColumn("k", F.explode(words(F.col("qn")))).join(d.withColumn("k", F.explode(words(F.col("dn")))), "k"),
-        q.withColumn("k", start("x")).join(d.withColumn("k", F.explode(runs(F.col("y")))), "k").where(F.contains("y", "x")),
-        q.withColumn("k", F.explode(runs(F.col("x")))).join(d.withColumn("k", start("y")), "k").where(F.contains("x", "y")),
-    ]
-    met = met[0].unionByName(met[1]).unionByName(met[2]).select("q", "v", "qn", "d", "dn", "x").distinct().withColumn("score", match_score(F.col("qn"), F.col("dn")))
-    met = met.where((F.col("score") >= least) & ((F.col("v") == 0) | (F.length("x") >= 3) | (F.col("score") == 100)))
-    best = met.groupBy("q").agg(F.max_by(F.struct("d", "score"), F.struct(-F.col("v"), "score", -F.col("d"))).alias("b"))
+    q = named.select(F.col("_id").alias("q"), F.posexplode(names).alias("v", "qn")).withColumn("x", alnum_upper("qn")).where("x != ''")
+    d = dim.select(F.col(dim_id).alias("d"), F.col(dim_name).alias("dn")).withColumn("y", alnum_upper("dn")).where("y != ''")
+    share = max(least, 1) / 60
+    met = []
+    if share <= 1:
+        every = q.select(F.explode(words(F.col("qn"))).alias("k")).unionByName(d.select(F.explode(words(F.col("dn"))).alias("k")))
+        n = F.size("ranked")
+        prefix = F.explode(F.transform(F.slice("ranked", F.lit(1), n + 1 - F.ceil(n * F.lit(share) - F.lit(1e-9)).cast("int")), lambda r: r["k"])).alias("k")
+        a = _by_rarity(q.select("q", "v", F.explode(words(F.col("qn"))).alias("k")), ["q", "v"], every).select("q", "v", prefix)
+        b = _by_rarity(d.select("d", F.explode(words(F.col("dn"))).alias("k")), ["d"], every).select("d", prefix)
+        met.append(a.join(b, "k").select("q", "v", "d"))
+    for inner, own, x, outer, other, y in ((q, ["q", "v"], "x", d, ["d"], "y"), (d, ["d"], "y", q, ["q", "v"], "x")):
+        held = outer.select(*other, F.explode(runs(F.col(y), (1, 2, 3))).alias("k"))
+        keys = inner.select(*own, F.explode(F.when(F.length(x) < 3, F.array(x)).otherwise(runs(F.col(x), (3,)))).alias("k"))
+        # no run of a name inside another is missing from that
+        rare = _by_rarity(keys, own, held).select(*own, F.get("ranked", F.lit(0)).alias("r")).where("r.n > 0").select(*own, F.col("r.k").alias("k"))
+        met.append(rare.join(held, "k").select("q", "v", "d"))
+    pairs = met[0]
+    for more in met[1:]:
+        pairs = pairs.unionByName(more)
+    both = pairs.distinct().join(q, ["q", "v"]).join(d, "d").withColumn("score", match_score(F.col("qn"), F.col("dn")))
+    both = both.where((F.col("score") >= least) & ((F.col("v") == 0) | (F.length("x") >= 3) | (F.col("score") == 100)) & (F.col("score") > 0))
+    best = both.groupBy("q").agg(F.max_by(F.struct("d", "score"), F.struct(-F.col("v"), "score", -F.col("d"))).alias("b"))
     out = queries.select(F.col(query_id).alias("q"))
     return out.join(best, "q", "left").select(F.col("q").alias(query_id), F.col("b.d").alias(dim_id), F.coalesce("b.score", F.lit(0)).alias("score"))
 
