@@ -6,7 +6,9 @@ again go to a chunk store that Spark joins keep free of duplicates; documents li
 and are read back by joining the list to the store. What is read back has to have the digest of what was written.
 
 Cases: a null text counts as empty; an empty text is 64 zero bytes; equal texts give equal values; repeated rows are
-stored once and listed each; an empty table gives an empty result.
+stored once and listed each; very long texts are whole files of many chunks; of equal chunks that several tasks give, the
+one written first stays; only the two named columns are read, so others may have any name; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ single moves, one-for-one and two-for-one exchanges that raise the sum of square
 bound on the bins is met.
 
 Cases: a null text counts as empty and is one piece of the end id alone; repeated rows are packed one by one;
-an empty table gives an empty result.
+very long texts are cut into pieces; pieces of equal length are interchangeable and go in the order of their rows' numbers;
+only the two named columns are read, so others may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,7 +1,9 @@
 """Sharding by jump consistent hashing: stable keys to shards without a ring table (law `key`).
 
 Cases: a null key hashes as a key of its own; rows that repeat a key share its shard and take slots of their own;
-a null text has no bytes; an empty table gives an empty result.
+a null text has no bytes, very long ones are only measured; shards and slots follow hashes, rows that tie in the slot's
+hash take neighbouring slots in any order; of the columns only the key and the text are read, and what is added has names
+that the query chooses, so others can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
