@@ -29,6 +29,23 @@ def overwrite_totals(parents: DataFrame, totals: DataFrame, key: str, measures:
     return joined.select(*out, *new, F.coalesce("_n", F.lit(0)).alias("n_children"), *diff)
 
 
+def record_totals(records: DataFrame, doc: str, measures: dict[str, str], containers: str = "containers") -> DataFrame:
+    """[AGG-03] (doc, measures..., teu, n_records): sums over the records of a document, and its distinct container numbers.
+
+    A document of one record takes a measure that the record lacks from the first of its containers that has it (measures
+    maps the record's column to the container's field); with several records it does not, since each repeats the
+    containers. Null where nothing has a value; container numbers are compared by letters and digits.
+    """
+    first = lambda field: F.get(F.filter(F.transform(containers, lambda c: c[field].cast("double")), lambda v: v.isNotNull()), F.lit(0))
+    sums = [F.bround(F.sum(F.col(m).cast("double")), 3).alias(m) for m in measures]
+    spare = [F.bround(F.sum(first(f)), 3).alias(f"_{m}") for m, f in measures.items()]
+    totals = records.groupBy(doc).agg(F.count(F.lit(1)).alias("n_records"), *sums, *spare)
+    numbers = records.select(F.col(doc).alias("_doc"), F.explode(F.transform(containers, lambda c: F.regexp_replace(F.upper(c["number"]), "[^A-Z0-9]", ""))).alias("_no")).where("_no != ''")
+    teu = numbers.groupBy("_doc").agg(F.count_distinct("_no").alias("teu"))
+    joined = totals.join(teu, F.col(doc) == F.col("_doc"), "left")
+    return joined.select(doc, *[F.when((F.col("n_records") == 1) & F.col(m).isNull(), F.col(f"_{m}")).otherwise(F.col(m)).alias(m) for m in measures], "teu", "n_records")
+
+
 def fill_totals(parents: DataFrame, totals: DataFrame, key: str, measures: list[str]) -> DataFrame:
     """[AGG-04, AGG-11] Parents keep positive totals and take the children's otherwise."""
     t = totals.select(F.col(key).alias("_k"), *[F.col(m).alias(f"_{m}") for m in measures])

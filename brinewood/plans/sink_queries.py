@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewood.operators import dictionary, diff, graph, posting, tables
+from brinewood.operators import dictionary, diff, graph, payload, posting, rollup, rules, tables
 from brinewood.plans.registry import query, read
 from brinewood.streaming import live
 
@@ -248,6 +248,72 @@ def json_differences(spark, sf_dir):
     return diff.field_diff(diff.json_leaves(both, "event_id", "sent"), diff.json_leaves(both, "event_id", "saved"), ["event_id"]).select("event_id", "path", "sent", "saved", "status")
 
 
+# ---- payloads, totals and loads ----------------------------------------------------------------------------------
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS k, o_custkey AS c, o_orderdate AS d, o_totalprice AS p, o_orderpriority AS w FROM orders),
+n AS (SELECT n_nationkey, n_name, row_number() OVER (PARTITION BY n_nationkey % 5) AS x FROM nation)
+SELECT id, 'Customer@odata.bind' AS raw, CASE WHEN k = 0 THEN 'Customer@odata.bind' END AS key, CASE WHEN k = 0 THEN '/accounts(1)' END AS value, 'sent' AS outcome FROM o WHERE k = 0
+UNION ALL SELECT id, 'customer', NULL, NULL, 'bound' FROM o WHERE k = 0
+UNION ALL SELECT id, 'nation', CASE WHEN k < 4 THEN 'Nation@odata.bind' END, CASE WHEN k < 4 THEN '/nations(' || c % 25 || ')' END, CASE WHEN k < 4 THEN 'bound_to' WHEN k = 4 THEN 'unresolved' ELSE 'ambiguous' END FROM o
+UNION ALL SELECT id, '_inner', NULL, NULL, 'not_sent' FROM o
+UNION ALL SELECT id, 'owner', NULL, NULL, 'read_only' FROM o
+UNION ALL SELECT id, 'sailed', CASE WHEN k <> 1 THEN 'sailing_date' END, CASE WHEN k <> 1 THEN strftime(d, '%Y-%m-%d') END, CASE WHEN k <> 1 THEN 'sent' ELSE 'no_date' END FROM o
+UNION ALL SELECT id, 'weight', CASE WHEN k <> 2 THEN 'gross' END, CASE WHEN k <> 2 THEN (c * 1000 + 1)::VARCHAR END, CASE WHEN k <> 2 THEN 'sent' ELSE 'repeated' END FROM o
+UNION ALL SELECT id, 'gross', 'gross', '7.5', 'sent' FROM o WHERE k = 2
+UNION ALL SELECT id, 'urgency', CASE WHEN w NOT LIKE '5%' THEN 'urgency' END, CASE WHEN w NOT LIKE '5%' THEN left(w, 1) END, CASE WHEN w NOT LIKE '5%' THEN 'sent' ELSE 'no_option' END FROM o
+UNION ALL SELECT id, 'note', 'note', left('note of ' || w, 12), CASE WHEN length('note of ' || w) > 12 THEN 'cut' ELSE 'sent' END FROM o""")
+def prepared_payloads(spark, sf_dir):
+    """[PRJ-07] Payloads of orders by a catalog: bound fields, aliases, read-only fields, lookups with and without their one row,
+    dates, decimals, options and long texts, each field with what became of it."""
+    o = read(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey")
+    lit = lambda v: F.lit(v)
+    nation = F.when(k < 4, F.concat(lit("nation "), (c % 25).cast("string"))).when(k == 4, "nowhere").otherwise("Twice")
+    fields = F.map_filter(F.create_map(
+        lit("Customer@odata.bind"), F.when(k == 0, "/accounts(1)"), lit("customer"), F.when(k == 0, "ACME"), lit("nation"), nation, lit("_inner"), lit("x"), lit("owner"), lit("me"),
+        lit("sailed"), F.when(k != 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise("soon"), lit("weight"), F.concat(F.format_number(c * 1000 + 1, 0), lit(".0 KGS")), lit("gross"), F.when(k == 2, "7,5"),
+        lit("urgency"), F.substring("o_orderpriority", 3, 20), lit("note"), F.concat(lit("note of "), "o_orderpriority"),
+    ), lambda _, v: v.isNotNull())
+    catalog = spark.createDataFrame(
+        [("customer", None, "lookup", "accounts", "Customer", None, True), ("nation", None, "lookup", "nations", "Nation", None, True), ("owner", None, "text", None, None, None, False), ("sailing_date", ["sailed"], "date", None, None, None, True),
+         ("gross", ["weight"], "decimal", None, None, None, True), ("urgency", None, "option", None, None, None, True), ("note", None, "text", None, None, 12, True)],
+        "field string, aliases array<string>, kind string, target string, bind_as string, most int, writable boolean",
+    )
+    n = read(spark, sf_dir, "nation")
+    labels = n.select(F.lit("nations").alias("target"), F.col("n_nationkey").alias("id"), F.regexp_replace("n_name", "_", " - ").alias("label")).unionByName(n.where("n_nationkey < 2").select(F.lit("nations").alias("target"), F.col("n_nationkey").alias("id"), F.lit("twice").alias("label")))
+    options = o.where("o_orderpriority not like '5%'").select(F.lit("urgency").alias("field"), F.substring("o_orderpriority", 3, 20).alias("label"), F.substring("o_orderpriority", 1, 1).cast("int").alias("code")).distinct()
+    return payload.prepare(o.select(F.col("o_orderkey").alias("id"), fields.alias("fields")), catalog, labels, options)
+
+
+@query("""
+WITH r AS (SELECT o_custkey AS doc, o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 50)::DOUBLE END AS packages FROM orders),
+n AS (SELECT doc, count(*) AS n FROM r GROUP BY 1),
+c AS (SELECT doc, k, unnest([1, 2]) AS i FROM r)
+SELECT r.doc, CASE WHEN any_value(n.n) = 1 THEN coalesce(sum(packages), sum(r.k % 9 + 0.5)) ELSE sum(packages) END::DOUBLE AS packages, any_value(t.teu) AS teu, count(*) AS n_records
+FROM r JOIN n ON r.doc = n.doc JOIN (SELECT doc, count(DISTINCT 'AB' || (k + i) % 7) AS teu FROM c GROUP BY 1) t ON t.doc = r.doc GROUP BY r.doc""")
+def record_totals(spark, sf_dir):
+    """[AGG-03] Totals of documents by their records, containers counted once; a lone record without a count takes that of its
+    first container that has one."""
+    k = F.col("o_orderkey")
+    box = lambda i, n: F.struct(F.concat(F.lit("ab-"), ((k + i) % 7).cast("string")).alias("number"), n.alias("packages"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.when(k % 3 != 0, (k % 50).cast("double")).alias("packages"), F.array(box(1, F.lit(None).cast("double")), box(2, k % 9 + 0.5)).alias("containers"))
+    return rollup.record_totals(rows, "doc", {"packages": "packages"})
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id % 5 AS k, coalesce(upper(text), '') AS u FROM documents)
+SELECT doc_id, CASE WHEN k = 0 THEN 300000000 WHEN k IN (1, 2) THEN 300000001 WHEN regexp_matches(u, 'LCL|CFS-CFS| CFS |CONSOLIDATION|LESS THAN CONTAINER|GROUPAGE|CARGO MANIFEST|CONSOLIDATED CARGO') THEN 300000001
+  WHEN contains(u, 'FCL') OR contains(u, 'FULL CONTAINER LOAD') THEN 300000000 WHEN k = 4 AND NOT contains(u, 'CFS') THEN 300000000 END::INT AS load FROM d""")
+def loads_by_record(spark, sf_dir):
+    """[RUL-04] Loads of documents' texts: a given code, cargo by house, the way of extraction, marks, containers alone."""
+    k = F.col("doc_id") % 5
+    no, none = F.lit(False), F.lit(None).cast("string")
+    load = rules.load_type_by_record(F.when(k == 0, "300000000"), F.col("text"), none, none, none, no, F.when(k == 4, 2).otherwise(0), F.when(k == 1, "pdf_Cargo_Manifest_direct").otherwise("native"), k == 2)
+    return read(spark, sf_dir, "documents").select("doc_id", load.cast("int").alias("load"))
+
+
 # ---- live status -------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brinewood.operators import dictionary, diff, graph, posting, tables
+from brinewood.operators import dictionary, diff, graph, payload, posting, rollup, tables
 from brinewood.sources import sinks
 
 
@@ -96,3 +96,23 @@ def test_charges_and_lists(spark):
     got = {r.shipper: (r.house_no, r.agrees) for r in tables.by_running_total(rows, houses).collect()}
     assert got == {"One": (1, True), "Three": (2, False)}
     assert rows.where(F.col("doc") == 2).count() == 0
+
+
+def test_payload_fields_and_hard_cases(spark):
+    rows = spark.createDataFrame([(1, {"a": "One", "b": "x", "A@odata.bind": None, "c": "2,5", "d": "31/02/2025", "t": "abcdef", "@x": "1", "z": ""}), (2, None), (3, {}), (4, {"old": "7", "c": "9", "a": "Two", "Z@odata.bind": "/z(1)", "z": "q", "o": "9"})], "id int, fields map<string,string>")
+    catalog = spark.createDataFrame([("a", None, "lookup", "t", "A", None, True), ("c", ["old"], "decimal", None, None, None, True), ("d", None, "date", None, None, None, True), ("t", None, "text", None, None, 3, True), ("b", None, "text", None, None, None, False), ("o", None, "option", None, None, None, True)], "field string, aliases array<string>, kind string, target string, bind_as string, most int, writable boolean")
+    labels = spark.createDataFrame([("t", 5, "one"), ("t", 6, "two"), ("t", 7, "TWO")], "target string, id int, label string")
+    options = spark.createDataFrame([("o", "nine", 9)], "field string, label string, code int")
+    out = payload.prepare(rows, catalog, labels, options)
+    assert {(r.id, r.raw): (r.key, r.value, r.outcome) for r in out.collect()} == {
+        (1, "a"): ("A@odata.bind", "/t(5)", "bound_to"), (1, "b"): (None, None, "read_only"), (1, "c"): ("c", "2.5", "sent"), (1, "d"): (None, None, "no_date"), (1, "t"): ("t", "abc", "cut"), (1, "@x"): (None, None, "not_sent"), (1, "z"): ("z", "", "sent"),
+        (4, "old"): (None, None, "repeated"), (4, "c"): ("c", "9", "sent"), (4, "a"): (None, None, "ambiguous"), (4, "Z@odata.bind"): ("Z@odata.bind", "/z(1)", "sent"), (4, "z"): (None, None, "bound"), (4, "o"): ("o", "9", "sent"),
+    }
+    assert {r.id: r.fields for r in payload.payload_maps(out).collect()}[4] == {"c": "9", "Z@odata.bind": "/z(1)", "o": "9"}
+
+
+def test_containers_stand_in_for_a_lone_record(spark):
+    kind = "d string, p double, containers array<struct<number:string,packages:double>>"
+    rows = spark.createDataFrame([("one", None, [("a-1", None), ("A1", 4.0)]), ("two", None, [("b1", 9.0)]), ("two", 2.0, [("b1", 9.0), (None, 1.0)]), ("none", None, None)], kind)
+    got = {r.d: (r.p, r.teu, r.n_records) for r in rollup.record_totals(rows, "d", {"p": "packages"}).collect()}
+    assert got == {"one": (4.0, 1, 1), "two": (2.0, 1, 2), "none": (None, None, 1)}
