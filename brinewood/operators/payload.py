@@ -29,7 +29,7 @@ def prepare(payloads: DataFrame, catalog: DataFrame, labels: DataFrame, options:
     """
     names = catalog.select(F.posexplode(F.concat(F.array("field"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("place", "name"), "field", "kind", "target", "bind_as", "most", "writable")
     names = names.groupBy("name").agg(F.min_by(F.struct("place", "field", "kind", "target", "bind_as", "most", "writable"), "place").alias("c"))
-    bound = F.transform(F.filter(F.map_keys("fields"), lambda k: F.endswith(k, F.lit(BIND))), lambda k: F.lower(F.substring(k, 1, F.length(k) - len(BIND))))
+    bound = F.transform(F.filter(F.map_keys(F.map_filter("fields", lambda _, v: v.isNotNull())), lambda k: F.endswith(k, F.lit(BIND))), lambda k: F.lower(F.substring(k, 1, F.length(k) - len(BIND))))
     rows = payloads.select("id", bound.alias("bound"), F.explode("fields").alias("raw", "value")).where("value is not null")
     rows = rows.join(names, F.col("raw") == F.col("name"), "left")
     field, kind = F.coalesce("c.field", "raw"), F.coalesce("c.kind", F.lit("text"))
