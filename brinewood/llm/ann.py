@@ -33,9 +33,9 @@ SEED = 9
 
 
 def breadth_of(n: int) -> int:
-    """Breadth of a search among n vectors. It grows with the root of the size beyond SHARD, since a beam of one breadth
+    """Breadth of a search among n vectors. It grows with the size beyond SHARD to the power 0.75, since a beam of one breadth
     finds a smaller part of the nearest in a larger graph."""
-    return int(BREADTH_SEARCH * max(1.0, n / SHARD) ** 0.5)
+    return int(BREADTH_SEARCH * max(1.0, n / SHARD) ** 0.75)
 
 
 def beam(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
