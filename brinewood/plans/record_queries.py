@@ -751,7 +751,9 @@ SELECT o_orderkey AS doc, ['house', 'sea_waybill', 'master', 'debit_note', 'draf
   CASE WHEN k = 0 THEN '9 Canal Road' END AS notify_addr, CASE WHEN k = 2 THEN 'CAIRO' END AS payable_at, CASE WHEN k = 2 THEN 'CFS/CFS' END AS service FROM o""")
 def layout_records(spark, sf_dir):
     """[WIN-01, RGX-16 to RGX-20, RGX-24] Five layouts told apart, each with its own columns."""
-    best = layouts.best_layout(layout_texts(spark, sf_dir), ["Shanghai", "Port Said"])
+    # a text costs milliseconds: dealt to all cores
+    texts = layout_texts(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
+    best = layouts.best_layout(texts, ["Shanghai", "Port Said"])
     names = ("parent_no", "child_no", "booking_no", "load_type", "freight_term", "packages", "gross_kg", "on_board_date", "issue_date", "destination", "vessel", "delivery", "carrier", "importer_tax", "incoterm", "description", "originals", "notes", "notify_addr", "payable_at", "service")
     return best.select("doc", "parser", *[F.col(f"record.{c}").alias(c) for c in names])
 

@@ -54,7 +54,8 @@ def port_routes(spark, sf_dir):
         .when(key == 3, F.concat(head, F.lit("one\ntwo\nthree\nfour\n"), "pa", F.lit("\n"), "pb", F.lit("\nend")))
         .otherwise(F.concat(F.lit("between "), "pa", F.lit(" "), "pb"))
     )
-    found = dictionary.routes(o.select(F.col("o_orderkey").alias("doc"), t.alias("text")), n.unionByName(short).select("name", "region"))
+    texts = o.select(F.col("o_orderkey").alias("doc"), t.alias("text")).repartition(4 * spark.sparkContext.defaultParallelism)
+    found = dictionary.routes(texts, n.unionByName(short).select("name", "region"))
     port = lambda c: F.upper(F.col(f"{c}.name")).alias(c)
     return found.where("origin is not null").select(F.col("id").alias("o_orderkey"), port("origin"), port("destination"), port("delivery"), "vessel", F.col("origin.region").alias("origin_region"))
 
