@@ -470,21 +470,21 @@ def levenshtein_pairs(spark, sf_dir):
 
 
 @query("""
-WITH x AS (SELECT o_orderkey AS id, o_orderstatus AS st, 'V' || o_custkey || 'W' AS voyage, o_orderdate::DATE AS d, o_custkey % 40 AS c FROM orders),
+WITH x AS (SELECT o_orderkey AS id, o_orderstatus AS st, 'V' || o_custkey || 'W' AS voyage, o_orderdate::DATE AS d FROM orders),
 s AS (SELECT p.id AS payload_id, o.id AS operation_id, 6 + CASE WHEN p.voyage = o.voyage OR (levenshtein(p.voyage, o.voyage) <= 2 AND levenshtein(p.voyage, o.voyage) / greatest(length(p.voyage), length(o.voyage))::DOUBLE < 0.3) THEN 3 ELSE 0 END AS score
-  FROM x p JOIN x o ON p.d = o.d AND p.c = o.c AND p.st = 'P' AND o.st = 'F'),
+  FROM x p JOIN x o ON p.d = o.d AND p.st = 'P' AND o.st = 'F'),
 t AS (SELECT *, max(score) OVER (PARTITION BY payload_id) AS top FROM s), u AS (SELECT *, count(*) OVER (PARTITION BY payload_id) AS ties FROM t WHERE score = top)
 SELECT payload_id, operation_id, score::INT AS score FROM u WHERE ties = 1""")
 def evidence_link(spark, sf_dir):
-    """[JN-12, JN-18, JN-19] Parents found by evidence, ties rejected: a day and a part of the customers make a container."""
+    """[JN-12, JN-18, JN-19] Parents found by evidence, ties rejected: here the day stands for a container and a date."""
     empty = F.array().cast("array<string>")
     day = F.array(F.col("o_orderdate").cast("date").cast("string"))
     orders = read(spark, sf_dir, "orders")
     side = lambda status: orders.where(F.col("o_orderstatus") == status).select(
         F.col("o_orderkey").alias("id"), F.lit("").alias("vessel"), F.concat(F.lit("V"), F.col("o_custkey").cast("string"), F.lit("W")).alias("voyage"), F.lit("").alias("origin"), F.lit("").alias("destination"),
-        F.transform(day, lambda x: F.concat(x, F.lit("/"), (F.col("o_custkey") % 40).cast("string"))).alias("containers"), empty.alias("seals"), day.alias("dates"), empty.alias("references"),
+        day.alias("containers"), empty.alias("seals"), day.alias("dates"), empty.alias("references"),
     )
-    return link.best_link(link.score(side("P"), side("F"))).select("payload_id", "operation_id", "score")
+    return link.best_by_evidence(side("P"), side("F")).select("payload_id", "operation_id", "score")
 
 
 @query("""

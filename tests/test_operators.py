@@ -1,5 +1,6 @@
 """Relational operators on literal rows."""
 
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -98,6 +99,39 @@ def test_evidence(spark):
     assert link.adopt_by_evidence(payloads, operations).count() == 3
 
 
+def random_side(spark, rng, n, start):
+    some = lambda kind, k, most: [f"{kind}{rng.randrange(k)}" for _ in range(rng.randrange(most + 1))]
+    voyage = lambda: rng.choice(["", None, "V" * 22 + str(rng.randrange(1000))] + [rng.choice(["", "V", "0"]) + str(rng.randrange(10 ** rng.randrange(1, 7))) + rng.choice("WO") for _ in range(5)])
+    return side(spark, [(start + i, rng.choice(["", "Star", "sun"]), voyage(), rng.choice(["", "A", "AB", None]), rng.choice(["", "B"]), some("C", 4, 3), some("S", 9, 2) or None, some("d", 5, 2), some("R", 3, 1)) for i in range(n)])
+
+
+def test_best_by_evidence(spark, monkeypatch):
+    """The same links as by scoring every pair, with lists of one cell and of many."""
+    for seed, cell in ((1, link.CELL), (2, 7)):
+        rng = random.Random(seed)
+        monkeypatch.setattr(link, "CELL", cell)
+        payloads, operations = random_side(spark, rng, 150, 0), random_side(spark, rng, 200, 1000)
+        scored = link.score(payloads, operations).cache()
+        for reject in (True, False):
+            want, got = (sorted(map(tuple, df.select("payload_id", "operation_id", "score", "reasons", "strong", "ties").collect())) for df in (link.best_link(scored, reject_ties=reject), link.best_by_evidence(payloads, operations, reject_ties=reject)))
+            assert want == got and len(got) > 20
+
+
+def test_evidence_link_meets_all_orders_of_a_day(spark):
+    """Every order of a day is a candidate, whatever its customer."""
+    from brinewood.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").collect()
+    by_day = {}
+    for r in orders:
+        if r.o_orderstatus == "F":
+            by_day.setdefault(r.o_orderdate.date(), []).append(r)
+    want = {(r.o_orderkey, met[0].o_orderkey) for r in orders if r.o_orderstatus == "P" and len(met := by_day.get(r.o_orderdate.date(), [])) == 1}
+    got = {(r.payload_id, r.operation_id) for r in catalog.evidence_link(spark, folder).collect()}
+    assert want and want <= got
+
+
 def test_scoped_find(spark):
     q = spark.createDataFrame([(1, "N", 7), (2, "N", 8), (3, "Z", 7)], "q int, number string, master_id int")
     ops = spark.createDataFrame([(100, "N", 7), (101, "N", None), (102, "N", 9)], "id int, number string, parent_id int")
