@@ -13,6 +13,8 @@ only the two named columns are read, so others may have any name; an empty table
 from __future__ import annotations
 
 import heapq
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -29,8 +31,14 @@ LENGTH = 1024
 END_ID = 2
 #: Pieces that one packing task holds; each block wastes a part of a sequence at most.
 BLOCK = 8192
-#: Encoded words that a worker keeps, and their characters.
+#: Encoded runs or words that a worker keeps, and their characters.
 CACHED_WORDS, CACHED_CHARS = 1_000_000, 16_000_000
+#: The letters of texts that are cut into runs here: Latin and Cyrillic ones that are letters in every version of Unicode.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ԓ"
+#: The byte-level pre-tokenizer's own cut of a text, for texts of these letters, printable ASCII and line ends.
+RUNS = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
+CUT_HERE = re.compile(rf"[ -~\n{LETTERS}]*")
+SIGNS = [c for c in map(chr, range(33, 127)) if not c.isalpha()]
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -42,8 +50,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """Texts to packed 32-bit ids.
 
-    The tokenizer splits a text before each single space that a word follows, so the parts between such spaces are
-    encoded once and kept. Where white space is doubled, the whole text is encoded instead.
+    A byte-level tokenizer cuts a text into runs of letters, digits, signs or white space and encodes each by itself. Texts of
+    known letters are cut here in the same way, and each run is encoded once and kept. Other texts are split before each
+    single space that a word follows, as the tokenizer does too, and the parts are kept; where their white space is doubled,
+    the whole text is encoded instead.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS) -> None:
@@ -51,34 +61,82 @@ class Encoder:
 
         self.tokenizer, self.cached, self.ids, self.chars = Tokenizer.from_file(path), cached, {}, 0
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
-
-    def _fresh(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part. Parts of one word are encoded many at a time, one a line: no token spans a line's end."""
-        plain = [p for p in parts if p[:1] == " " and p[1:].split() == [p[1:]] and "<|" not in p]
+        self.lines = self._by_lines()
+
+    def _by_lines(self):
+        """The same model for texts whose lines are runs, which needn't be cut any more; none if the cut is another one."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own = json.loads(self.tokenizer.to_str())
+        cut = own["pre_tokenizer"] or {}
+        if own["normalizer"] or own["post_processor"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) != ("ByteLevel", False, True):
+            return None
+        if any("<|" not in t["content"] for t in own["added_tokens"]):
+            return None
+        out = Tokenizer.from_str(json.dumps(own | {"added_tokens": []}))
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
+    def _each_line(self, tokenizer, parts: list[str], at_once: int) -> dict[str, bytes]:
+        """Ids of parts without line ends, many at a time, one a line: no token spans a line's end."""
         found: dict[str, bytes] = {}
-        lines = [plain[i : i + 2000] for i in range(0, len(plain), 2000)]
-        for own, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(x) + "\n" for x in lines], add_special_tokens=False), strict=True):
+        lines = [parts[i : i + at_once] for i in range(0, len(parts), at_once)]
+        for own, e in zip(lines, tokenizer.encode_batch_fast(["\n".join(x) + "\n" for x in lines], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(ids == self.line_end).tolist()
             if len(ends) == len(own):
                 data = ids.tobytes()
                 found.update((p, data[4 * a : 4 * b]) for p, a, b in zip(own, [0, *(x + 1 for x in ends[:-1])], ends, strict=True))
+        return found
+
+    def _fresh(self, parts: list[str], tokenizer, at_once: int) -> list[bytes]:
+        """Ids of each part. Parts of one word or run are encoded many at a time."""
+        if tokenizer is self.lines:
+            plain = [p for p in parts if p[-1:].isalpha()]
+        else:
+            plain = [p for p in parts if p[:1] == " " and p[1:].split() == [p[1:]] and "<|" not in p]
+        found = self._each_line(tokenizer, plain, at_once)
         rest = [p for p in parts if p not in found]
         found.update(zip(rest, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
         return [found[p] for p in parts]
 
+    def _runs(self, text: str) -> list[str] | None:
+        """The runs of a text; where it holds neither apostrophes nor doubled white space, digits and signs that meet stay together."""
+        if self.lines is None or "<|" in text or not CUT_HERE.fullmatch(text):
+            return None
+        if "'" in text or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
+            return RUNS.findall(text)
+        for c in SIGNS:
+            if c in text:
+                text = text.replace(c, f"\1{c}\2")
+        text = text.replace("\2\1", "").replace(" \1", " ")  # signs that meet stay together, and with the space before them
+        return text.replace("\1", "\0").replace("\2", "\0").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _parts(self, text: str) -> list[str] | None:
+        if "  " in text or "\0" in text:
+            return None
+        return text.replace(" ", "\0 ").split("\0")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "  " in t else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = set().union(*[p for p in split if p]).difference(self.ids) if split else set()
-        if len(self.ids) + len(new) > self.cached or self.chars > CACHED_CHARS:
+        runs = [self._runs(t) for t in texts]
+        split = [self._parts(t) if r is None else None for t, r in zip(texts, runs, strict=True)]
+
+        def new() -> tuple[list[str], list[str]]:
+            """Runs and parts that aren't kept yet; either is what the tokenizer makes of it alone."""
+            cut = set().union(*[r for r in runs if r]).difference(self.ids)
+            return list(cut), list(set().union(*[p for p in split if p]).difference(self.ids, cut))
+
+        cut, parts = new()
+        if len(self.ids) + len(cut) + len(parts) > self.cached or self.chars > CACHED_CHARS:
             self.ids.clear()
-            self.chars, new = 0, set().union(*[p for p in split if p])
-        new = list(new)
-        self.chars += sum(map(len, new))
-        self.ids.update(zip(new, self._fresh(new), strict=True))
-        whole = iter(self._fresh([t for t, p in zip(texts, split, strict=True) if p is None]))
+            self.chars = 0
+            cut, parts = new()
+        self.chars += sum(map(len, cut)) + sum(map(len, parts))
+        self.ids.update(zip(cut, self._fresh(cut, self.lines, 500), strict=True))
+        self.ids.update(zip(parts, self._fresh(parts, self.tokenizer, 2000), strict=True))
+        whole = iter(self._fresh([t for t, r, p in zip(texts, runs, split, strict=True) if r is None and p is None], self.tokenizer, 2000))
         get = self.ids.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in split]
+        return [next(whole) if r is None and p is None else b"".join(map(get, p if r is None else r)) for r, p in zip(runs, split, strict=True)]
 
 
 def encoder(path: str) -> Encoder:

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from brinewood.llm import packing
@@ -76,3 +77,26 @@ def test_real_lengths(spark, monkeypatch):
     before, after = best_fit(sizes, 1024, monkeypatch), packing.pack_block(sizes)
     assert sound(after, sizes, 1024) and packing.least_bins(sizes, 1024) <= len(after) <= len(before)
     assert len(after) == packing.least_bins(sizes, 1024) or trade_left(after, sizes, 1024) is None
+
+
+def test_words_are_encoded_once_whatever_signs_follow():
+    own = packing.Encoder(packing.tokenizer_path())
+    words = ["ab" + chr(97 + i % 26) + chr(97 + i // 26) for i in range(200)]
+    own.encode([" ".join(w + sign for w in words) for sign in (".", ",", "!!", ".\nSo", "")])
+    assert len(own.ids) <= len(words) + 20
+
+
+def test_runs_are_the_tokenizers():
+    """Texts of known letters, signs, digits, line ends and apostrophes, and such that hold others: the same ids as of the whole text."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    own, whole = packing.Encoder(path), Tokenizer.from_file(path)
+    rng = random.Random(5)
+    some = ["ab", "Zé", "ñ", "ж", "ß", " ", " ", " ", "  ", "\n", ".", "!!", "(", "42", "7", "'", "'s", "'ll", "_", "|", "<", "\t", "\u00a0", "\u0301", "\u4e2d", "²", "ª", "\x01", "\x02", "\0"]
+    for kinds in (some[:8] + some[9:15], some[:21], some):
+        texts = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+        texts += [" .", ". ", "a .\n(b) c", "\n", " a", "a ", "1.5", "x1 2y", "-- a--b --", "<|endoftext|>", "a<|endoftext|>.b"]
+        for lo in range(0, len(texts), 500):
+            part = texts[lo : lo + 500]
+            assert own.encode(part) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(part, add_special_tokens=False)]
