@@ -26,8 +26,13 @@ def visual_grid(words: DataFrame, ids: str, tolerance: float = 3.0) -> DataFrame
     numbers is the head. A word belongs to the column whose span it overlaps most, the left one of equals, whatever stands
     in the cells before it, so a missing cell moves no other; words left of all columns are the row's label. Words of the
     head, of rows above it, and words that overlap no column are left out. Spans meet by strips of the page, not by pairs
-    of all words and columns.
+    of all words and columns. Columns are told apart by their place, so those that one number heads stay apart.
     """
+    return _cells(words, ids, tolerance).drop("left_edge")
+
+
+def _cells(words: DataFrame, ids: str, tolerance: float) -> DataFrame:
+    """visual_grid with the left edge of each cell's column."""
     page = Window.partitionBy("doc", "page")
     down = page.orderBy("y", "x0", "word")
     rows = words.where("x1 >= x0").withColumn("new", (F.col("y") - F.lag("y").over(down) > tolerance).cast("int"))
@@ -39,19 +44,20 @@ def visual_grid(words: DataFrame, ids: str, tolerance: float = 3.0) -> DataFrame
     cells = rows.where("row_no > head").drop("number", "new", "head")
     spans = cells.withColumn("strip", _strips(F.col("x0"), F.col("x1"))).join(columns.withColumn("strip", _strips(F.col("c0"), F.col("c1"))), ["doc", "page", "strip"])
     overlap = F.least("x1", "c1") - F.greatest("x0", "c0")
-    best = spans.withColumn("overlap", overlap).where("overlap >= 0").groupBy("doc", "page", "row_no", "y", "x0", "x1", "word").agg(F.max(F.struct("overlap", (-F.col("c0")).alias("c"), "number"))["number"].alias("number"))
+    best = spans.withColumn("overlap", overlap).where("overlap >= 0").groupBy("doc", "page", "row_no", "y", "x0", "x1", "word").agg(F.max(F.struct("overlap", (-F.col("c0")).alias("c"), "number")).alias("m"))
+    best = best.select("doc", "page", "row_no", "y", "x0", "word", F.col("m.number").alias("number"), (-F.col("m.c")).alias("left_edge"))
     joined = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "y", "word"))), lambda w: w["word"]), " ")
-    values = best.groupBy("doc", "page", "row_no", "number").agg(joined().alias("value"))
+    values = best.groupBy("doc", "page", "row_no", "number", "left_edge").agg(joined().alias("value"))
     labels = cells.join(left, ["doc", "page"]).where("x1 < left").groupBy("doc", "page", "row_no").agg(joined().alias("label"))
-    return values.join(labels, ["doc", "page", "row_no"], "left").select("doc", "page", "row_no", "label", "number", "value")
+    return values.join(labels, ["doc", "page", "row_no"], "left").select("doc", "page", "row_no", "label", "number", "value", "left_edge")
 
 
 def package_grid(words: DataFrame, ids: str, measures: dict[str, str], tolerance: float = 3.0) -> DataFrame:
     """[RGX-14, AGG-11] (doc, page, number, measures...) of visual_grid: for each measure the number in the row whose label
-    matches its pattern; the upper one of several rows; a missing cell is null."""
-    grid = visual_grid(words, ids, tolerance)
+    matches its pattern; the upper one of several rows; a missing cell is null. A row a column, even if numbers repeat."""
+    grid = _cells(words, ids, tolerance)
     heads = [F.min_by(parse_number(F.col("value")), F.when(F.upper("label").rlike(p), F.col("row_no"))).alias(m) for m, p in measures.items()]
-    return grid.groupBy("doc", "page", "number").agg(*heads)
+    return grid.groupBy("doc", "page", "number", "left_edge").agg(*heads).drop("left_edge")
 
 
 CHARGE = "struct<number:string,kgs:double,cbm:double,description:string,unit:string,quantity:double,unit_price:double,currency:string,debit:double,credit:double>"
