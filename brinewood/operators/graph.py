@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,100 @@ def surrogate(entity: str, parent_id: Column, key: Sequence[Column]) -> Column:
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
+def _names(levels: Sequence[Level]) -> dict[str, dict[str, str]]:
+    """For each entity its key columns by the names they have in a graph's frame: a child's begin with its parent's."""
+    out: dict[str, dict[str, str]] = {}
+    keys = {level.entity: level.key for level in levels}
+    for level in levels:
+        above = out.get(level.parent, {})
+        own = dict(zip(level.parent_key, (above[k] for k in keys.get(level.parent, ())), strict=True))
+        out[level.entity] = own | {k: f"_k_{level.entity}_{k}" for k in level.key if k not in own}
+    return out
+
+
+def _value(level: Level, column: str) -> str:
+    return f"_v_{level.entity}_{column}"
+
+
+def together(levels: Sequence[Level], inputs: Sequence[dict[str, DataFrame]], stored: dict[str, DataFrame]) -> DataFrame:
+    """One frame of a graph: rows of the inputs, numbered from 0 as `_run`, and of what is stored (`_run` is null), for `write`.
+
+    Levels have one root. Rows are dealt by the root's key and sorted by all keys once; all that `write` does keeps that
+    place and order, so any number of writes moves no row again. Rows without a key part are left out of the inputs.
+    """
+    names, parts = _names(levels), []
+    for level in levels:
+        values = [*level.scalars, *level.lookups]
+        named = [F.col(k).alias(n) for k, n in names[level.entity].items()]
+        held = [F.col(c).alias(_value(level, c)) for c in values]
+        for run, rows in enumerate(inputs):
+            if level.entity in rows:
+                whole = rows[level.entity].dropna(subset=list(names[level.entity]))
+                parts.append(whole.select(F.lit(level.entity).alias("_entity"), F.lit(run).alias("_run"), *named, *held))
+        if level.entity in stored:
+            there = stored[level.entity]
+            more = [c for c in there.columns if c not in ("id", "parent_id", "action", *names[level.entity], *values)]
+            parts.append(there.select(F.lit(level.entity).alias("_entity"), *named, *held, "id", "parent_id", *more))
+    frame = parts[0]
+    for part in parts[1:]:
+        frame = frame.unionByName(part, allowMissingColumns=True)
+    lacking = {"_run": "int", "id": "string", "parent_id": "string"} | {_value(level, c): "string" for level in levels for c in (*level.scalars, *level.lookups)}
+    frame = frame.withColumns({c: F.lit(None).cast(kind) for c, kind in lacking.items() if c not in frame.columns} | {"action": F.lit(None).cast("string")})
+    keys = list(dict.fromkeys(n for level in levels for n in names[level.entity].values()))
+    spark = frame.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return frame.repartition(n, keys[0]).withColumn("_row", F.monotonically_increasing_id()).sortWithinPartitions(*keys)
+
+
+def write(levels: Sequence[Level], frame: DataFrame, run: int = 0) -> DataFrame:
+    """The frame after one of its inputs has been written: see `resolve`. Stored rows have `action`; the inputs stay as they are."""
+    names = _names(levels)
+    more = [c for c in frame.columns if not c.startswith("_") and c not in ("id", "parent_id", "action")]
+    for level in levels:
+        keys, mine = names[level.entity], F.col("_entity") == level.entity
+        coming, old = mine & F.coalesce(F.col("_run") == run, F.lit(False)), mine & F.col("_run").isNull()
+        above, columns = F.coalesce("parent_id", F.lit("")), frame.columns
+        if level.parent is None:
+            frame = frame.withColumn("_to", F.array(F.lit("")))
+        else:
+            parent = (F.col("_entity") == level.parent) & F.col("_run").isNull()
+            frame = frame.withColumn("_to", F.collect_list(F.when(parent, F.col("id"))).over(Window.partitionBy(*[keys[k] for k in level.parent_key])))
+        same = Window.partitionBy(*keys.values())
+        values = {c: _value(level, c) for c in (*level.scalars, *level.lookups)}
+        merged = {f"_m{v}": F.min(F.when(coming, F.col(v))).over(same) for v in values.values()}
+        frame = frame.withColumns({"_first": F.min(F.when(coming, F.col("_row"))).over(same), "_olds": F.collect_set(F.when(old, above)).over(same), **merged})
+        alone = F.array(F.lit(None).cast("string"))
+        frame = frame.withColumn("_new", F.explode(F.when(coming & (F.col("_row") == F.col("_first")), F.concat(alone, F.array_except("_to", "_olds"))).otherwise(alone)))
+        frame = frame.sortWithinPartitions(*[c for c in columns if c.startswith("_k_")])  # an order that explode has lost to the planner
+        new = F.col("_new").isNotNull()
+        found = ~new & old & F.col("_first").isNotNull() & F.array_contains("_to", above)
+        unnamed = new | (old & F.col("id").isNull())
+        out, changed = {}, F.lit(False)
+        for c, v in values.items():
+            kept = F.coalesce(f"_m{v}", v) if c in level.lookups else F.col(f"_m{v}")
+            changed = changed | ~kept.eqNullSafe(F.col(v))
+            out[v] = F.when(new, F.col(f"_m{v}")).when(found, kept).otherwise(F.col(v))
+        under = F.when(new, F.nullif("_new", F.lit(""))).otherwise(F.col("parent_id"))
+        out |= {
+            "id": F.when(unnamed, surrogate(level.entity, under, [F.col(keys[k]) for k in level.key if k not in level.parent_key])).otherwise(F.col("id")),
+            "parent_id": under,
+            "action": F.when(unnamed, "created").when(found, F.when(changed, "updated").otherwise("same")).when(old, "kept").otherwise(F.col("action")),
+            "_run": F.when(~new, F.col("_run")),
+            **{c: F.when(~new, F.col(c)) for c in more},
+        }
+        frame = frame.select(*[out[c].alias(c) if c in out else F.col(c) for c in columns])
+    return frame
+
+
+def rows_of(levels: Sequence[Level], frame: DataFrame, entity: str) -> DataFrame:
+    """(id, parent_id, key..., scalars..., lookups..., action, ...) of an entity's stored rows in a frame."""
+    level = next(x for x in levels if x.entity == entity)
+    more = [c for c in frame.columns if not c.startswith("_") and c not in ("id", "parent_id", "action")]
+    rows = frame.where((F.col("_entity") == entity) & F.col("_run").isNull())
+    names = _names(levels)[entity]
+    return rows.select("id", "parent_id", *[F.col(names[k]).alias(k) for k in level.key], *[F.col(_value(level, c)).alias(c) for c in (*level.scalars, *level.lookups)], "action", *more)
+
+
 def resolve(levels: Sequence[Level], incoming: dict[str, DataFrame], stored: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """[SNK-01, SNK-03] For each entity the rows (id, parent_id, key..., scalars..., lookups..., action) that a write leaves it:
     parents first, each child under the id that its parent has, found or new.
@@ -41,31 +136,19 @@ def resolve(levels: Sequence[Level], incoming: dict[str, DataFrame], stored: dic
     found, however it came by its id, and keeps it; others are created. Rows of one key are one row, first values in the
     order of the columns that aren't null. action: created, updated (a value differs), same, or kept (not in the input).
     Rows without a key part or without a known parent are orphans and written nowhere; see `orphans`. A second run of the
-    same input creates and updates nothing.
+    same input creates and updates nothing. To write more than once, keep the frame (`together`, `write`): it is moved once.
     """
+    own = {level.entity: {c for c in ("id", "parent_id", *level.key, *level.scalars, *level.lookups)} for level in levels}
+    there = {k: v.select(*[c for c in v.columns if c in own[k]]) for k, v in stored.items() if k in own}
     out: dict[str, DataFrame] = {}
-    by_name = {level.entity: level for level in levels}
-    for level in levels:
-        values = [*level.scalars, *level.lookups]
-        rows = _placed(level, incoming[level.entity], out, by_name).where("_ok")
-        merged = rows.groupBy("parent_id", *level.key).agg(*[F.min(c).alias(c) for c in values])
-        there = stored.get(level.entity)
-        new_id = surrogate(level.entity, F.col("parent_id"), [F.col(k) for k in level.key if k not in level.parent_key])
-        if there is None:
-            out[level.entity] = merged.select(new_id.alias("id"), "parent_id", *level.key, *values, F.lit("created").alias("action"))
-            continue
-        old = there.select(F.col("id").alias("_id"), F.col("parent_id").alias("_parent"), *[F.col(k).alias(f"_{k}") for k in level.key], *[F.col(c).alias(f"_{c}") for c in values])
-        on = F.col("parent_id").eqNullSafe(F.col("_parent"))
-        for k in level.key:
-            on = on & (F.col(k) == F.col(f"_{k}"))
-        both = merged.withColumn("_in", F.lit(True)).join(old, on, "full_outer")
-        kept = {c: F.coalesce(c, f"_{c}") if c in level.lookups else F.when(F.col("_in"), F.col(c)).otherwise(F.col(f"_{c}")) for c in values}
-        changed = F.lit(False)
-        for c in values:
-            changed = changed | ~kept[c].eqNullSafe(F.col(f"_{c}"))
-        action = F.when(F.col("_id").isNull(), "created").when(F.col("_in").isNull(), "kept").when(changed, "updated").otherwise("same")
-        keys = [F.coalesce(k, f"_{k}").alias(k) for k in level.key]
-        out[level.entity] = both.select(F.coalesce("_id", new_id).alias("id"), F.coalesce("parent_id", "_parent").alias("parent_id"), *keys, *[v.alias(c) for c, v in kept.items()], action.alias("action"))
+    for root in [level for level in levels if level.parent is None]:
+        under, tree = {root.entity}, []
+        for level in levels:
+            if level is root or level.parent in under:
+                under.add(level.entity)
+                tree.append(level)
+        frame = write(tree, together(tree, [{k: v for k, v in incoming.items() if k in under}], {k: v for k, v in there.items() if k in under}))
+        out |= {level.entity: rows_of(tree, frame, level.entity) for level in tree}
     return out
 
 

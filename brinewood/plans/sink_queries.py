@@ -180,18 +180,13 @@ def entity_graph(spark, sf_dir):
     container = l.join(brand, F.col("l_partkey") == F.col("p_partkey"), "left").select(F.col("l_orderkey").alias("order_no"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("part_no"), "brand")
     levels, incoming = graph_levels(), {"master": master, "house": house, "container": container}
     stale = master.where("order_no % 4 <> 0").withColumn("status", F.when(F.col("order_no") % 4 == 1, "?").otherwise(F.col("status")))
-    store = graph.resolve(levels[:2], {"master": stale, "house": house.where("order_no % 4 <> 0")}, {})
     # what the input leaves open does not empty what is stored
     sent = incoming | {"master": master.withColumn("customer", F.when(F.col("order_no") % 3 != 0, F.col("customer")))}
-    first = graph.resolve(levels, sent, {k: v.drop("action") for k, v in store.items()})
-    second = graph.resolve(levels, sent, {k: v.drop("action") for k, v in first.items()})
-    rows = None
-    for level in levels:
-        again = second[level.entity].select(F.col("id").alias("_i"), F.col("action").alias("second_run"))
-        own = first[level.entity].withColumnRenamed("action", "first_run").join(again, F.col("id") == F.col("_i"), "full_outer")
-        own = own.select(F.lit(level.entity).alias("entity"), F.concat_ws("/", *level.key).alias("key"), "id", "parent_id", "first_run", "second_run")
-        rows = own if rows is None else rows.unionByName(own)
-    return rows
+    frame = graph.together(levels, [{"master": stale, "house": house.where("order_no % 4 <> 0")}, sent], {})
+    frame = graph.write(levels, graph.write(levels[:2], frame, 0), 1).withColumn("first_run", F.col("action"))
+    frame = graph.write(levels, frame, 1).where("_run is null")
+    keys = [c for c in frame.columns if c.startswith("_k_")]
+    return frame.select(F.col("_entity").alias("entity"), F.concat_ws("/", *keys).alias("key"), "id", "parent_id", "first_run", F.col("action").alias("second_run"))
 
 
 @query("""

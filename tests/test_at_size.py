@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from brinewood.operators import link, tables
+from brinewood.operators import graph, link, tables
 
 
 def test_grid_columns_that_one_number_heads_stay_apart(spark):
@@ -23,3 +23,22 @@ def test_children_of_a_shared_number_are_found_without_pairs(spark):
     got = {r.q: r.id for r in link.scoped_find(q, ops).collect()}
     assert got == {i: (0, 1, 2)[i % 3] for i in range(20_000)}
     assert time.time() - began < 60
+
+
+def test_a_graph_is_written_twice_and_moved_once(spark):
+    levels = [graph.Level("m", ["a"], None, (), ["s"]), graph.Level("h", ["a", "b"], "m", ["a"], ["q"]), graph.Level("c", ["a", "b", "d"], "h", ["a", "b"])]
+    m = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "w")], "a long, s string")
+    h = spark.createDataFrame([(1, "p", 1), (2, "p", 2), (9, "p", 3), (1, None, 4)], "a long, b string, q int")
+    c = spark.createDataFrame([(1, "p", 5), (2, "p", 6), (2, "q", 7)], "a long, b string, d int")
+    stored = {"m": spark.createDataFrame([("own", None, 1, "x", 5), ("also", None, 1, "v", 6), ("gone", None, 3, "u", 7)], "id string, parent_id string, a long, s string, more int")}
+    first = graph.write(levels, graph.together(levels, [{"m": m, "h": h, "c": c}], stored))
+    got = {e: graph.rows_of(levels, first, e).collect() for e in "mhc"}
+    assert sorted((r.a, r.id[:4], r.s, r.action, r.more) for r in got["m"] if r.a != 2) == [(1, "also", "x", "updated", 6), (1, "own", "x", "same", 5), (3, "gone", "u", "kept", 7)]
+    assert [(r.s, r.action, r.more) for r in got["m"] if r.a == 2] == [("y", "created", None)]
+    assert sorted((r.a, r.b, r.parent_id[:4]) for r in got["h"] if r.a == 1) == [(1, "p", "also"), (1, "p", "own")] and len(got["h"]) == len(got["c"]) == 3
+    apart = graph.resolve(levels, {"m": m, "h": h, "c": c}, stored)
+    assert all(sorted(map(str, apart[e].select("id", "parent_id", "action").collect())) == sorted(map(str, graph.rows_of(levels, first, e).select("id", "parent_id", "action").collect())) for e in "mhc")
+    second = graph.write(levels, first.withColumn("was", F.col("action")))
+    assert {(r.was, r.action) for r in graph.rows_of(levels, second, "c").collect()} == {("created", "same")}
+    plan = second._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) == 1
