@@ -4,7 +4,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from brinewood.operators import graph, link, tables
+from brinewood.functions import scored
+from brinewood.operators import graph, layouts, link, tables
 
 
 def test_grid_columns_that_one_number_heads_stay_apart(spark):
@@ -42,3 +43,18 @@ def test_a_graph_is_written_twice_and_moved_once(spark):
     assert {(r.was, r.action) for r in graph.rows_of(levels, second, "c").collect()} == {("created", "same")}
     plan = second._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) == 1
+
+
+def test_numbers_with_units_are_found_without_trying_every_start(spark):
+    text = "12.5 PALLETS\nGROSS WEIGHT: 1,250.50 KGS\x01 2020 KGS BOX12 PKG, SAID TO CONTAIN\n3,000 bags S.T.C 4 rolls STC5 BOXES 12 M3"
+    one = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    got = one.select(scored.gross_weight(F.col("t")).alias("g"), scored.volume(F.col("t")).alias("v"), scored.package_unit(F.col("t")).alias("u")).collect()
+    assert [tuple(r) for r in got] == [(1250.5, 12.0, "BAG"), (None, None, None), (None, None, None)]
+    # the unit is told once, not once for each use of it
+    plan = one.select(scored.package_unit(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("CTNS") <= 8
+
+
+def test_lines_below_a_label_are_split_once(spark):
+    plan = spark.range(1).select(layouts.after_label(F.col("id").cast("string"), "NOTIFY").alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1
