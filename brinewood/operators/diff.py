@@ -70,26 +70,21 @@ def json_leaves(df: DataFrame, key: str, column: str, most: int = 64) -> DataFra
     """[PRJ-04] (key, path, value) of all leaves of JSON texts of any shape: dotted names, [i] for elements; an empty object or
     array is a leaf, a JSON null has a null value.
 
-    Each round opens the objects and arrays of one depth (variant_explode), so the rounds are as many as the deepest text
-    is deep, at most `most`; deeper texts are an error. Rows that don't parse have no leaves. The rounds stop at a depth
-    that a first pass over the texts counts, so no round is run to see whether it is the last.
+    Each round opens the objects and arrays of one depth (variant_explode_outer, which leaves what is none as it is), so the
+    rounds are as many as the deepest text is deep, at most `most`; deeper texts are an error. Rows that don't parse have no
+    leaves. The rounds stop at a depth that a first pass over the texts counts, once for each shape of brackets.
     """
-    bare = F.regexp_replace(column, r'"(?:[^"\\]|\\.)*"', "")
-    signs = F.filter(F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), ""), lambda c: c != "")
+    shape = F.regexp_replace(column, r'"(?:[^"\\]++|\\.)*+"|[^"\[\]{}]+|"', "")
+    shapes = df.select(shape.alias("shape")).distinct()
+    signs = F.filter(F.split("shape", ""), lambda c: c != "")
     step = lambda acc, c: F.struct((acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(acc["top"], acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("top"))
     depth = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
-    deepest = df.agg(F.max(depth)).first()[0] or 0
+    deepest = shapes.agg(F.max(depth)).first()[0] or 0
     if deepest > most:
         raise ValueError(f"JSON of depth {deepest}; at most {most} are opened")
     rows = df.select(F.col(key).alias("_key"), F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where("v is not null")
-    out = []
-    nested = "left(to_json(v), 1) IN ('{', '[') AND to_json(v) NOT IN ('{}', '[]')"
     for _ in range(deepest):
-        rows = rows.withColumn("open", F.expr(nested))
-        out.append(rows.where("not open").select("_key", "path", "v"))
-        spread = rows.where("open").lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()))
-        rows = spread.select("_key", F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key")).alias("path"), F.col("value").alias("v"))
-    every = rows.select("_key", "path", "v")
-    for part in out:
-        every = every.unionByName(part)
-    return every.select(F.col("_key").alias(key), "path", F.expr("cast(v AS string)").alias("value"))
+        spread = rows.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        name = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        rows = spread.select("_key", F.when(F.col("pos").isNull(), F.col("path")).otherwise(name).alias("path"), F.coalesce("value", "v").alias("v"))
+    return rows.select(F.col("_key").alias(key), "path", F.expr("cast(v AS string)").alias("value"))

@@ -235,7 +235,8 @@ l AS (
 SELECT event_id, path, sent, saved, CASE WHEN saved IS NULL THEN 'not_saved' WHEN sent IS NULL THEN 'extra' WHEN sent = saved THEN 'saved' ELSE 'different' END AS status FROM l WHERE sent IS NOT NULL OR saved IS NOT NULL""")
 def json_differences(spark, sf_dir):
     """[PRJ-04, DQ-03] Two JSON documents an event without a common shape, compared leaf by leaf."""
-    e = read(spark, sf_dir, "events").select("event_id", "props", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
+    # texts are parsed row by row: dealt to all cores
+    e = read(spark, sf_dir, "events").repartition(4 * spark.sparkContext.defaultParallelism).select("event_id", "props", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
     odd, text = F.col("event_id") % 2, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     name = F.concat(F.lit('"'), "event_type", F.lit('"'))
     sent = text('{"props":', F.col("props"), ', "deep": {"list": [{"a": {"b": ', name, '}}, 2.50], "none": null, "empty": {}}}')

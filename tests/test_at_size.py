@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from brinewood.functions import scored
-from brinewood.operators import graph, layouts, link, tables
+from brinewood.operators import diff, graph, layouts, link, tables
 
 
 def test_grid_columns_that_one_number_heads_stay_apart(spark):
@@ -58,3 +58,12 @@ def test_numbers_with_units_are_found_without_trying_every_start(spark):
 def test_lines_below_a_label_are_split_once(spark):
     plan = spark.range(1).select(layouts.after_label(F.col("id").cast("string"), "NOTIFY").alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
+
+
+def test_json_is_parsed_once_however_deep(spark):
+    deep = '{"a":[{"b":"{[","c":{}},[],null,"x"],"d":{"e":{"f":[1]}}}'
+    texts = spark.createDataFrame([(1, deep), (2, '{"a": {'), (3, '"\\\\"')], "k int, j string")
+    leaves = diff.json_leaves(texts, "k", "j")
+    assert sorted((r.k, r.path, r.value) for r in leaves.collect()) == [(1, "a[0].b", "{["), (1, "a[0].c", "{}"), (1, "a[1]", "[]"), (1, "a[2]", None), (1, "a[3]", "x"), (1, "d.e.f[0]", "1"), (3, "", "\\")]
+    plan = leaves._jdf.queryExecution().analyzed().toString()
+    assert plan.count("parse_json(") + plan.count("parseJson(") == 1 and "Union" not in plan
