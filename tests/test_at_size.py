@@ -67,3 +67,11 @@ def test_json_is_parsed_once_however_deep(spark):
     assert sorted((r.k, r.path, r.value) for r in leaves.collect()) == [(1, "a[0].b", "{["), (1, "a[0].c", "{}"), (1, "a[1]", "[]"), (1, "a[2]", None), (1, "a[3]", "x"), (1, "d.e.f[0]", "1"), (3, "", "\\")]
     plan = leaves._jdf.queryExecution().analyzed().toString()
     assert plan.count("parse_json(") + plan.count("parseJson(") == 1 and "Union" not in plan
+
+
+def test_cargo_lines_are_completed_without_joins(spark):
+    text = "SHIPPER: A\n5 PALLETS\nSHIPPER: B\n--- PAGE 2 ---\n20 KGS\n7 PALLETS\n30 KGS\nSHIPPER: C\n2 CBM\n--- PAGE 3 ---\n9 CBM"
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc int, text string")
+    got = layouts.groupage(docs)
+    assert sorted((r.doc, r.shipper, r.packages, r.gross_kg, r.volume_cbm) for r in got.collect()) == [(1, "A", 5, None, None), (1, "B", 7, 20, 9), (1, "C", None, None, 2)]
+    assert "Join" not in got._jdf.queryExecution().analyzed().toString()
